@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Text forms a plain cast does not read. Anything else becomes null.
 EXTRA_FORMATS = (
     "dd/MMM/yyyy:HH:mm:ss Z",
-    "EEE, dd MMM yyyy HH:mm:ss Z",
+    "d MMM yyyy HH:mm:ss Z",
     "yyyy/MM/dd HH:mm:ss",
     "MM/dd/yyyy HH:mm:ss",
     "MMM d yyyy HH:mm:ss",
@@ -20,7 +20,9 @@ def parse_text(text: Column) -> Column:
     """Best-effort instant from text; text without an offset counts as UTC."""
     clean = F.trim(text)
     tries = [clean.try_cast("timestamp")]
-    tries += [F.try_to_timestamp(clean, F.lit(f)) for f in EXTRA_FORMATS]
+    # Mail-style dates: the weekday carries nothing, GMT is offset zero.
+    bare = F.regexp_replace(F.regexp_replace(clean, "^[A-Za-z]{3}, ", ""), " GMT$", " +0000")
+    tries += [F.try_to_timestamp(bare, F.lit(f)) for f in EXTRA_FORMATS]
     # A bare number must not be read as a year.
     return F.when(clean.rlike(r"^\d*$"), None).otherwise(F.coalesce(*tries))
 

@@ -129,10 +129,10 @@ def normalize_falco(rows: DataFrame) -> DataFrame:
     rule = F.coalesce(F.nullif(e["rule"], F.lit("")), F.lit("falco_alert"))
     when = _or_now(parse_text(e["time"]))
     severity = R.severity_from_priority(e["priority"])
-    namespace = F.coalesce(F.nullif(e["k8s"]["`k8s.ns.name`"], F.lit("")), named("k8s.ns.name"))
-    pod = F.coalesce(F.nullif(e["k8s"]["`k8s.pod.name`"], F.lit("")), named("k8s.pod.name"))
+    namespace = F.coalesce(F.nullif(e["k8s"]["k8s.ns.name"], F.lit("")), named("k8s.ns.name"))
+    pod = F.coalesce(F.nullif(e["k8s"]["k8s.pod.name"], F.lit("")), named("k8s.pod.name"))
     message = F.coalesce(F.nullif(e["output"], F.lit("")), rule)
-    name = F.coalesce(F.nullif(e["container"]["`container.name`"], F.lit("")),
+    name = F.coalesce(F.nullif(e["container"]["container.name"], F.lit("")),
                       named("container.name"), named("proc.name"))
     rows = rows.withColumns({"_when": when, "_rule": rule})
     return _finish(

@@ -12,7 +12,8 @@ from eventwarden.functions.text import (
 )
 from eventwarden.functions.timestamps import epoch_ns, iso_text
 
-NONE = F.lit(None).cast("string")
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _given(text: Column) -> Column:
@@ -132,7 +133,7 @@ def with_runtime_columns(events: DataFrame) -> DataFrame:
                    ).otherwise(workload_label(ns, pod, invoker))
     runtime_user = F.when(is_falco, lookup(fields, "user.name", "user"))
     return rows.withColumns({
-        "runtime_action": F.when(e("kind") == "audit", NONE).when(
+        "runtime_action": F.when(e("kind") == "audit", _none()).when(
             (e("kind") == "exec") & e("command").isNull(), "Container exec").otherwise(label),
         "runtime_detail": F.when(is_falco, action_detail(rule, said, e("command"), shown_path, process)).when(
             e("kind") == "exec", F.coalesce(e("command"), _given(e("request_uri")),
@@ -202,8 +203,8 @@ def monitor_events(events: DataFrame, source_urn: str = "urn:k8s:cluster:prod-cl
         F.when(~in_runtime, F.lit("TLS")).alias("protocolBinding"),
         F.when(~in_runtime, F.lit("TLS 1.3")).alias("encryption"),
         F.when(in_runtime, "falco").otherwise("kube-apiserver").alias("destinationService"),
-        NONE.alias("destinationUserRoles"),
-        NONE.alias("destinationUserPrivs"),
+        _none().alias("destinationUserRoles"),
+        _none().alias("destinationUserPrivs"),
         F.when(~in_runtime, _given(c("api_group"))).alias("apiGroup"),
     )
     network = F.struct(
@@ -221,7 +222,7 @@ def monitor_events(events: DataFrame, source_urn: str = "urn:k8s:cluster:prod-cl
         F.when(kind == "falco", c("shown_namespace")).otherwise(c("namespace")).alias("objowner"),
         pick(falco_perm, exec_perm, c("derived_privileges")).alias("objperms"),
         result.alias("objaccessresult"),
-        pick(NONE, invoked_by, asserted).alias("assertedroles"),
+        pick(_none(), invoked_by, asserted).alias("assertedroles"),
         pick(falco_perm, F.coalesce(c("command"), F.lit("exec-from-audit")),
              c("derived_privileges")).alias("assertedprivs"),
         pick(c("message"), F.coalesce(c("command"), c("message")), c("message")).alias("objchanges"),

@@ -10,29 +10,43 @@ from pyspark.sql import functions as F
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 
-def length_between(text: Column, low: int, high: int) -> Column:
-    return F.length(text).between(low, high)
+def length_between(column: str, low: int, high: int) -> Column:
+    return F.length(column).between(low, high)
 
 
-USER_RULES = {
-    "name length": length_between(F.col("name"), 2, 100),
-    "phone length": length_between(F.col("phone"), 10, 15),
-    "email form": F.col("email").rlike(EMAIL),
-}
-PRODUCT_RULES = {
-    "name length": length_between(F.col("name"), 1, 200),
-    "price positive": F.col("price") > 0,
-    "quantity not negative": F.col("quantity") >= 0,
-}
-ORDER_RULES = {
-    "customer length": F.length("customer") >= 2,
-    "quantity at least one": F.col("quantity") >= 1,
-}
-PAYMENT_RULES = {
-    "customer length": F.length("customer") >= 2,
-    "amount positive": F.col("amount") > 0,
-}
-LABEL_RULES = {"label is 0 or 1": F.col("label").isin(0, 1)}
+def user_rules() -> dict[str, Column]:
+    return {
+        "name length": length_between("name", 2, 100),
+        "phone length": length_between("phone", 10, 15),
+        "email form": F.col("email").rlike(EMAIL),
+    }
+
+
+def product_rules() -> dict[str, Column]:
+    return {
+        "name length": length_between("name", 1, 200),
+        "price positive": F.col("price") > 0,
+        "quantity not negative": F.col("quantity") >= 0,
+    }
+
+
+def order_rules() -> dict[str, Column]:
+    return {
+        "customer length": F.length("customer") >= 2,
+        "quantity at least one": F.col("quantity") >= 1,
+    }
+
+
+def payment_rules() -> dict[str, Column]:
+    return {
+        "customer length": F.length("customer") >= 2,
+        "amount positive": F.col("amount") > 0,
+    }
+
+
+def label_rules() -> dict[str, Column]:
+    return {"label is 0 or 1": F.col("label").isin(0, 1)}
+
 
 # Values a document gets when a field is missing.
 DEFAULTS = {
