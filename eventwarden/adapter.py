@@ -141,8 +141,9 @@ def raw_items(spark: SparkSession, folder: str) -> DataFrame:
     )
     body = F.when(F.col("source_type") == "k8s_audit", F.to_json(audit)).when(
         F.col("source_type") == "falco", F.to_json(falco)).otherwise(F.to_json(app))
-    return rows.select(F.col("event_id").alias("event_no"), "source_type", body.alias("body"),
-                       F.col("ts").alias("ingest_ts"))
+    # The generator writes each body once, whatever reads it afterwards.
+    return rows.select(F.col("event_id").alias("event_no"), "source_type",
+                       F.explode(F.array(body)).alias("body"), F.col("ts").alias("ingest_ts"))
 
 
 def normalized(spark: SparkSession, folder: str) -> DataFrame:

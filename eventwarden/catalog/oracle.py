@@ -357,6 +357,12 @@ def all_oracles() -> dict[str, str]:
               CASE WHEN is_high_risk = 1 AND is_sensitive = 1 THEN 'high-risk method ''' || method || ''' on sensitive resource' END,
               CASE WHEN ip_unique_users > 10 THEN 'source IP used by ' || CAST(ip_unique_users AS VARCHAR) || ' different actors' END), ''),
               'statistical outlier in learned behavior model') AS reason FROM ips""",
+        "hot_user_rolling": _with(SCO, """hot AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 'system:hot' ELSE "user" END AS "user") FROM flg)""",
+            ROLL.replace("FROM flg", "FROM hot")) + "SELECT event_id, req_24h, req_7d, req_30d, fail_ratio_7d, sensitive_rate_7d, "
+            "user_hour_baseline, is_new_user, " + ", ".join(
+            f"""(SELECT COUNT(DISTINCT h.{column}) FROM hot h WHERE h."user" = e."user" AND h.us >= e.us - {30 * DAY} AND h.us < e.us) AS {name}"""
+            for name, column in (("unique_namespaces", "namespace"), ("unique_resources", "object_type"),
+                                 ("unique_ips", "source_ip"))) + " FROM rat e",
         # scores
         "risk_levels": _SCO + f"""SELECT event_id, {_RISK} AS live,
             CASE WHEN anomaly_score > 0.8 THEN 'HIGH' WHEN anomaly_score > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS training FROM flg""",

@@ -23,6 +23,7 @@ from eventwarden.models.sequence import (
 )
 from eventwarden.operators import dedup, policy, runtime, validate
 from eventwarden.operators.normalize import parse_access_lines, normalize_events
+from eventwarden.operators.ordered import SlicePolicy
 from eventwarden.operators.tagging import tag_events
 from eventwarden.plans import analytics as A
 from eventwarden.plans import usecases as U
@@ -277,6 +278,16 @@ def ip_rolling(spark, folder):
         "event_id", "ip_req_24h", "ip_fail_ratio_24h", "ip_unique_users", "is_new_ip", "fail_burst_5min")
 
 
+@query
+def hot_user_rolling(spark, folder):
+    """A third of all events belong to one user, and that user is cut into slices."""
+    events = scorer_events(spark, folder).withColumn(
+        "user", F.when(F.col("event_id") % 3 == 0, "system:hot").otherwise(F.col("user")))
+    cut = SlicePolicy(min_rows=1000, target_rows=500)
+    found = user_history(events, cut, digits=None)
+    return events.select("event_id", "user", "us").join(found, ["user", "us"]).drop("user", "us")
+
+
 @query
 def reasons(spark, folder):
     rows = rolling_features(scorer_events(spark, folder), digits=None)

@@ -192,8 +192,9 @@ _SOURCES = {
 def _parsed(items: DataFrame, source: str) -> DataFrame:
     schema, _ = _SOURCES[source]
     options = {"columnNameOfCorruptRecord": S.CORRUPT}
-    rows = items.where(F.col("source_type") == source).withColumn(
-        "e", F.from_json("body", schema, options))
+    # A generator keeps later filters from repeating the parse below it.
+    rows = items.where(F.col("source_type") == source).select(
+        "*", F.explode(F.array(F.from_json("body", schema, options))).alias("e"))
     problem = F.when(F.col("e").isNull() | F.col("e")[S.CORRUPT].isNotNull(), "unreadable")
     if source == "app":
         problem = problem.when(F.col("e")["message"].isNull(), "message missing")
