@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventwarden import constants as K
-from eventwarden.adapter import normalized, raw_items, scorer_events, security_rows, table
+from eventwarden.adapter import normalized, raw_items, scorer_events, security_rows, spread, table
 from eventwarden.functions import rules as R
 from eventwarden.functions.hashing import hash_bucket
 from eventwarden.functions.text import slug
@@ -145,7 +145,7 @@ def retention_window(spark, folder):
 
 @query
 def log_level_from_text(spark, folder):
-    docs = table(spark, folder, "documents").withColumns({
+    docs = spread(table(spark, folder, "documents"), "doc_id").withColumns({
         "message": F.col("text"), "container_name": F.col("source"),
         "container_id": F.col("doc_id").cast("string")})
     events = normalize_events(parse_access_lines(docs))
@@ -155,7 +155,7 @@ def log_level_from_text(spark, folder):
 
 @query
 def slug_of_text(spark, folder):
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         "doc_id", R.falco_classification(F.col("text")).alias("classification"),
         slug(F.col("text"), "alert", "-").alias("dashed"))
 
@@ -418,7 +418,7 @@ def forest_scores(spark, folder):
 @query
 def forest_scores_lineitem(spark, folder):
     columns = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", *columns).withColumn(
+    rows = spread(table(spark, folder, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber", *columns).withColumn(
         "row_id", F.xxhash64("l_orderkey", "l_linenumber", *columns))
     forest = load_forest(fit_forest(rows, "row_id", columns, trees=100))
     return rows.select("l_orderkey", "l_linenumber", raw_score(spark, forest, columns).alias("raw_score"))

@@ -59,10 +59,11 @@ APP_CONTAINERS = (
 
 # --- tags -------------------------------------------------------------------
 
-TAG_PRIVILEGE = r"(?i)(privilege|sudo|setuid|cap_sys_admin|root)"
-TAG_AUTH_FAILURE = r"(?i)(unauthorized|forbidden|authentication failed|denied)"
-TAG_FILE_ACCESS = r"(?i)(open\(|chmod|chown|/etc/|/var/|/root/)"
-TAG_RUNTIME = r"(?i)(exec|spawn|shell|bash|sh -c|nc |curl |wget )"
+# Looked for in lower-cased text.
+TAG_PRIVILEGE = ("privilege", "sudo", "setuid", "cap_sys_admin", "root")
+TAG_AUTH_FAILURE = ("unauthorized", "forbidden", "authentication failed", "denied")
+TAG_FILE_ACCESS = ("open(", "chmod", "chown", "/etc/", "/var/", "/root/")
+TAG_RUNTIME = ("exec", "spawn", "shell", "bash", "sh -c", "nc ", "curl ", "wget ")
 TAG_CONFIG_RESOURCES = (
     "configmaps", "secrets", "roles", "clusterroles", "rolebindings", "clusterrolebindings",
 )

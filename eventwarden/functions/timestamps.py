@@ -24,7 +24,7 @@ def parse_text(text: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(clean, "^[A-Za-z]{3}, ", ""), " GMT$", " +0000")
     tries += [F.try_to_timestamp(bare, F.lit(f)) for f in EXTRA_FORMATS]
     # A bare number must not be read as a year.
-    return F.when(clean.rlike(r"^\d*$"), None).otherwise(F.coalesce(*tries))
+    return F.when((F.length(clean) < 8) & clean.rlike(r"^\d*$"), None).otherwise(F.coalesce(*tries))
 
 
 def parse_epoch(number: Column) -> Column:

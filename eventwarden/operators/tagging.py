@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventwarden import constants as K
-from eventwarden.functions.text import lower_or_empty
+from eventwarden.functions.text import contains_any, lower_or_empty
 
 
 def build_tags(message: Column, event_type: Column, classification: Column, source_type: Column,
                status_code: Column, action: Column, resource: Column, namespace: Column,
                source_namespace: Column, given: Column) -> Column:
     """Ordered distinct tags; a tag seen first keeps its place."""
-    text = F.concat(F.coalesce(message, F.lit("")), F.lit(" "), F.coalesce(event_type, F.lit("")))
+    text = F.lower(F.concat(F.coalesce(message, F.lit("")), F.lit(" "), F.coalesce(event_type, F.lit(""))))
     label = F.trim(classification)
     denied = F.coalesce(status_code.isin(*K.AUTH_DENIED_CODES), F.lit(False))
     foreign = (F.coalesce(source_namespace, F.lit("")) != "") & (F.coalesce(namespace, F.lit("")) != "") \
@@ -23,10 +23,10 @@ def build_tags(message: Column, event_type: Column, classification: Column, sour
     found = F.array(
         F.when(label != "", F.concat(F.lit("classification:"), label)),
         F.when(source_type == "falco", "runtime-falco"),
-        F.when(text.rlike(K.TAG_PRIVILEGE), "privilege-escalation"),
-        F.when(text.rlike(K.TAG_AUTH_FAILURE) | denied, "auth-failure"),
-        F.when(text.rlike(K.TAG_FILE_ACCESS), "file-access"),
-        F.when(text.rlike(K.TAG_RUNTIME), "suspicious-runtime"),
+        F.when(contains_any(text, K.TAG_PRIVILEGE), "privilege-escalation"),
+        F.when(contains_any(text, K.TAG_AUTH_FAILURE) | denied, "auth-failure"),
+        F.when(contains_any(text, K.TAG_FILE_ACCESS), "file-access"),
+        F.when(contains_any(text, K.TAG_RUNTIME), "suspicious-runtime"),
         F.when(changes, "config-change"),
         F.when(foreign, "cross-namespace"),
     )

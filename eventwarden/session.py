@@ -13,6 +13,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles methods above 8000 bytes; the long rule expressions
+    # run faster as several smaller methods than as one fused stage.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
