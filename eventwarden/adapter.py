@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventwarden.functions.timestamps import iso_text
 from eventwarden.operators.normalize import normalize_events
+from eventwarden.session import spread
 
 EVENT_COLUMNS_SQL = """
 SELECT event_id, ts, user_id, event_type AS app_event, value,
@@ -97,27 +98,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core some rows of a scan that has fewer splits than cores.
-
-    A test table is one file with one row group, so one split; a table of many
-    files passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def security_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The ``det`` rows of ``EVENTS_CTE``; ``ts`` becomes an instant."""
     text = ("WITH base AS (" + EVENT_COLUMNS_SQL.format(events="{events}") + "), sec AS ("
             + SECURITY_COLUMNS_SQL + ") " + DETAIL_COLUMNS_SQL)
-    rows = spark.sql(text, events=spread(table(spark, folder, "events"), "event_id"))
+    rows = spark.sql(text, events=table(spark, folder, "events"))
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def raw_items(spark: SparkSession, folder: str) -> DataFrame:
     """The events as the JSON items their sources would send: ``(event_no, source_type, body)``."""
-    rows = security_rows(spark, folder)
+    rows = spread(security_rows(spark, folder), "event_id")
     stamp = iso_text(F.col("ts"))
     audit = F.struct(
         F.concat(F.lit("a-"), F.col("event_id").cast("string")).alias("auditID"),

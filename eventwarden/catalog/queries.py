@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventwarden import constants as K
-from eventwarden.adapter import normalized, raw_items, scorer_events, security_rows, spread, table
+from eventwarden.adapter import normalized, raw_items, scorer_events, security_rows, table
 from eventwarden.functions import rules as R
 from eventwarden.functions.hashing import hash_bucket
 from eventwarden.functions.text import slug
@@ -32,7 +32,7 @@ from eventwarden.plans.features import (
 )
 from eventwarden.plans.ingest import ingest, outcomes, scorer_input
 from eventwarden.plans.scoring import combined_score
-from eventwarden.session import cut_lineage, prepare
+from eventwarden.session import cut_lineage, prepare, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -412,7 +412,7 @@ def forest_scores(spark, folder):
     """Fit on the feature matrix and score every event of it."""
     matrix = cut_lineage(feature_matrix(scorer_events(spark, folder)).select("event_id", *K.FEATURE_COLS))
     forest = load_forest(fit_forest(matrix))
-    return matrix.select("event_id", raw_score(spark, forest).alias("raw_score"))
+    return spread(matrix, "event_id").select("event_id", raw_score(spark, forest).alias("raw_score"))
 
 
 @query

@@ -134,7 +134,9 @@ def fit_forest(matrix: DataFrame, key: str = "event_id", columns: Sequence[str]
         return pd.DataFrame({"tree": [tree], "features": [features.tolist()],
                              "thresholds": [thresholds.tolist()], "paths": [paths.tolist()]})
 
-    drawn = picks.join(pool.drop("_draw"), "_rank")
+    # A fixed number of partitions: the rows are few but growing trees takes time.
+    tasks = min(trees, 2 * spark.sparkContext.defaultParallelism)
+    drawn = picks.join(pool.drop("_draw"), "_rank").repartition(tasks, "tree")
     return drawn.groupBy("tree").applyInPandas(grow, FOREST_SCHEMA)
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventwarden import constants as K
 from eventwarden import schemas as S
@@ -55,7 +54,7 @@ def _finish(rows: DataFrame, **fields: Column) -> DataFrame:
     }
     known["event_date"] = F.to_date(known["timestamp"])
     columns = [
-        (known.get(name, F.lit(None))).cast(T.DataType.fromDDL(kind)).alias(name)
+        (known.get(name, F.lit(None))).cast(kind).alias(name)
         for name, kind in EVENT_FIELDS
     ]
     return rows.select(*columns)

@@ -41,20 +41,27 @@ class Spread:
     hot: DataFrame | None       # keys to cut, with start and width of their slices
 
 
-def spread_of(df: DataFrame, keys: Sequence[str], order: str,
-              policy: SlicePolicy = DEFAULT_POLICY) -> Spread:
-    """Look at the data once to decide how to cut it.
-
-    ``df`` may be any cheap frame with the keys and the order column. Rows are
-    counted per key only when the frame is large enough to have a hot key; the
-    counts are combined before the shuffle and at most ``max_hot_keys`` come back.
-    """
+def span_of(df: DataFrame, order: str) -> Spread:
+    """Number of rows and range of the order column."""
     facts = df.agg(
         F.count("*").alias("n"),
         F.min(order).cast("double").alias("low"),
         F.max(order).cast("double").alias("high"),
     ).first()
-    rows, low, high = facts["n"], facts["low"] or 0.0, facts["high"] or 0.0
+    return Spread(facts["n"], facts["low"] or 0.0, facts["high"] or 0.0, None)
+
+
+def spread_of(df: DataFrame, keys: Sequence[str], order: str,
+              policy: SlicePolicy = DEFAULT_POLICY, span: Spread | None = None) -> Spread:
+    """Look at the data once to decide how to cut it.
+
+    ``df`` may be any cheap frame with the keys and the order column; a known
+    ``span`` of the same rows saves a pass. Rows are counted per key only when the
+    frame is large enough to have a hot key; the counts are combined before the
+    shuffle and at most ``max_hot_keys`` come back.
+    """
+    span = span or span_of(df, order)
+    rows, low, high = span.rows, span.low, span.high
     if not keys or rows <= policy.min_rows:
         return Spread(rows, low, high, None)
     limit = max(policy.min_rows, rows / policy.max_hot_keys)

@@ -9,7 +9,7 @@ from eventwarden import constants as K
 from eventwarden.functions.hashing import hash_bucket
 from eventwarden.functions.text import contains_any
 from eventwarden.functions.timestamps import epoch_us, is_off_hours
-from eventwarden.operators.ordered import DEFAULT_POLICY, SlicePolicy
+from eventwarden.operators.ordered import DEFAULT_POLICY, SlicePolicy, Spread, span_of
 from eventwarden.operators.rolling import IP_PLAN, USER_PLAN, rolling
 
 
@@ -46,9 +46,9 @@ HISTORY_INPUT = ("event_id", "user", "source_ip", "namespace", "object_type", "u
 
 
 def user_history(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY,
-                 digits: int | None = 4) -> DataFrame:
+                 digits: int | None = 4, span: Spread | None = None) -> DataFrame:
     """Rolling behaviour per user and instant."""
-    found = rolling(events.select(*HISTORY_INPUT), USER_PLAN, policy=policy)
+    found = rolling(events.select(*HISTORY_INPUT), USER_PLAN, policy=policy, span=span)
     return found.select(
         "user", "us", "req_24h", "req_7d", "req_30d",
         _share("failed_7d", "req_7d", digits).alias("fail_ratio_7d"),
@@ -60,9 +60,9 @@ def user_history(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY,
 
 
 def ip_history(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY,
-               digits: int | None = 4) -> DataFrame:
+               digits: int | None = 4, span: Spread | None = None) -> DataFrame:
     """Rolling behaviour per source address and instant."""
-    found = rolling(events.select(*HISTORY_INPUT), IP_PLAN, policy=policy)
+    found = rolling(events.select(*HISTORY_INPUT), IP_PLAN, policy=policy, span=span)
     return found.select(
         "source_ip", "us", "ip_req_24h",
         _share("ip_failed_24h", "ip_req_24h", digits).alias("ip_fail_ratio_24h"),
@@ -79,9 +79,10 @@ def rolling_features(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY,
     The history frames hold one row per key and instant, so a hot key shows up in
     these joins only as many equal event rows, which adaptive execution splits.
     """
+    span = span_of(events, "us")
     return (
-        events.join(user_history(events, policy, digits), ["user", "us"])
-        .join(ip_history(events, policy, digits), ["source_ip", "us"])
+        events.join(user_history(events, policy, digits, span), ["user", "us"])
+        .join(ip_history(events, policy, digits, span), ["source_ip", "us"])
     )
 
 
