@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -76,8 +76,12 @@ def _exits(times: np.ndarray, begin: int, gap: int) -> tuple[np.ndarray, np.ndar
 
 def throttle(events: DataFrame, label: str = "classification", us: str = "us", tie: str = "event_id",
              classes: Sequence[str] = K.NOISY_CLASSES, gap_us: int = K.NOISY_GAP_SECONDS * K.SECOND_US,
-             policy: SlicePolicy = DEFAULT_POLICY) -> DataFrame:
-    """Thin out the noisy classes; every other row passes."""
+             policy: SlicePolicy = DEFAULT_POLICY, kept_before: DataFrame | None = None) -> DataFrame:
+    """Thin out the noisy classes; every other row passes.
+
+    ``kept_before`` holds the last instant kept per class by an earlier run:
+    ``(label, us)``.
+    """
     noisy = events.where(F.col(label).isin(*classes))
     spread = spread_of(noisy, [], us, policy)
     pieces = max(-(-spread.rows // policy.target_rows), 1)
@@ -96,7 +100,7 @@ def throttle(events: DataFrame, label: str = "classification", us: str = "us", t
 
     def hand_over(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_part")
-        free, given = -(2 ** 62), []
+        free, given = int(pdf["_open"].iloc[0]), []
         for starts, exits in zip(pdf["_starts"], pdf["_exits"]):
             given.append(free)
             spot = int(np.searchsorted(np.asarray(starts), free))
@@ -118,6 +122,12 @@ def throttle(events: DataFrame, label: str = "classification", us: str = "us", t
     place = f"`{label}` {kinds[label]}, `_part` bigint"
     ends = instants.groupBy(label, "_part").applyInPandas(
         outcomes, place + ", `_starts` array<bigint>, `_exits` array<bigint>")
+    never = F.lit(-(2 ** 62))
+    if kept_before is None:
+        ends = ends.withColumn("_open", never)
+    else:
+        known = kept_before.groupBy(label).agg((F.max(us) + gap_us).alias("_known"))
+        ends = ends.join(known, label, "left").withColumn("_open", F.coalesce("_known", never)).drop("_known")
     starts = ends.groupBy(label).applyInPandas(hand_over, place + ", `_free` bigint")
     kept = (
         instants.join(starts, [label, "_part"]).groupBy(label, "_part")
