@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventwarden.functions.timestamps import iso_text
 from eventwarden.operators.normalize import normalize_events
+from eventwarden.operators.pinned import with_pinned
 from eventwarden.session import spread
 
 EVENT_COLUMNS_SQL = """
@@ -142,9 +143,8 @@ def raw_items(spark: SparkSession, folder: str) -> DataFrame:
     )
     body = F.when(F.col("source_type") == "k8s_audit", F.to_json(audit)).when(
         F.col("source_type") == "falco", F.to_json(falco)).otherwise(F.to_json(app))
-    # The generator writes each body once, whatever reads it afterwards.
-    return rows.select(F.col("event_id").alias("event_no"), "source_type",
-                       F.explode(F.array(body)).alias("body"), F.col("ts").alias("ingest_ts"))
+    return with_pinned(rows, "body", body).select(
+        F.col("event_id").alias("event_no"), "source_type", "body", F.col("ts").alias("ingest_ts"))
 
 
 def normalized(spark: SparkSession, folder: str) -> DataFrame:

@@ -675,7 +675,7 @@ def uc_read_bursts(spark, folder):
 
 @query
 def uc_session_bursts(spark, folder):
-    return U.session_bursts(scorer_events(spark, folder), gap="6 hours", floor=3)
+    return U.session_bursts(scorer_events(spark, folder), gap_us=6 * K.HOUR_US, floor=3)
 
 
 @query

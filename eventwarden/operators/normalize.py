@@ -7,8 +7,12 @@ fails its neighbours. There is no shuffle before deduplication.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventwarden import constants as K
 from eventwarden import schemas as S
@@ -16,6 +20,7 @@ from eventwarden.functions import rules as R
 from eventwarden.functions.hashing import fingerprint
 from eventwarden.functions.text import blank_to_null
 from eventwarden.functions.timestamps import parse_text
+from eventwarden.operators.pinned import with_pinned
 
 EVENT_FIELDS = [
     ("event_id", "string"), ("timestamp", "timestamp"), ("invocation_time", "timestamp"),
@@ -47,19 +52,6 @@ def open_envelope(lines: DataFrame, value: str = "value", default_source: str =
     })
 
 
-def _finish(rows: DataFrame, **fields: Column) -> DataFrame:
-    known = {
-        "ingest_ts": F.current_timestamp() if "ingest_ts" not in rows.columns else F.col("ingest_ts"),
-        **fields,
-    }
-    known["event_date"] = F.to_date(known["timestamp"])
-    columns = [
-        (known.get(name, F.lit(None))).cast(kind).alias(name)
-        for name, kind in EVENT_FIELDS
-    ]
-    return rows.select(*columns)
-
-
 def _or_now(ts: Column) -> Column:
     return F.coalesce(ts, F.current_timestamp())
 
@@ -68,135 +60,167 @@ def _source_namespace(event: Column) -> Column:
     return F.coalesce(*[blank_to_null(event[k]) for k in K.SOURCE_NAMESPACE_KEYS])
 
 
-def normalize_audit(rows: DataFrame) -> DataFrame:
-    """``e`` structs of the audit schema to security events."""
-    e = F.col("e")
-    ref, user = e["objectRef"], e["user"]
+def _no_tags() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _no_fields() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+@dataclass(frozen=True)
+class Source:
+    """How one source becomes events.
+
+    ``steps`` are columns computed one after the other and used more than once;
+    ``fields`` are the event fields. Both get the parsed event, and ``fields`` may
+    refer to the steps by name.
+    """
+    schema: T.StructType
+    steps: Callable[[Column], list[dict[str, Column]]]
+    fields: Callable[[Column], dict[str, Column]]
+    required: tuple[str, ...] = ()
+
+
+# --- audit ------------------------------------------------------------------
+
+def _audit_steps(e: Column) -> list[dict[str, Column]]:
+    ref = e["objectRef"]
+    verb, message = F.col("audit_verb"), F.col("audit_message")
+    return [
+        {"audit_verb": F.coalesce(F.nullif(e["verb"], F.lit("")), F.lit("unknown")),
+         "audit_time": _or_now(parse_text(e["requestReceivedTimestamp"]))},
+        {"audit_message": R.audit_message(
+            e["stage"], verb, ref["resource"], ref["subresource"], ref["name"], e["requestURI"])},
+        {"audit_class": R.audit_classification(
+            e["responseStatus"]["code"], verb, ref["resource"], ref["subresource"], message,
+            e["user"]["username"])},
+    ]
+
+
+def _audit_fields(e: Column) -> dict[str, Column]:
+    ref, user, code = e["objectRef"], e["user"], e["responseStatus"]["code"]
+    verb, when, message, label = (F.col("audit_" + n) for n in ("verb", "time", "message", "class"))
     other = blank_to_null(e["impersonatedUser"]["username"])
-    code = e["responseStatus"]["code"]
-    rows = rows.withColumns({
-        "_verb": F.coalesce(F.nullif(e["verb"], F.lit("")), F.lit("unknown")),
-        "_invoked": _or_now(parse_text(e["requestReceivedTimestamp"])),
-    })
-    verb, invoked = F.col("_verb"), F.col("_invoked")
-    rows = rows.withColumn("_message", R.audit_message(
-        e["stage"], verb, ref["resource"], ref["subresource"], ref["name"], e["requestURI"]))
-    rows = rows.withColumn("_class", R.audit_classification(
-        code, verb, ref["resource"], ref["subresource"], F.col("_message"), user["username"]))
-    severity = F.when(F.col("_class") == "unauthorized_access", "unauthorized_access").otherwise(
+    severity = F.when(label == "unauthorized_access", "unauthorized_access").otherwise(
         R.severity_from_status(code))
     hashed = fingerprint(
-        invoked, source_type=F.lit("k8s_audit"), namespace=ref["namespace"],
-        user_name=user["username"], severity=severity, event_type=F.lit("k8s_audit"),
-        message=F.col("_message"), action=verb, resource=ref["resource"],
-        resource_name=ref["name"], status_code=code)
-    return _finish(
-        rows,
+        when, source_type=F.lit("k8s_audit"), namespace=ref["namespace"], user_name=user["username"],
+        severity=severity, event_type=F.lit("k8s_audit"), message=message, action=verb,
+        resource=ref["resource"], resource_name=ref["name"], status_code=code)
+    return dict(
         event_id=F.coalesce(F.nullif(e["auditID"], F.lit("")), hashed),
-        timestamp=invoked, invocation_time=invoked,
-        completion_time=F.coalesce(parse_text(e["stageTimestamp"]), invoked),
-        stage=F.coalesce(e["stage"], F.lit("")), source_type=F.lit("k8s_audit"),
-        namespace=ref["namespace"], user_name=user["username"], user_uid=user["uid"],
-        user_groups=F.coalesce(user["groups"], F.array().cast("array<string>")),
-        effective_user=F.coalesce(other, user["username"]),
-        is_impersonated=other.isNotNull(), user_agent=e["userAgent"], severity=severity,
-        event_type=F.lit("k8s_audit"), message=F.col("_message"), classification=F.col("_class"),
-        security_relevant=R.audit_relevance(F.col("_class"), code), action=verb,
-        resource=ref["resource"], subresource=ref["subresource"], resource_name=ref["name"],
-        api_group=ref["apiGroup"], api_version=ref["apiVersion"], status_code=code,
-        status_reason=e["responseStatus"]["reason"],
+        timestamp=when, invocation_time=when,
+        completion_time=F.coalesce(parse_text(e["stageTimestamp"]), when),
+        stage=F.coalesce(e["stage"], F.lit("")), namespace=ref["namespace"],
+        user_name=user["username"], user_uid=user["uid"],
+        user_groups=F.coalesce(user["groups"], _no_tags()),
+        effective_user=F.coalesce(other, user["username"]), is_impersonated=other.isNotNull(),
+        user_agent=e["userAgent"], severity=severity, event_type=F.lit("k8s_audit"),
+        message=message, classification=label, security_relevant=R.audit_relevance(label, code),
+        action=verb, resource=ref["resource"], subresource=ref["subresource"],
+        resource_name=ref["name"], api_group=ref["apiGroup"], api_version=ref["apiVersion"],
+        status_code=code, status_reason=e["responseStatus"]["reason"],
         derived_privileges=R.derived_privileges(verb, ref["resource"], ref["subresource"]),
         request_uri=e["requestURI"], source_ips=e["sourceIPs"],
         source_namespace=_source_namespace(e),
-        annotations=F.coalesce(e["annotations"], F.create_map().cast("map<string,string>")),
-        tags=F.array().cast("array<string>"), raw_event=F.col("body"),
+        annotations=F.coalesce(e["annotations"], _no_fields()),
     )
 
 
-def normalize_falco(rows: DataFrame) -> DataFrame:
-    """``e`` structs of the runtime alert schema to security events."""
-    e = F.col("e")
-    empty = F.create_map().cast("map<string,string>")
-    first, second = F.coalesce(e["output_fields"], empty), F.coalesce(e["fields"], empty)
+# --- runtime alerts ---------------------------------------------------------
+
+def _falco_steps(e: Column) -> list[dict[str, Column]]:
+    first, second = F.coalesce(e["output_fields"], _no_fields()), F.coalesce(e["fields"], _no_fields())
     kept = F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k))
-    rows = rows.withColumn("_fields", F.map_concat(kept, second))
-    merged = F.col("_fields")
+    return [{
+        "falco_fields": F.map_concat(kept, second),
+        "falco_time": _or_now(parse_text(e["time"])),
+        "falco_rule": F.coalesce(F.nullif(e["rule"], F.lit("")), F.lit("falco_alert")),
+    }]
+
+
+def _falco_fields(e: Column) -> dict[str, Column]:
+    merged, when, rule = (F.col("falco_" + n) for n in ("fields", "time", "rule"))
 
     def named(key: str) -> Column:
         return F.try_element_at(merged, F.lit(key))
 
-    rule = F.coalesce(F.nullif(e["rule"], F.lit("")), F.lit("falco_alert"))
-    when = _or_now(parse_text(e["time"]))
     severity = R.severity_from_priority(e["priority"])
     namespace = F.coalesce(F.nullif(e["k8s"]["k8s.ns.name"], F.lit("")), named("k8s.ns.name"))
     pod = F.coalesce(F.nullif(e["k8s"]["k8s.pod.name"], F.lit("")), named("k8s.pod.name"))
     message = F.coalesce(F.nullif(e["output"], F.lit("")), rule)
     name = F.coalesce(F.nullif(e["container"]["container.name"], F.lit("")),
                       named("container.name"), named("proc.name"))
-    rows = rows.withColumns({"_when": when, "_rule": rule})
-    return _finish(
-        rows,
+    return dict(
         event_id=fingerprint(
-            F.col("_when"), source_type=F.lit("falco"), namespace=namespace, pod_name=pod,
-            severity=severity, event_type=F.col("_rule"), message=message,
-            resource=F.lit("runtime"), resource_name=name),
-        timestamp=F.col("_when"), invocation_time=F.col("_when"), completion_time=F.col("_when"),
-        source_type=F.lit("falco"), namespace=namespace, pod_name=pod,
-        user_groups=F.array().cast("array<string>"), is_impersonated=F.lit(False),
-        severity=severity, event_type=F.col("_rule"), message=message,
-        classification=R.falco_classification(F.col("_rule")), detection_layer=F.lit("falco"),
-        security_relevant=F.lit("yes"), resource=F.lit("runtime"), resource_name=name,
-        fields=merged, annotations=empty, tags=F.array().cast("array<string>"),
-        raw_event=F.col("body"),
+            when, source_type=F.lit("falco"), namespace=namespace, pod_name=pod, severity=severity,
+            event_type=rule, message=message, resource=F.lit("runtime"), resource_name=name),
+        timestamp=when, invocation_time=when, completion_time=when, namespace=namespace,
+        pod_name=pod, user_groups=_no_tags(), is_impersonated=F.lit(False), severity=severity,
+        event_type=rule, message=message, classification=R.falco_classification(rule),
+        detection_layer=F.lit("falco"), security_relevant=F.lit("yes"), resource=F.lit("runtime"),
+        resource_name=name, fields=merged, annotations=_no_fields(),
     )
 
 
-def normalize_app(rows: DataFrame) -> DataFrame:
-    """``e`` structs of the application log schema to security events."""
-    e = F.col("e")
-    when = _or_now(parse_text(e["timestamp"]))
+# --- application logs -------------------------------------------------------
+
+def _app_steps(e: Column) -> list[dict[str, Column]]:
+    return [{
+        "app_time": _or_now(parse_text(e["timestamp"])),
+        "app_class": R.app_classification(e["status_code"], e["method"], e["message"]),
+    }]
+
+
+def _app_fields(e: Column) -> dict[str, Column]:
+    when, label = F.col("app_time"), F.col("app_class")
     code, method = e["status_code"], e["method"]
-    label = R.app_classification(code, method, e["message"])
-    rows = rows.withColumns({"_when": when, "_class": label})
     plain = F.when(F.coalesce(e["log_level"], F.lit("")) != "", R.severity_from_level(e["log_level"])
                    ).otherwise(R.severity_from_status(code))
-    severity = F.when(F.col("_class") == "unauthorized_access", "unauthorized_access").otherwise(plain)
+    severity = F.when(label == "unauthorized_access", "unauthorized_access").otherwise(plain)
     is_http = (F.coalesce(e["request_path"], F.lit("")) != "") | (F.coalesce(method, F.lit("")) != "")
     kind = F.when(is_http, "http_request").otherwise("app_log")
     hashed = fingerprint(
-        F.col("_when"), source_type=F.lit("app"), service_name=e["service_name"],
-        namespace=e["namespace"], pod_name=e["pod_name"], severity=severity, event_type=kind,
-        message=e["message"], action=method, resource=F.lit("http"),
-        resource_name=e["request_path"], status_code=code)
-    return _finish(
-        rows,
-        event_id=F.coalesce(F.nullif(e["event_id"], F.lit("")), hashed),
-        timestamp=F.col("_when"), source_type=F.lit("app"), service_name=e["service_name"],
-        namespace=e["namespace"], pod_name=e["pod_name"], severity=severity, event_type=kind,
-        message=e["message"], classification=F.col("_class"),
-        security_relevant=R.app_relevance(F.col("_class")), action=method,
-        resource=F.lit("http"), resource_name=e["request_path"], status_code=code,
-        source_namespace=_source_namespace(e), tags=F.array().cast("array<string>"),
-        raw_event=F.col("body"),
+        when, source_type=F.lit("app"), service_name=e["service_name"], namespace=e["namespace"],
+        pod_name=e["pod_name"], severity=severity, event_type=kind, message=e["message"],
+        action=method, resource=F.lit("http"), resource_name=e["request_path"], status_code=code)
+    return dict(
+        event_id=F.coalesce(F.nullif(e["event_id"], F.lit("")), hashed), timestamp=when,
+        service_name=e["service_name"], namespace=e["namespace"], pod_name=e["pod_name"],
+        severity=severity, event_type=kind, message=e["message"], classification=label,
+        security_relevant=R.app_relevance(label), action=method, resource=F.lit("http"),
+        resource_name=e["request_path"], status_code=code, source_namespace=_source_namespace(e),
     )
 
 
-_SOURCES = {
-    "k8s_audit": (S.AUDIT, normalize_audit),
-    "falco": (S.FALCO, normalize_falco),
-    "app": (S.APP, normalize_app),
+SOURCES = {
+    "k8s_audit": Source(S.AUDIT, _audit_steps, _audit_fields),
+    "falco": Source(S.FALCO, _falco_steps, _falco_fields),
+    "app": Source(S.APP, _app_steps, _app_fields, required=("message",)),
 }
 
 
-def _parsed(items: DataFrame, source: str) -> DataFrame:
-    schema, _ = _SOURCES[source]
+def _is(source: str) -> Column:
+    return F.col("source_type") == source
+
+
+def _parsed(items: DataFrame) -> DataFrame:
+    """Add the parsed event of each source, null for rows of the others, and ``problem``.
+
+    All sources are parsed in one pass over the items.
+    """
     options = {"columnNameOfCorruptRecord": S.CORRUPT}
-    # A generator keeps later filters from repeating the parse below it.
-    rows = items.where(F.col("source_type") == source).select(
-        "*", F.explode(F.array(F.from_json("body", schema, options))).alias("e"))
-    problem = F.when(F.col("e").isNull() | F.col("e")[S.CORRUPT].isNotNull(), "unreadable")
-    if source == "app":
-        problem = problem.when(F.col("e")["message"].isNull(), "message missing")
+    parsed = F.struct(*[
+        F.when(_is(name), F.from_json("body", source.schema, options)).alias(name)
+        for name, source in SOURCES.items()])
+    rows = with_pinned(items, "_event", parsed)
+    problem = F.when(~F.coalesce(F.col("source_type").isin(*SOURCES), F.lit(False)), "unknown source")
+    for name, source in SOURCES.items():
+        event = F.col("_event")[name]
+        problem = problem.when(_is(name) & (event.isNull() | event[S.CORRUPT].isNotNull()), "unreadable")
+        for required in source.required:
+            problem = problem.when(_is(name) & event[required].isNull(), f"{required} missing")
     return rows.withColumn("problem", problem)
 
 
@@ -205,24 +229,34 @@ def normalize_events(items: DataFrame) -> DataFrame:
 
     Works on batch and streaming frames. An ``ingest_ts`` column is kept.
     """
-    parts = [
-        normalize(_parsed(items, source).where(F.col("problem").isNull()))
-        for source, (_, normalize) in _SOURCES.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = _parsed(items).where(F.col("problem").isNull())
+    if "ingest_ts" not in items.columns:
+        rows = rows.withColumn("ingest_ts", F.current_timestamp())
+    fields = {}
+    for name, source in SOURCES.items():
+        event = F.col("_event")[name]
+        for step in source.steps(event):
+            rows = rows.withColumns({c: F.when(_is(name), value) for c, value in step.items()})
+        fields[name] = source.fields(event)
+    shared = {"source_type": F.col("source_type"), "raw_event": F.col("body"),
+              "tags": _no_tags(), "ingest_ts": F.col("ingest_ts")}
+
+    def field(name: str, kind: str) -> Column:
+        if name in shared:
+            return shared[name].cast(kind).alias(name)
+        case = F
+        for source, known in fields.items():
+            if name in known:
+                case = case.when(_is(source), known[name].cast(kind))
+        return case.alias(name)
+
+    out = rows.select(*[field(n, k) for n, k in EVENT_FIELDS if n != "event_date"])
+    return out.withColumn("event_date", F.to_date("timestamp"))
 
 
 def quarantine(items: DataFrame) -> DataFrame:
     """Items ``normalize_events`` leaves out: ``(source_type, body, problem)``."""
-    unknown = items.where(~F.col("source_type").isin(*_SOURCES) | F.col("source_type").isNull())
-    out = unknown.select("source_type", "body", F.lit("unknown source").alias("problem"))
-    for source in _SOURCES:
-        bad = _parsed(items, source).where(F.col("problem").isNotNull())
-        out = out.unionByName(bad.select("source_type", "body", "problem"))
-    return out
+    return _parsed(items).where(F.col("problem").isNotNull()).select("source_type", "body", "problem")
 
 
 # --- text sources -----------------------------------------------------------

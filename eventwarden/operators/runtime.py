@@ -11,6 +11,7 @@ from eventwarden.functions.text import (
     contains_any, first_match, lookup, lower_or_empty, slug, starts_with_any,
 )
 from eventwarden.functions.timestamps import epoch_ns, iso_text
+from eventwarden.operators.pinned import with_pinned
 
 def _none() -> Column:
     return F.lit(None).cast("string")
@@ -109,7 +110,7 @@ def with_runtime_columns(events: DataFrame) -> DataFrame:
         (e("source_type") == "falco", "falco"),
         ((e("source_type") == "k8s_audit") & exec_like, "exec"),
     ], "audit")
-    rows = events.withColumn("kind", kind)
+    rows = with_pinned(events, "kind", kind)
     rows = rows.where((e("kind") != "exec")
                       | F.trim(F.coalesce("stage", F.lit(""))).isin("", "ResponseComplete"))
     is_falco = e("kind") == "falco"

@@ -280,7 +280,9 @@ def cluster_tree(nodes: DataFrame, pods: DataFrame) -> DataFrame:
         F.col("name").alias("pod"), F.coalesce("app", F.lit("")).alias("app"),
         F.coalesce("phase", F.lit("Unknown")).alias("phase"))
     named = nodes.select(F.col("name").alias("node"), "role")
-    tree = named.join(placed, "node", "full_outer")
+    # Two joins instead of a full one: a left join can split a node with very many pods.
+    empty = named.join(placed.select("node").distinct(), "node", "left_anti")
+    tree = placed.join(named, "node", "left").unionByName(empty, allowMissingColumns=True)
     waiting = F.col("node") == "_unscheduled_"
     role = F.when(waiting, "pending").otherwise(F.coalesce("role", F.lit("unknown")))
     return tree.select(

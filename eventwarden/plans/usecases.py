@@ -55,12 +55,21 @@ def read_bursts(events: DataFrame, words: Sequence[str] = ("secret",), minutes:
     return joined.where(burst).select("user", (F.col("slot") * width).alias("start_us"), "calls", "baseline_calls")
 
 
-def session_bursts(events: DataFrame, gap: str = "5 minutes", floor: int = 2) -> DataFrame:
-    """Runs of an actor's events with no pause longer than the gap."""
-    runs = events.groupBy("user", F.session_window("ts", gap).alias("_run")).agg(F.count("*").alias("events"))
-    return runs.where(F.col("events") >= floor).select(
-        "user", F.unix_micros("_run.start").alias("start_us"),
-        F.unix_micros("_run.end").alias("end_us"), "events")
+def session_bursts(events: DataFrame, gap_us: int = 5 * K.MINUTE_US, floor: int = 2) -> DataFrame:
+    """Runs of an actor's events in which every pause is shorter than the gap.
+
+    Events within one gap-wide slice always belong together, so they are combined
+    first; only slices are ordered, and their number is bounded by time.
+    """
+    slices = events.groupBy("user", F.floor(F.col("us") / gap_us).alias("_slice")).agg(
+        F.min("us").alias("_first"), F.max("us").alias("_last"), F.count("*").alias("_n"))
+    by_time = Window.partitionBy("user").orderBy("_slice")
+    starts = F.coalesce(F.col("_first") - F.lag("_last").over(by_time) >= gap_us, F.lit(True))
+    runs = slices.withColumn("_start", starts.cast("int")).withColumn(
+        "_run", F.sum("_start").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("user", "_run").agg(
+        F.min("_first").alias("start_us"), (F.max("_last") + gap_us).alias("end_us"),
+        F.sum("_n").alias("events")).where(F.col("events") >= floor).drop("_run")
 
 
 def outside_change_window(events: DataFrame, start_hour: int = 8, end_hour: int = 18) -> DataFrame:
