@@ -197,6 +197,26 @@ def _hash(column: str, buckets: int) -> str:
     return f"CAST({acc} AS INT)"
 
 
+_HASHED = (
+    ("user", '"user"', 10000), ("source_ip", "source_ip", 10000), ("namespace", "namespace", 5000),
+    ("object_type", "object_type", 2000), ("method", "method", 100), ("event_type", "event_type", 500),
+)
+_FEATURES = (
+    ("feat_user_hash", "user_hash"), ("feat_ip_hash", "source_ip_hash"), ("feat_namespace_hash", "namespace_hash"),
+    ("feat_object_type_hash", "object_type_hash"), ("feat_method_hash", "method_hash"), ("feat_event_type_hash", "event_type_hash"),
+    ("feat_hour", "hour"), ("feat_day_of_week", "day_of_week"), ("feat_is_off_hours", "is_off_hours"),
+    ("feat_is_sensitive", "is_sensitive"), ("feat_is_failed", "is_failed"), ("feat_is_high_risk_method", "is_high_risk"),
+    ("feat_sensitive_offhour", "is_sensitive * is_off_hours"), ("feat_hist_req_24h", "req_24h"), ("feat_hist_req_7d", "req_7d"),
+    ("feat_hist_req_30d", "req_30d"), ("feat_hist_fail_ratio_7d", "round_even(fail_ratio_7d, 4)"),
+    ("feat_hist_unique_namespaces", "unique_namespaces"), ("feat_hist_unique_resources", "unique_resources"),
+    ("feat_hist_unique_ips", "unique_ips"), ("feat_hist_sensitive_rate_7d", "round_even(sensitive_rate_7d, 4)"),
+    ("feat_hist_user_hour_baseline", "user_hour_baseline"), ("feat_is_new_user", "is_new_user"),
+    ("feat_hist_ip_req_24h", "ip_req_24h"), ("feat_hist_ip_fail_ratio_24h", "round_even(ip_fail_ratio_24h, 4)"),
+    ("feat_hist_ip_unique_users", "ip_unique_users"), ("feat_is_new_ip", "is_new_ip"),
+    ("feat_fail_burst_5min", "fail_burst_5min"), ("feat_is_rbac_resource", "is_rbac"),
+)
+
+
 def _bins(column: str) -> str:
     edges = [i * 0.1 for i in range(10)] + [1.0]
     parts = []
@@ -281,6 +301,19 @@ def all_oracles() -> dict[str, str]:
               CASE WHEN action IN ('create', 'patch', 'delete') AND resource IN ('configmaps', 'secrets', 'roles', 'clusterrolebindings') THEN 'config-change' END
             ], lambda x: x IS NOT NULL) AS tags FROM txt)
             SELECT event_id, CAST(i - 1 AS INT) AS pos, tags[i] AS tag FROM (SELECT event_id, tags, unnest(range(1, len(tags) + 1)) AS i FROM arr)""",
+        "field_retention": """SELECT doc_id AS event_id, source AS message, CASE WHEN b > 4000 THEN b END AS trimmed_bytes,
+            CASE WHEN b <= 4000 THEN CAST(length(text) AS INT) END AS chars_kept FROM (SELECT *, strlen(text) AS b FROM documents)""",
+        "forwarded_audit": _NORM + """SELECT event_id, classification, uri AS request_uri, user_name FROM norm WHERE source_type = 'k8s_audit'
+            AND NOT ((resource = 'events' AND action = 'patch') OR uri LIKE '/healthz%' OR uri LIKE '/metrics%'
+              OR (resource = 'leases' AND action IN ('get', 'patch')) OR classification = 'kubelet_routine')""",
+        "sensor_lines": _DET + "SELECT event_id, lower(replace(rule, ' ', '_')) AS rule, priority FROM det WHERE source_type = 'falco' AND event_id % 4 <> 0",
+        "container_lines": """SELECT doc_id, source || CASE WHEN doc_id % 3 = 0 THEN '-order-service-1' ELSE '-user-service' END AS container_name
+            FROM documents WHERE doc_id % 3 < 2 AND doc_id % 5 <> 0""",
+        "completed_inputs": _DET + """SELECT event_id, coalesce(fd_name, 'unknown') AS source_ip, coalesce(namespace, 'unknown') AS namespace,
+            CASE WHEN event_id % 2 = 0 THEN 'unknown' ELSE verb END AS method, CASE WHEN status_code >= 400 THEN 'Failure' ELSE 'Success' END AS result,
+            'unknown' AS "user", is_failed FROM det""",
+        "scored_documents": _SCO + f"""SELECT CASE WHEN event_type = 'falco' THEN 'falco-alerts' ELSE 'k8s-audit-raw' END AS source_topic, "user", object_type,
+            {_RISK} AS risk_level, anomaly_score AS if_score, us, strftime(ts, '%Y-%m-%d') AS day FROM flg""",
         "retention_window": _NORM + "SELECT event_id, us FROM norm WHERE us >= epoch_us(TIMESTAMP '2024-01-13 12:00:00')",
         "log_level_from_text": """WITH d AS (SELECT *, regexp_extract(text, '"([A-Z]+)\\s+(/\\S*)\\s+HTTP/[^"]+"\\s+(\\d{3})', ['m', 'p', 'c']) AS a,
               lower(text) AS t FROM documents),
@@ -334,9 +367,7 @@ def all_oracles() -> dict[str, str]:
               replace(split_part(url, '?', 2), '#', '&x='), '(?:page|ref|command)=([^&#]*)', 1), ' '), '') FROM pages""",
         # features
         "feature_hash": _SCO + "SELECT event_id, " + ", ".join(
-            f'{_hash(column, n)} AS {name}_hash' for name, column, n in (
-                ("user", '"user"', 10000), ("source_ip", "source_ip", 10000), ("namespace", "namespace", 5000),
-                ("object_type", "object_type", 2000), ("method", "method", 100), ("event_type", "event_type", 500))) + " FROM flg",
+            f"{_hash(column, n)} AS {name}_hash" for name, column, n in _HASHED) + " FROM flg",
         "event_flags": _SCO + "SELECT event_id, hour, day_of_week, is_off_hours, is_sensitive, is_failed, is_high_risk, is_rbac FROM flg",
         "user_rolling_counts": _ROLL + "SELECT event_id, req_24h, req_7d, req_30d, is_new_user FROM rat",
         "user_rolling_rates": _ROLL + "SELECT event_id, fail_ratio_7d, sensitive_rate_7d FROM rat",
@@ -363,6 +394,13 @@ def all_oracles() -> dict[str, str]:
             f"""(SELECT COUNT(DISTINCT h.{column}) FROM hot h WHERE h."user" = e."user" AND h.us >= e.us - {30 * DAY} AND h.us < e.us) AS {name}"""
             for name, column in (("unique_namespaces", "namespace"), ("unique_resources", "object_type"),
                                  ("unique_ips", "source_ip"))) + " FROM rat e",
+        "feature_rows": _ROLL + ", d AS (SELECT *, " + ", ".join(
+            f"{_distinct(key, column, width)} AS {name}" for name, key, column, width in (
+                ("unique_namespaces", '"user"', "namespace", 30 * DAY), ("unique_resources", '"user"', "object_type", 30 * DAY),
+                ("unique_ips", '"user"', "source_ip", 30 * DAY), ("ip_unique_users", "source_ip", '"user"', DAY)))
+            + " FROM rat e), h AS (SELECT *, " + ", ".join(
+            f"{_hash(column, n)} AS {name}_hash" for name, column, n in _HASHED) + " FROM d) SELECT event_id, " + ", ".join(
+            f"CAST({value} AS DOUBLE) AS {name}" for name, value in _FEATURES) + " FROM h",
         # scores
         "risk_levels": _SCO + f"""SELECT event_id, {_RISK} AS live,
             CASE WHEN anomaly_score > 0.8 THEN 'HIGH' WHEN anomaly_score > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS training FROM flg""",
@@ -485,7 +523,7 @@ def all_oracles() -> dict[str, str]:
         "partial_update": """SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 AND c_nationkey < 5 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey,
             CASE WHEN c_acctbal < 0 THEN 'BLOCKED' ELSE c_mktsegment END AS c_mktsegment FROM customer""",
         "customer_page": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 40",
-        "order_defaults": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus ELSE 'Pending' END AS status FROM orders",
+        "order_defaults": "SELECT o_orderkey AS id, '' AS customer, 0 AS quantity, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus ELSE 'Pending' END AS status FROM orders",
         # documented investigations
         "uc_daily_summary": _SCO + f"""SELECT us // {DAY} AS day, count(*) AS events, count(DISTINCT "user") AS actors,
             count(DISTINCT "user") FILTER (s) AS service_actors, count(DISTINCT "user") FILTER (NOT s) AS human_actors, sum(is_failed)::BIGINT AS failed

@@ -22,7 +22,10 @@ from eventwarden.models.sequence import (
     time_split,
 )
 from eventwarden.operators import dedup, policy, runtime, validate
-from eventwarden.operators.normalize import parse_access_lines, normalize_events
+from eventwarden.operators.normalize import (
+    forward_audit, from_app_containers, from_runtime_pods, normalize_events,
+    outside_system_namespaces, parse_access_lines, parse_sensor_lines,
+)
 from eventwarden.operators.ordered import SlicePolicy
 from eventwarden.operators.tagging import tag_events
 from eventwarden.plans import analytics as A
@@ -30,9 +33,11 @@ from eventwarden.plans import usecases as U
 from eventwarden.plans.features import (
     feature_matrix, ip_history, reason_text, rolling_features, user_history,
 )
-from eventwarden.plans.ingest import ingest, outcomes, scorer_input
+from eventwarden.plans.ingest import complete_input, ingest, outcomes, scorer_input
 from eventwarden.plans.scoring import combined_score
 from eventwarden.session import cut_lineage, prepare, spread
+from eventwarden.sources import writers
+from eventwarden.sources.writers import kafka_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -131,9 +136,60 @@ def tags_exploded(spark, folder):
 
 @query
 def field_retention(spark, folder):
-    shaped = policy.shape_fields(normalized(spark, folder), keep=["namespace", "raw_event"], max_bytes=420)
-    return shaped.select("event_id", "source_type", "namespace",
-                         F.get_json_object("raw_event", "$._trimmed").isNotNull().alias("trimmed"))
+    docs = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("event_id"), F.lit("x").alias("dropped"), F.col("source").alias("message"),
+        F.col("text").alias("raw_event"))
+    shaped = policy.shape_fields(docs, keep=["raw_event"], max_bytes=4000)
+    trimmed = F.get_json_object("raw_event", "$._bytes").cast("bigint")
+    return shaped.select("event_id", "message", trimmed.alias("trimmed_bytes"),
+                         F.when(trimmed.isNull(), F.length("raw_event")).alias("chars_kept"))
+
+
+@query
+def forwarded_audit(spark, folder):
+    lines = raw_items(spark, folder).where("source_type = 'k8s_audit'").select(F.col("body").alias("value"))
+    sent = forward_audit(kafka_rows(forward_audit(lines), wrapped=False))
+    return normalize_events(sent).select("event_id", "classification", "request_uri", "user_name")
+
+
+@query
+def sensor_lines(spark, folder):
+    lines = raw_items(spark, folder).where("source_type = 'falco'").select(
+        "event_no", F.col("body").alias("message"), F.concat(
+            F.when(F.col("event_no") % 4 == 0, "falco-falcosidekick-").otherwise("falco-"),
+            F.col("event_no").cast("string")).alias("pod_name"))
+    rows = parse_sensor_lines(from_runtime_pods(lines))
+    return rows.select(F.col("event_no").alias("event_id"), F.col("labels")["rule"].alias("rule"),
+                       F.col("labels")["priority"].alias("priority"))
+
+
+@query
+def container_lines(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", F.concat(
+        F.col("source"), F.when(F.col("doc_id") % 3 == 0, "-order-service-1")
+        .when(F.col("doc_id") % 3 == 1, "-user-service").otherwise("-proxy")).alias("container_name"),
+        F.concat(F.lit("/var/log/pods/"), F.when(F.col("doc_id") % 5 == 0, "kube-system").otherwise("shop"),
+                 F.lit("/x.log")).alias("path"))
+    return outside_system_namespaces(from_app_containers(docs)).select("doc_id", "container_name")
+
+
+@query
+def completed_inputs(spark, folder):
+    rows = security_rows(spark, folder).select(
+        "event_id", "ts", F.col("fd_name").alias("source_ip"), F.col("namespace"),
+        F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("verb")).alias("method"),
+        F.when(F.col("status_code") >= 400, "Failure").alias("result"))
+    return complete_input(rows).select("event_id", "source_ip", "namespace", "method", "result", "user", "is_failed")
+
+
+@query
+def scored_documents(spark, folder):
+    rows = scorer_events(spark, folder).withColumns({
+        "if_score": F.col("anomaly_score"), "seq_score": F.col("previous_score"), "seq_active": F.lit(True),
+        "risk_level": R.risk_level(F.col("anomaly_score")), "reason": F.lit("r"), "model_version": F.lit("v1")})
+    docs = writers.scored_documents(rows, F.when(F.col("event_type") == "falco", "falco-alerts").otherwise("k8s-audit-raw"))
+    return docs.select("source_topic", "user", "object_type", "risk_level", F.col("ml_output.if_score").alias("if_score"),
+                       us("ml_input.ts").alias("us"), F.date_format("event_date", "yyyy-MM-dd").alias("day"))
 
 
 @query
@@ -296,7 +352,7 @@ def reasons(spark, folder):
 
 @query
 def feature_rows(spark, folder):
-    """The whole feature matrix; ratios are rounded, so only rows are compared."""
+    """The whole feature matrix."""
     return feature_matrix(scorer_events(spark, folder)).select("event_id", *K.FEATURE_COLS)
 
 
@@ -605,7 +661,7 @@ def row_validation(spark, folder):
         (F.col("p_retailprice") - 950).alias("price"), (F.col("p_size") - 3).alias("quantity"))
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("customer"),
-        F.pmod("o_custkey", F.lit(3)).alias("quantity"))
+        F.lit("p").alias("product"), F.pmod("o_custkey", F.lit(3)).alias("quantity"))
     found = validate.with_violations(products, validate.product_rules()).select(
         F.lit("product").alias("kind"), "id", "violations").unionByName(
         validate.with_violations(orders, validate.order_rules()).select(
@@ -658,7 +714,7 @@ def order_defaults(spark, folder):
     rows = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("status"))
-    return validate.with_defaults(rows, "orders")
+    return validate.with_defaults(rows, "orders").select("id", "customer", "quantity", "status")
 
 
 # --- documented investigations ----------------------------------------------

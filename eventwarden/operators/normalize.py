@@ -18,9 +18,10 @@ from eventwarden import constants as K
 from eventwarden import schemas as S
 from eventwarden.functions import rules as R
 from eventwarden.functions.hashing import fingerprint
-from eventwarden.functions.text import blank_to_null
+from eventwarden.functions.text import blank_to_null, plain_label
 from eventwarden.functions.timestamps import parse_text
 from eventwarden.operators.pinned import with_pinned
+from eventwarden.operators.policy import noise_reason
 
 EVENT_FIELDS = [
     ("event_id", "string"), ("timestamp", "timestamp"), ("invocation_time", "timestamp"),
@@ -297,3 +298,34 @@ def from_runtime_pods(lines: DataFrame, pod: str = "pod_name") -> DataFrame:
     """Pods of the runtime sensor itself, without its forwarding sidekick."""
     name = F.coalesce(F.col(pod), F.lit(""))
     return lines.where(name.startswith("falco-") & ~name.startswith("falco-falcosidekick"))
+
+
+def forward_audit(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Audit log lines as the node agent passes them on: ``(source_type, body)`` items.
+
+    Known fields are projected with their defaults, the whole event is kept beside
+    them, and noise is left out before anything is sent.
+    """
+    rows = with_pinned(lines, "_a", F.from_json(value, S.AUDIT))
+    a, ref = F.col("_a"), F.col("_a")["objectRef"]
+    verb = F.coalesce(a["verb"], F.lit("unknown"))
+    uri = F.coalesce(a["requestURI"], F.lit("/unknown"))
+    noise = noise_reason(verb, ref["resource"], ref["subresource"], uri, a["user"]["username"])
+    whole = F.struct(F.col(value).alias("raw_line"))
+    same = ("auditID", "requestReceivedTimestamp", "stageTimestamp", "stage", "userAgent", "user",
+            "impersonatedUser", "objectRef", "responseStatus", "sourceIPs")
+    body = F.to_json(F.struct(
+        *[a[name].alias(name) for name in same], verb.alias("verb"), uri.alias("requestURI"),
+        F.coalesce(a["annotations"], _no_fields()).alias("annotations"), whole.alias("extra")))
+    return rows.where(noise.isNull()).select(F.lit("k8s_audit").alias("source_type"), body.alias("body"))
+
+
+def parse_sensor_lines(lines: DataFrame, value: str = "message") -> DataFrame:
+    """Output lines of the runtime sensor as items, with stream labels."""
+    e = F.from_json(value, S.FALCO)
+    rule, priority = e["rule"], e["priority"]
+    return lines.select(
+        "*", F.lit("falco").alias("source_type"), F.col(value).alias("body"),
+        F.create_map(F.lit("source"), F.lit("falco"), F.lit("source_type"), F.lit("falco"),
+                     F.lit("rule"), plain_label(rule),
+                     F.lit("priority"), F.coalesce(priority, F.lit(""))).alias("labels"))

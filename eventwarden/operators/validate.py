@@ -33,6 +33,7 @@ def product_rules() -> dict[str, Column]:
 def order_rules() -> dict[str, Column]:
     return {
         "customer length": F.length("customer") >= 2,
+        "product named": F.length("product") >= 1,
         "quantity at least one": F.col("quantity") >= 1,
     }
 
@@ -44,17 +45,20 @@ def payment_rules() -> dict[str, Column]:
     }
 
 
+def notification_rules() -> dict[str, Column]:
+    return {"user length": F.length("user") >= 2}
+
+
 def label_rules() -> dict[str, Column]:
     return {"label is 0 or 1": F.col("label").isin(0, 1)}
 
 
-# Values a document gets when a field is missing.
+# What a field shows when the stored document lacks it.
 DEFAULTS = {
-    "users": {"role": "customer", "address": ""},
-    "products": {"description": "", "category": ""},
-    "orders": {"status": "Pending"},
-    "payments": {"status": "Success"},
-    "notifications": {"status": "Sent"},
+    "users": {"name": "", "email": "", "phone": "", "address": "", "role": "customer"},
+    "orders": {"customer": "", "product": "", "quantity": 0, "status": "Pending"},
+    "payments": {"customer": "", "amount": 0.0, "method": "", "status": "Success"},
+    "notifications": {"user": "", "type": "", "message": "", "status": "Sent"},
 }
 
 

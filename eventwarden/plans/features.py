@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventwarden import constants as K
 from eventwarden.functions.hashing import hash_bucket
-from eventwarden.functions.text import contains_any
+from eventwarden.functions.text import contains_any, safe
 from eventwarden.functions.timestamps import epoch_us, is_off_hours
 from eventwarden.operators.ordered import DEFAULT_POLICY, SlicePolicy, Spread, span_of
 from eventwarden.operators.rolling import IP_PLAN, USER_PLAN, rolling
@@ -15,14 +15,13 @@ from eventwarden.operators.rolling import IP_PLAN, USER_PLAN, rolling
 
 def with_event_flags(events: DataFrame) -> DataFrame:
     """Clean the scorer input and add the flags that need no history."""
-    method = F.lower(F.coalesce(F.trim("method"), F.lit("unknown")))
-    target = F.lower(F.coalesce(F.trim("object_type"), F.lit("unknown")))
+    method, target = F.lower(safe(F.col("method"))), F.lower(safe(F.col("object_type")))
     hour = F.hour("ts")
     out = events.withColumns({
-        "user": F.coalesce(F.trim("user"), F.lit("unknown")),
-        "source_ip": F.coalesce(F.trim("source_ip"), F.lit("unknown")),
-        "namespace": F.coalesce(F.trim("namespace"), F.lit("unknown")),
-        "event_type": F.coalesce(F.trim("event_type"), F.lit("unknown")),
+        "user": safe(F.col("user")),
+        "source_ip": safe(F.col("source_ip")),
+        "namespace": safe(F.col("namespace")),
+        "event_type": safe(F.col("event_type")),
         "method": method,
         "object_type": target,
         "us": epoch_us(F.col("ts")),

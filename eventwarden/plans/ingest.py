@@ -77,3 +77,26 @@ def scorer_input(items: DataFrame) -> DataFrame:
     )
     return audit.unionByName(falco).withColumn(
         "is_failed", (F.lower("result") != "success").cast("int"))
+
+
+def complete_input(rows: DataFrame) -> DataFrame:
+    """Scorer input given field by field: missing or empty fields get their default.
+
+    A missing result counts as success; a missing time stays null, so the row goes to
+    the unreadable ones instead of being scored at the present time.
+    """
+    def filled(name: str, default: str) -> Column:
+        if name not in rows.columns:
+            return F.lit(default)
+        return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default))
+
+    names = ("event_type", "classification", "user", "method", "source_ip", "namespace", "object_type",
+             "object_name")
+    out = rows.withColumns({n: filled(n, "unknown") for n in names} | {"result": filled("result", "Success")})
+    ts = parse_text(F.col("timestamp_utc")) if "timestamp_utc" in rows.columns else F.col("ts")
+    return out.withColumns({"ts": ts, "is_failed": (F.lower(F.trim("result")) != "success").cast("int")})
+
+
+def sample_ids(found: DataFrame, count: int = 10) -> DataFrame:
+    """A few ids of a batch, for its summary."""
+    return found.where("event_id IS NOT NULL").select("event_id").limit(count)

@@ -16,9 +16,10 @@ from eventwarden.models.forest import (
     Forest, fit_forest, load_forest, normalized, raw_score, score_stats,
 )
 from eventwarden.models.sequence import (
-    fit_sequence, label_join, sequence_score, sequence_windows, time_split,
+    fit_sequence, held_out, label_join, recent_window, sequence_score, sequence_windows, time_split,
 )
 from eventwarden.plans.features import reason_text
+from eventwarden.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -40,33 +41,53 @@ class SequenceModel:
     version: str
 
 
+HIGH_RATE = 0.3
+
+
 def train_forest(matrix: DataFrame, folder: str, trees: int = K.FOREST_TREES,
                  share: float = K.TRAIN_SHARE, seed: int = 42, force: bool = False,
                  compare: bool = False) -> dict:
-    """Fit on the earliest rows, check on the rest, publish.
+    """Fit on the earliest rows, check on the rest, publish."""
+    return _fit_and_publish(time_split(matrix, share), folder, trees, seed, force, compare)
+
+
+def retrain_forest(matrix: DataFrame, folder: str, trees: int = K.FOREST_TREES, seed: int = 42,
+                   force: bool = False) -> dict:
+    """Fit on the last month of the data without its last days, which judge the model.
 
-    With ``compare`` the newest published forest is scored on the same held-out rows,
-    and a model that looks wrong is not published.
+    The newest published forest is scored on the same held-out rows, and a model
+    that looks wrong is not published.
     """
-    spark = matrix.sparkSession
-    split = time_split(matrix, share)
+    window = recent_window(matrix)
+    found = window.count()
+    if found < K.MIN_RETRAIN_ROWS:
+        return {"status": "skipped", "rows": found}
+    return _fit_and_publish(held_out(window), folder, trees, seed, force, compare=True)
+
+
+def _fit_and_publish(split: DataFrame, folder: str, trees: int, seed: int, force: bool,
+                     compare: bool) -> dict:
+    spark = split.sparkSession
     train, rest = split.where("is_train"), split.where("NOT is_train")
     n_train, n_val = train.count(), rest.count()
-    if n_train < K.MIN_TRAIN_ROWS or (compare and n_train + n_val < K.MIN_RETRAIN_ROWS):
+    if n_train < K.MIN_TRAIN_ROWS:
         return {"status": "skipped", "n_train": n_train, "n_val": n_val}
     version = registry.new_version()
     path = f"{folder}/forest/{version}"
     fit_forest(train, trees=trees, seed=seed, rows=n_train).coalesce(1).write.parquet(path)
     forest = load_forest(spark.read.parquet(path))
-    stats = score_stats(train.select(raw_score(spark, forest).alias("raw_score"))).first().asDict()
+    # The scores feed the range and the quantiles: computed once.
+    raw = cut_lineage(train.select(raw_score(spark, forest).alias("raw_score")))
+    stats = score_stats(raw).first().asDict()
     model = ForestModel(forest, stats["min"], stats["max"], version)
     facts = dict(stats)
     decision = "replaced"
     old = current_forest(spark, folder) if compare else None
     if n_val:
-        scored = rest.select(model.score(spark).alias("new"),
-                             *([old.score(spark).alias("old")] if old else []))
+        scored = cut_lineage(rest.select(
+            model.score(spark).alias("new"), *([old.score(spark).alias("old")] if old else [])))
         facts["anomaly_rate"] = scored.agg(anomaly_rate(F.col("new")).alias("r")).first()["r"]
+        facts["rate_is_high"] = facts["anomaly_rate"] > HIGH_RATE
         if old:
             found = replace_decision(scored, "old", "new", force).first()
             decision = found["decision"]

@@ -37,8 +37,10 @@ def replace_batch(path: str, by: str = "event_date") -> Callable[[DataFrame, int
     return write
 
 
-def kafka_rows(items: DataFrame, source: str = "audit") -> DataFrame:
-    """Items as envelope messages: ``value`` holds the JSON."""
+def kafka_rows(items: DataFrame, source: str = "audit", wrapped: bool = True) -> DataFrame:
+    """Items as messages: ``value`` holds the envelope, or the bare event."""
+    if not wrapped:
+        return items.select(F.col("body").alias("value"))
     body = F.concat(
         F.lit('{"source_type":"'), F.col("source_type"), F.lit(f'","source":"{source}","event":'),
         F.col("body"), F.lit("}"))

@@ -11,7 +11,7 @@ from eventwarden.models.sequence import label_join, sequence_windows
 from eventwarden.operators.dedup import throttle
 from eventwarden.operators.ordered import SlicePolicy
 from eventwarden.plans.features import feature_matrix
-from eventwarden.plans.scoring import current_forest, score_events, select_alerts, train_forest
+from eventwarden.plans.scoring import current_forest, score_events, retrain_forest, select_alerts, train_forest
 from eventwarden.session import cut_lineage
 
 
@@ -114,7 +114,7 @@ def test_train_score_retrain(spark, small, tmp_path):
     assert current_forest(spark, folder) is None
     first = train_forest(matrix, folder, trees=30)
     assert first["status"] == "replaced" and first["min"] <= first["p90"] <= first["max"]
-    second = train_forest(matrix, folder, trees=30, seed=9, compare=True)
+    second = retrain_forest(matrix, folder, trees=30, seed=9)
     assert "psi" in second
     model = current_forest(spark, folder)
     assert model.version == second["version"]
@@ -126,3 +126,4 @@ def test_train_score_retrain(spark, small, tmp_path):
     with pytest.raises(ValueError):
         registry.check_features(registry.latest(spark, folder, "forest"), ["other"])
     assert train_forest(matrix.limit(20), folder)["status"] == "skipped"
+    assert retrain_forest(matrix.limit(100), folder)["status"] == "skipped"
