@@ -68,6 +68,8 @@ def retrain_forest(matrix: DataFrame, folder: str, trees: int = K.FOREST_TREES,
 def _fit_and_publish(split: DataFrame, folder: str, trees: int, seed: int, force: bool,
                      compare: bool) -> dict:
     spark = split.sparkSession
+    # Read several times from here on: written once, training rows apart.
+    split = cut_lineage(split.select("event_id", *K.FEATURE_COLS, "is_train"), by="is_train")
     train, rest = split.where("is_train"), split.where("NOT is_train")
     n_train, n_val = train.count(), rest.count()
     if n_train < K.MIN_TRAIN_ROWS:
@@ -118,7 +120,7 @@ def train_sequence(matrix: DataFrame, labels: DataFrame, folder: str, kind: str
     spark = matrix.sparkSession
     windows = label_join(sequence_windows(matrix), labels).withColumn(
         "target", (F.col("label") == "anomaly").cast("int")).select("event_id", "us", "window", "seq_active", "target")
-    split = time_split(windows, share)
+    split = cut_lineage(time_split(cut_lineage(windows), share), by="is_train")
     train, rest = split.where("is_train"), split.where("NOT is_train")
     n_train, n_val = train.count(), rest.count()
     if n_train == 0:

@@ -113,3 +113,22 @@ def test_quantiles_equal_linear_interpolation(spark, values):
     found = {r.share: r.quantile for r in exact_quantiles(df, "v", shares, CUT).collect()}
     for s in shares:
         assert found[s] == pytest.approx(np.percentile(values, 100 * s), abs=1e-12)
+
+
+@pytest.mark.parametrize("slots", [3, 100_000])
+def test_nth_value_with_ties(spark, slots):
+    from eventwarden.operators.ordered import is_before_row, nth_value
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice([5, 7, 7, 900, -10 ** 12, 10 ** 15])) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id bigint, us bigint").persist()
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    for n in (0, 99, 199):
+        value, before = nth_value(df, "us", n, slots)
+        assert value == ordered[n][1]
+        assert before == sum(r[1] < value for r in rows)
+    with pytest.raises(ValueError):
+        nth_value(df, "us", 200)
+    for n in (0, 1, 77, 200):
+        first = {r.event_id for r in df.where(is_before_row(df, n, "us", "event_id")).collect()}
+        assert first == {r[0] for r in ordered[:n]}
