@@ -31,7 +31,7 @@ from eventwarden.operators.tagging import tag_events
 from eventwarden.plans import analytics as A
 from eventwarden.plans import usecases as U
 from eventwarden.plans.features import (
-    feature_matrix, ip_history, reason_text, rolling_features, user_history,
+    HISTORY_INPUT, feature_matrix, reason_text, rolling_features, with_ip_history, with_user_history,
 )
 from eventwarden.plans.ingest import complete_input, ingest, outcomes, scorer_input
 from eventwarden.plans.scoring import combined_score
@@ -303,7 +303,7 @@ def event_flags(spark, folder):
 
 def _user_rows(spark, folder):
     events = scorer_events(spark, folder)
-    return events.select("event_id", "user", "us").join(user_history(events, digits=None), ["user", "us"])
+    return with_user_history(events.select(*HISTORY_INPUT), digits=None)
 
 
 @query
@@ -329,8 +329,7 @@ def user_hour_baseline(spark, folder):
 @query
 def ip_rolling(spark, folder):
     events = scorer_events(spark, folder)
-    found = ip_history(events, digits=None)
-    return events.select("event_id", "source_ip", "us").join(found, ["source_ip", "us"]).select(
+    return with_ip_history(events.select(*HISTORY_INPUT), digits=None).select(
         "event_id", "ip_req_24h", "ip_fail_ratio_24h", "ip_unique_users", "is_new_ip", "fail_burst_5min")
 
 
@@ -340,8 +339,9 @@ def hot_user_rolling(spark, folder):
     events = scorer_events(spark, folder).withColumn(
         "user", F.when(F.col("event_id") % 3 == 0, "system:hot").otherwise(F.col("user")))
     cut = SlicePolicy(min_rows=1000, target_rows=500)
-    found = user_history(events, cut, digits=None)
-    return events.select("event_id", "user", "us").join(found, ["user", "us"]).drop("user", "us")
+    return with_user_history(events.select(*HISTORY_INPUT), policy=cut, digits=None).select(
+        "event_id", "req_24h", "req_7d", "req_30d", "fail_ratio_7d", "sensitive_rate_7d", "user_hour_baseline",
+        "is_new_user", "unique_namespaces", "unique_resources", "unique_ips")
 
 
 @query

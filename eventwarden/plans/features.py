@@ -10,7 +10,7 @@ from eventwarden.functions.hashing import hash_bucket
 from eventwarden.functions.text import contains_any, safe
 from eventwarden.functions.timestamps import epoch_us, is_off_hours
 from eventwarden.operators.ordered import DEFAULT_POLICY, SlicePolicy, Spread, span_of
-from eventwarden.operators.rolling import IP_PLAN, USER_PLAN, rolling
+from eventwarden.operators.rolling import IP_PLAN, USER_PLAN, with_rolling
 
 
 def with_event_flags(events: DataFrame) -> DataFrame:
@@ -44,45 +44,37 @@ HISTORY_INPUT = ("event_id", "user", "source_ip", "namespace", "object_type", "u
                  "is_failed", "is_sensitive")
 
 
-def user_history(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY,
-                 digits: int | None = 4, span: Spread | None = None) -> DataFrame:
-    """Rolling behaviour per user and instant."""
-    found = rolling(events.select(*HISTORY_INPUT), USER_PLAN, policy=policy, span=span)
-    return found.select(
-        "user", "us", "req_24h", "req_7d", "req_30d",
-        _share("failed_7d", "req_7d", digits).alias("fail_ratio_7d"),
-        "unique_namespaces", "unique_resources", "unique_ips",
-        _share("sensitive_7d", "req_7d", digits).alias("sensitive_rate_7d"),
-        "user_hour_baseline",
-        (F.col("req_30d") == 0).cast("int").alias("is_new_user"),
-    )
+def with_user_history(rows: DataFrame, events: DataFrame | None = None,
+                      policy: SlicePolicy = DEFAULT_POLICY, digits: int | None = 4,
+                      span: Spread | None = None) -> DataFrame:
+    """Rows with the rolling behaviour of their user."""
+    events = (rows if events is None else events).select(*HISTORY_INPUT)
+    found = with_rolling(rows, USER_PLAN, events, policy=policy, span=span)
+    return found.withColumns({
+        "fail_ratio_7d": _share("failed_7d", "req_7d", digits),
+        "sensitive_rate_7d": _share("sensitive_7d", "req_7d", digits),
+        "is_new_user": (F.col("req_30d") == 0).cast("int"),
+    }).drop("failed_7d", "sensitive_7d")
 
 
-def ip_history(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY,
-               digits: int | None = 4, span: Spread | None = None) -> DataFrame:
-    """Rolling behaviour per source address and instant."""
-    found = rolling(events.select(*HISTORY_INPUT), IP_PLAN, policy=policy, span=span)
-    return found.select(
-        "source_ip", "us", "ip_req_24h",
-        _share("ip_failed_24h", "ip_req_24h", digits).alias("ip_fail_ratio_24h"),
-        "ip_unique_users",
-        (F.col("ip_req_24h") == 0).cast("int").alias("is_new_ip"),
-        "fail_burst_5min",
-    )
+def with_ip_history(rows: DataFrame, events: DataFrame | None = None,
+                    policy: SlicePolicy = DEFAULT_POLICY, digits: int | None = 4,
+                    span: Spread | None = None) -> DataFrame:
+    """Rows with the rolling behaviour of their source address."""
+    events = (rows if events is None else events).select(*HISTORY_INPUT)
+    found = with_rolling(rows, IP_PLAN, events, policy=policy, span=span)
+    return found.withColumns({
+        "ip_fail_ratio_24h": _share("ip_failed_24h", "ip_req_24h", digits),
+        "is_new_ip": (F.col("ip_req_24h") == 0).cast("int"),
+    }).drop("ip_failed_24h")
 
 
 def rolling_features(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY,
                      digits: int | None = 4) -> DataFrame:
-    """Every event with the history of its user and of its address.
-
-    The history frames hold one row per key and instant, so a hot key shows up in
-    these joins only as many equal event rows, which adaptive execution splits.
-    """
+    """Every event with the history of its user and of its address: one shuffle each."""
     span = span_of(events, "us")
-    return (
-        events.join(user_history(events, policy, digits, span), ["user", "us"])
-        .join(ip_history(events, policy, digits, span), ["source_ip", "us"])
-    )
+    by_user = with_user_history(events, events, policy, digits, span)
+    return with_ip_history(by_user, events, policy, digits, span)
 
 
 def feature_matrix(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from eventwarden import constants as K
 from eventwarden.functions.text import contains_any
 from eventwarden.operators.ordered import DEFAULT_POLICY, SlicePolicy
-from eventwarden.operators.rolling import RollingPlan, RollingSum, first_sightings, rolling
+from eventwarden.operators.rolling import RollingPlan, RollingSum, first_sightings, with_rolling
 
 SERVICE_ACTOR = r"^system:|serviceaccount|bot"
 
@@ -84,14 +84,12 @@ def repeated_exec(events: DataFrame, times: int = 3, hours: int = 2,
 
     ``target`` names the pod or workload.
     """
-    rows = events.where(F.col("object_type").endswith("/exec")).withColumn(
-        "_pair", F.concat_ws("|", "user", "namespace", "target"))
+    rows = events.where(F.col("object_type").endswith("/exec")).select(
+        "event_id", "us", "user", "namespace", "target",
+        F.concat_ws("|", "user", "namespace", "target").alias("_pair"))
     plan = RollingPlan("_pair", (RollingSum("_before", hours * K.HOUR_US),))
-    seen = rolling(rows.select("_pair", "us"), plan, policy=policy)
-    return (
-        rows.join(seen, ["_pair", "us"]).where(F.col("_before") + 1 >= times)
-        .select("event_id", "us", "user", "namespace", "target", (F.col("_before") + 1).alias("calls"))
-    )
+    return with_rolling(rows, plan, policy=policy).where(F.col("_before") + 1 >= times).select(
+        "event_id", "us", "user", "namespace", "target", (F.col("_before") + 1).alias("calls"))
 
 
 def first_permission_change(events: DataFrame, days: int = 180) -> DataFrame:

@@ -11,7 +11,7 @@ from eventwarden.operators.ordered import (
     SlicePolicy, exact_quantiles, last_rows, with_position,
 )
 from eventwarden.operators.rolling import (
-    IP_PLAN, USER_PLAN, first_sightings, presence_edges, rolling,
+    IP_PLAN, USER_PLAN, first_sightings, presence_edges, rolling, with_rolling,
 )
 
 CUT = SlicePolicy(min_rows=10, target_rows=7, max_hot_keys=1000)
@@ -57,15 +57,22 @@ def _brute(rows, plan):
 def test_rolling_equals_brute_force(spark, plan, policy):
     rows = _rows()
     df = spark.createDataFrame(rows, SCHEMA)
-    found = {(r[0], r[1]): tuple(r[2:]) for r in rolling(df, plan, policy=policy).collect()}
-    assert found == _brute(rows, plan)
+    want = _brute(rows, plan)
+    names = [s.name for s in (*plan.sums, *plan.distincts, *plan.hours)]
+    found = with_rolling(df, plan, policy=policy).select("event_id", plan.key, "us", *names).collect()
+    assert len(found) == len(rows)
+    assert all(tuple(r[3:]) == want[(r[1], r[2])] for r in found)
+    changes = {(r[0], r[1]): tuple(r[2:]) for r in rolling(df, plan, policy=policy).collect()}
+    assert changes == want
 
 
 def test_hot_key_is_cut_and_not_collected(spark):
     df = spark.createDataFrame(_rows(), SCHEMA)
-    plan = rolling(df, USER_PLAN, policy=CUT)._jdf.queryExecution().optimizedPlan().toString()
+    plan = with_rolling(df, USER_PLAN, policy=CUT)._jdf.queryExecution().optimizedPlan().toString()
     assert "_slice" in plan
     assert "collect_" not in plan
+    whole = with_rolling(df, USER_PLAN)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" not in whole and "Join" not in whole
 
 
 def test_first_sightings_and_edges(spark):
