@@ -76,9 +76,13 @@ def start_throttle(alerts: DataFrame, table: str, checkpoint: str, label: str =
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         kept = None
-        if batch_id > 0:
+        first = batch.agg(F.min(us)).first()[0]
+        if batch_id > 0 and first is not None:
+            # Only what was kept within one gap before this batch can hold rows back.
             done = spark.read.schema(batch.schema.add("batch_id", "long")).parquet(table)
-            kept = done.where((F.col("batch_id") < batch_id) & F.col(label).isin(*K.NOISY_CLASSES)).select(label, us)
+            kept = done.where(
+                (F.col("batch_id") < batch_id) & (F.col(us) > first - gap_us)
+                & F.col(label).isin(*K.NOISY_CLASSES)).select(label, us)
         (throttle(batch, label, us, gap_us=gap_us, kept_before=kept)
          .withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(table))

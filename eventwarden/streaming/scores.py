@@ -62,18 +62,36 @@ def batch_features(batch: DataFrame, history: DataFrame | None, batch_id: int,
     return feature_matrix(rows, policy).where("_fresh").drop("_fresh")
 
 
-def with_recent_steps(matrix: DataFrame, scored: DataFrame | None, batch_id: int,
-                      length: int = K.SEQUENCE_LENGTH) -> DataFrame:
+STEP_COLUMNS = ("user", "us", "event_id", *K.FEATURE_COLS)
+
+
+def last_steps(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """The newest snapshot before this batch: the last feature rows of every user."""
+    steps = _table(spark, f"{folder}/steps")
+    if steps is None:
+        return None
+    newest = steps.where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
+    if newest is None:
+        return None
+    return steps.where(F.col("batch_id") == newest).select(*STEP_COLUMNS)
+
+
+def with_recent_steps(matrix: DataFrame, steps: DataFrame | None) -> DataFrame:
     """The batch rows and, marked as old, the last rows of their users before it."""
     fresh = matrix.withColumn("_fresh", F.lit(True))
-    if scored is None:
+    if steps is None:
         return fresh
+    old = steps.join(matrix.select("user").distinct(), "user", "left_semi")
+    return fresh.unionByName(old.withColumn("_fresh", F.lit(False)), allowMissingColumns=True)
+
+
+def keep_last_steps(matrix: DataFrame, steps: DataFrame | None, length: int = K.SEQUENCE_LENGTH) -> DataFrame:
+    """The next snapshot. Its size follows the number of users, not of events, and the
+    rank limit applies before the shuffle."""
+    rows = matrix.select(*STEP_COLUMNS)
+    rows = rows if steps is None else rows.unionByName(steps)
     newest = Window.partitionBy("user").orderBy(F.col("us").desc(), F.col("event_id").desc())
-    users = matrix.select("user").distinct()
-    old = (
-        scored.where(F.col("batch_id") < batch_id).join(users, "user", "left_semi")
-        .withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") < length))
-    return fresh.unionByName(old.select(*matrix.columns).withColumn("_fresh", F.lit(False)))
+    return rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") < length).drop("_rank")
 
 
 def score_batch(batch: DataFrame, batch_id: int, folder: str, forest: ForestModel,
@@ -84,14 +102,14 @@ def score_batch(batch: DataFrame, batch_id: int, folder: str, forest: ForestMode
     _write(batch.where("ts IS NULL OR event_id IS NULL"), f"{folder}/unreadable", batch_id)
     # Written once: the features feed the scores, and the scores feed two tables.
     matrix = cut_lineage(batch_features(good, _table(spark, f"{folder}/history"), batch_id, policy))
-    if sequence is not None:
-        rows = with_recent_steps(matrix, _table(spark, f"{folder}/scored"), batch_id)
-    else:
-        rows = matrix.withColumn("_fresh", F.lit(True))
+    steps = last_steps(spark, folder, batch_id)
+    rows = with_recent_steps(matrix, steps) if sequence else matrix.withColumn("_fresh", F.lit(True))
     scored = score_events(rows, forest, sequence).where("_fresh").drop("_fresh")
     scored = cut_lineage(scored)
     _write(scored, f"{folder}/scored", batch_id)
     _write(select_alerts(scored), f"{folder}/alerts", batch_id)
+    (keep_last_steps(matrix, steps).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/steps"))
     _write(matrix.select(*HISTORY_COLUMNS), f"{folder}/history", batch_id)
 
 
