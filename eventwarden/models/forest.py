@@ -151,14 +151,14 @@ def load_forest(table: DataFrame, sample: int = K.FOREST_SAMPLE) -> Forest:
 
 def raw_score(spark: SparkSession, forest: Forest, columns: Sequence[str] = K.FEATURE_COLS) -> Column:
     """Larger means more normal, between -1 and 0."""
-    shared = spark.sparkContext.broadcast(forest)
-    scale = expected_path(forest.sample)
+    # Plain arrays, which a worker reads without this package.
+    shared = spark.sparkContext.broadcast((forest.features, forest.thresholds, forest.paths))
+    scale, depth = expected_path(forest.sample), forest.depth
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        model = shared.value
-        trees = np.arange(model.features.shape[0])
-        inner = model.features.shape[1]
+        features, thresholds, paths = shared.value
+        trees, inner = np.arange(features.shape[0]), features.shape[1]
         for batch in batches:
             values = np.column_stack([s.to_numpy(dtype=float) for s in batch])
             total = np.zeros(len(values))
@@ -167,10 +167,10 @@ def raw_score(spark: SparkSession, forest: Forest, columns: Sequence[str] = K.FE
                 part = values[start:start + 2048]
                 line = np.arange(len(part))[:, None]
                 place = np.zeros((len(part), len(trees)), dtype=np.int64)
-                for _ in range(model.depth):
-                    right = part[line, model.features[trees, place]] > model.thresholds[trees, place]
+                for _ in range(depth):
+                    right = part[line, features[trees, place]] > thresholds[trees, place]
                     place = 2 * place + 1 + right
-                total[start:start + 2048] = model.paths[trees, place - inner].mean(axis=1)
+                total[start:start + 2048] = paths[trees, place - inner].mean(axis=1)
             yield pd.Series(-np.exp2(-total / scale))
 
     return score(*[F.col(c).cast("double") for c in columns])
