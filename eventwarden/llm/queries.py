@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventwarden.llm.near_dedup import near_duplicates
+from eventwarden.llm.repeats import remove_repeats
 from eventwarden.llm.scratch import Scratch
 
 
@@ -15,6 +16,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return remove_repeats(docs, Scratch(spark, "op7")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), Scratch(spark, "op8"), threshold=0.85)
 
