@@ -7,15 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventwarden.llm.byte_bpe import round_trip
+from eventwarden.llm.cap_links import near_vectors
 from eventwarden.llm.near_dedup import near_duplicates
 from eventwarden.llm.repeats import remove_repeats
 from eventwarden.llm.scratch import Scratch
+from eventwarden.llm.token_files import write_tokens
+from eventwarden.llm.url_rules import judge
+
+#: The listed rules: host, path, verdict.
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    store = write_tokens(_table(spark, folder, "documents"), Scratch(spark, "op2"), _tokenizer("word_bpe_49k.json"),
+                         end_id=2, vocabulary=49408)
+    return store.documents()
+
+
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
+    return judge(_table(spark, folder, "pages"), rules)
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return remove_repeats(docs, Scratch(spark, "op7")).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -25,6 +53,14 @@ def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), Scratch(spark, "op8"), threshold=0.85)
 
 
+def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"), Scratch(spark, "op10"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: job for name, job in globals().items() if name.startswith("op") and name[2].isdigit()}
     return own
