@@ -22,3 +22,20 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE place = 1
 """
+
+ORACLES["op5_warc"] = r"""
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS print FROM pages
+), marked AS (
+  SELECT *, max(page_id) OVER (PARTITION BY print) AS first, (unhex(print)::BIT)::VARCHAR AS bits FROM rows
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+      + 16 * CAST(substr(bits, CAST(5 * i + 1 AS INT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS INT), 1) AS INT)
+      + 4 * CAST(substr(bits, CAST(5 * i + 3 AS INT), 1) AS INT) + 2 * CAST(substr(bits, CAST(5 * i + 4 AS INT), 1) AS INT)
+      + CAST(substr(bits, CAST(5 * i + 5 AS INT), 1) AS INT), 1) for i in range(32)], '')
+    AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM marked
+"""

@@ -14,6 +14,7 @@ from eventwarden.llm.repeats import remove_repeats
 from eventwarden.llm.scratch import Scratch
 from eventwarden.llm.token_files import write_tokens
 from eventwarden.llm.url_rules import judge
+from eventwarden.llm.warc import read_warc, write_warc
 
 #: The listed rules: host, path, verdict.
 URL_RULES = (
@@ -44,6 +45,12 @@ def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge(_table(spark, folder, "pages"), rules)
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark, "op5")
+    place, files = write_warc(_table(spark, folder, "pages"), scratch)
+    return read_warc(place, files, scratch)
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return remove_repeats(docs, Scratch(spark, "op7")).select("doc_id", "n_words", "n_removed", "kept_sha256")
