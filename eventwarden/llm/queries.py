@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventwarden.llm import quality, toxicity
 from eventwarden.llm.byte_bpe import round_trip
 from eventwarden.llm.cap_links import near_vectors
 from eventwarden.llm.near_dedup import near_duplicates
 from eventwarden.llm.repeats import remove_repeats
+from eventwarden.llm.samples import fold
 from eventwarden.llm.scratch import Scratch
 from eventwarden.llm.token_files import write_tokens
 from eventwarden.llm.url_rules import judge
@@ -33,6 +35,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    lexicon = toxicity.learn(docs, labels, Scratch(spark, "op1"), folds=4, held_out=2)
+    return _judged(toxicity.score(docs, lexicon), 4, 2)
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     store = write_tokens(_table(spark, folder, "documents"), Scratch(spark, "op2"), _tokenizer("word_bpe_49k.json"),
                          end_id=2, vocabulary=49408)
@@ -51,6 +64,12 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read_warc(place, files, scratch)
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    ranking = quality.learn(docs, labels, Scratch(spark, "op6"), folds=5, held_out=0)
+    return _judged(quality.score(docs, ranking), 5, 0)
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return remove_repeats(docs, Scratch(spark, "op7")).select("doc_id", "n_words", "n_removed", "kept_sha256")
