@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventwarden.llm import quality, toxicity
 from eventwarden.llm.byte_bpe import round_trip
 from eventwarden.llm.cap_links import near_vectors
+from eventwarden.llm.decontaminate import contaminated
 from eventwarden.llm.near_dedup import near_duplicates
 from eventwarden.llm.repeats import remove_repeats
 from eventwarden.llm.samples import fold
@@ -58,6 +59,10 @@ def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge(_table(spark, folder, "pages"), rules)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), Scratch(spark, "op4"))
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark, "op5")
     place, files = write_warc(_table(spark, folder, "pages"), scratch)
