@@ -209,3 +209,20 @@ def score(docs: DataFrame, lexicon: Lexicon, id: str = "doc_id", text: str = "te
     measured = rows.mapInArrow(_measure(lexicon, ["id"]), f"id {kind}, density double")
     curve = 1 / (1 + F.exp(-(F.lit(lexicon.offset) + F.lit(lexicon.slope) * F.log1p("density"))))
     return measured.select(F.col("id").alias(id), "density", curve.alias("score"))
+
+
+def clean(docs: DataFrame, lexicon: Lexicon, limit: float, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that score below ``limit``, with all their columns and in one pass over the texts."""
+    table = fold_table()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = automaton(lexicon)
+        for batch in batches:
+            keep = []
+            for raw in batch.column(text).cast(pa.binary()).to_pylist():
+                flat = folded((raw or b"").decode("utf-8", "replace"), table)
+                amount = density(sum(w for _, _, w in hits(flat, found)), flat.count(" ") - 1)
+                keep.append(float(sigmoid(np.float64(lexicon.offset + lexicon.slope * math.log1p(amount)))) < limit)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
