@@ -5,8 +5,8 @@
 2. MinHash samples of a representative give its band keys. The same samples, folded into a bitmap
    by parity, are its odd sketch: the bits that differ between two sketches tell how many samples
    differ, and so the similarity, most precisely where it is high.
-3. In every bucket of a band all members are compared with the smallest one. Pairs the sketches
-   call similar enough, within five standard errors, are confirmed on their full sets.
+3. Every representative is compared with the smallest one it shares a bucket of a band with. Pairs the
+   sketches call similar enough, within five standard errors, are confirmed on their full sets.
 4. Links only matter between different components. Buckets that still hold several of them are
    compared pair by pair across components, split into blocks of bounded size. So a large group of
    copies costs as many comparisons as it has members, and no link between components is lost.
@@ -30,10 +30,14 @@ from eventwarden.llm.scratch import Scratch
 from eventwarden.llm.words import mixed, shingles, words_of
 
 SKETCH_WORDS = 8
+FOLD_WORDS = 32
 BLOCK = 1024
 
+#: Parity bitmaps of a text: s of its MinHash samples, f of its whole shingle set.
+BITS = [f"s{i}" for i in range(SKETCH_WORDS)] + [f"f{i}" for i in range(FOLD_WORDS)]
+
 SIGNATURES = ("id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>, "
-              + ", ".join(f"s{i} bigint" for i in range(SKETCH_WORDS)))
+              + ", ".join(f"{name} bigint" for name in BITS))
 
 
 class Banding(NamedTuple):
@@ -81,16 +85,17 @@ def signature_of(banding: Banding, length: int):
             for found in words_of(batch.column("text"), lower=True):
                 hashes, limits = shingles(found, length)
                 count = len(limits) - 1
-                order = np.empty(len(hashes), dtype=bool)
+                folds = np.zeros((FOLD_WORDS, count), dtype=np.uint64)
                 sizes = np.zeros(count, dtype=np.int64)
                 prints = np.zeros((2, count), dtype=np.uint64)
                 for r in range(count):
                     if limits[r + 1] > limits[r]:
                         own = np.unique(hashes[limits[r]:limits[r + 1]])
                         sizes[r] = len(own)
+                        odd = np.bincount((own >> np.uint64(20)) % np.uint64(64 * FOLD_WORDS), minlength=64 * FOLD_WORDS) & 1
+                        folds[:, r] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
                         prints[0, r] = own.sum(dtype=np.uint64)
                         prints[1, r] = (own * (own >> np.uint64(32) | np.uint64(1))).sum(dtype=np.uint64)
-                del order
                 some = np.flatnonzero(sizes > 0)
                 bands = np.zeros((banding.bands, count), dtype=np.uint64)
                 bits = np.zeros((SKETCH_WORDS, count), dtype=np.uint64)
@@ -114,9 +119,8 @@ def signature_of(banding: Banding, length: int):
                 columns = [ids.slice(found.rows.start, count), pa.array(sizes),
                            pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
                            pa.ListArray.from_arrays(pa.array(starts), flat)]
-                columns += [pa.array(row.view(np.int64)) for row in bits]
-                names = ["id", "n_shingles", "print_a", "print_b", "bands"]
-                yield pa.RecordBatch.from_arrays(columns, names + [f"s{i}" for i in range(SKETCH_WORDS)])
+                columns += [pa.array(row.view(np.int64)) for row in (*bits, *folds)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "print_a", "print_b", "bands", *BITS])
 
     return task
 
@@ -157,26 +161,29 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
             classes, ["print_a", "print_b", "n_shingles"], "left").select("id", "n_shingles", "rep"), "members")
     reps = members.where("id = rep").select("id").distinct()
     known = nodes.join(reps, "id", "left_semi")
-    sketches = scratch.cut(known.select("id", "n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)]), "sketches")
+    sketches = scratch.cut(known.select("id", "n_shingles", *BITS), "sketches")
     banded = scratch.cut(known.select("id", F.explode("bands").alias("key")), "bands")
 
-    # Every member of a bucket against its smallest.
+    # Only buckets of several members go on; every member against the smallest it shares a bucket with.
     heads = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")
-    stars = banded.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    shared = scratch.cut(banded.join(heads.select("key", "a"), "key"), "shared")
+    scratch.drop(banded)
+    stars = shared.where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
     first = scratch.cut(_confirmed(plain, _promising(stars, sketches, banding), words, threshold, scratch), "links")
     found = components(first, scratch)
 
     # Buckets that still hold several components: the members of different ones, block by block.
     parts = scratch.cut(
-        banded.join(found.withColumnRenamed("node", "id"), "id", "left")
+        shared.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
         .select("key", "id", F.coalesce("component", "id").alias("component")), "parts")
+    scratch.drop(shared)
     open_buckets = parts.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
     open_rows = parts.join(open_buckets.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key")
     open_rows = open_rows.join(sketches, "id").withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
     spread = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block",
-        "id", "component", "n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)])
+        "id", "component", "n_shingles", *BITS)
     left, right = spread.alias("l"), spread.alias("r")
     cross = left.join(right, F.expr(
         "l.key = r.key and l.x = r.x and l.y = r.y and l.id < r.id and l.component <> r.component "
@@ -188,7 +195,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
     if not second.isEmpty():
         stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         whole = components(stars.unionByName(second.select("a", "b")), scratch)
-    scratch.drop(parts, banded)
+    scratch.drop(parts)
     return members.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(id), "n_shingles",
         F.coalesce("component", "rep", "id").alias("component_id"),
@@ -196,11 +203,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
 
 
 def _similar(a: str, b: str, banding: Banding) -> str:
-    """Sizes that allow the threshold, and sketches that do not rule it out."""
-    bits = " + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in range(SKETCH_WORDS))
+    """Sizes that allow the threshold, sample sketches that do not rule it out, and whole-set folds.
+
+    Two shingles in one place of a fold cancel, so the differing bits of two folds never outnumber the
+    shingles in which the sets differ: the last test drops no pair that reaches the threshold.
+    """
     percent = round(banding.threshold * 100)
+
+    def differ(kind: str, count: int) -> str:
+        return " + ".join(f"bit_count({a}.{kind}{i} ^ {b}.{kind}{i})" for i in range(count))
+
     return (f"100 * least({a}.n_shingles, {b}.n_shingles) >= {percent} * greatest({a}.n_shingles, {b}.n_shingles) "
-            f"and {bits} <= {banding.most_bits()}")
+            f"and {differ('s', SKETCH_WORDS)} <= {banding.most_bits()} "
+            f"and {100 + percent} * ({differ('f', FOLD_WORDS)}) <= {100 - percent} * ({a}.n_shingles + {b}.n_shingles)")
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame, banding: Banding) -> DataFrame:
