@@ -167,21 +167,27 @@ def _without(raw: bytes, edges: np.ndarray) -> str:
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, wanted: int) -> DataFrame:
-    """(id, tag, place) of windows of ``wanted`` words whose sequence a smaller id has too.
+    """(id, tag, places): where windows of ``wanted`` words begin whose sequence a smaller id has too.
 
     ``docs`` has (id, tag, text); a text that repeats whole should come once.
     """
     half = wanted // 2
     first = docs.select("id", "text").mapInArrow(window_choice(half, wanted), "key bigint, id bigint")
     first = scratch.cut(first, "level")
-    seen = first.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    keys = first.join(seen.select("key"), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    seen = scratch.cut(first.groupBy("key").agg(
+        F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "seen")
+    keys = first.join(seen, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
     found = docs.join(keys, "id").select("id", "tag", "text", "keys").mapInArrow(
         candidate_windows(half, wanted), "head bigint, tail bigint, id bigint, tag bigint, place int")
     found = scratch.cut(found, "level")
     scratch.drop(first)
-    lows = found.groupBy("head", "tail").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    return found.join(lows, ["head", "tail"]).where("id > low").select("id", "tag", "place")
+    # Written, so that the join below sees two plain tables and a very common passage can be split.
+    lows = scratch.cut(found.groupBy("head", "tail").agg(
+        F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), "lows")
+    hits = found.join(lows, ["head", "tail"]).where("id > low")
+    places = scratch.cut(hits.groupBy("id", "tag").agg(F.collect_set("place").alias("places")), "places")
+    scratch.drop(found, lows)
+    return places
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text",
@@ -203,9 +209,10 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
     marked = scratch.cut(named.select("id", "tag", "print").join(firsts, "print").select("id", "tag", "rep").distinct(), "marked")
     alone = rows.select("id", "tag", "text").join(marked.where("id = rep"), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
     alone = scratch.cut(alone, "alone")
-    hit = repeated_windows(alone, scratch, wanted)
+    places = repeated_windows(alone, scratch, wanted)
+    scratch.drop(alone)
     none = F.expr("cast(array() as array<int>)")
-    edits = hit.groupBy("id", "tag").agg(F.collect_set("place").alias("places")).withColumn("whole", F.lit(False)).unionByName(
+    edits = places.withColumn("whole", F.lit(False)).unionByName(
         marked.where("id > rep").select("id", "tag", none.alias("places"), F.lit(True).alias("whole")))
     rows = rows.join(edits, ["id", "tag"], "left").select(
         "id", "text", F.coalesce("places", none).alias("places"), F.coalesce("whole", F.lit(False)).alias("whole"),
