@@ -30,7 +30,7 @@ from eventwarden.llm.scratch import Scratch, open_store
 MANIFEST = "shard int, name string, n_docs bigint, n_tokens bigint, width int"
 NO_ID = -(1 << 63)
 #: Pieces whose ids a task remembers before it starts over; bounds its memory, not its result.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Punctuation that the tokenizer parts from a word in front of it.
 TAIL = b".,;:!?*%&$#|)"
 
