@@ -28,6 +28,8 @@ MAGIC = b"WARC/1.0\r\n"
 #: Bytes after which a task begins a new archive, and bytes of a stretch read by one task.
 FILE_BYTES = 64 << 20
 STRETCH = 8 << 20
+#: Repeated payloads up to which their first ids are broadcast (about 10 MB); beyond, payloads are shuffled.
+BROADCAST_ROWS = 200_000
 #: Bytes of a record head that are read at first; a longer head is read on until its end.
 HEAD = 4096
 MANIFEST = "file string, size bigint, n_records bigint"
@@ -99,10 +101,12 @@ def write_warc(pages: DataFrame, scratch: Scratch, id: str = "page_id", url: str
                         F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.select("id", F.when(F.octet_length("payload") >= least_bytes, F.unhex(F.sha1("payload"))).alias("print"))
     # Only the ids that revisit another page are joined back; payloads are not grouped.
-    firsts = keyed.where("print is not null and id is not null").groupBy("print").agg(
-        F.max("id").alias("first"), F.min("id").alias("least")).where("least < first").select("print", "first")
+    firsts = scratch.cut(keyed.where("print is not null and id is not null").groupBy("print").agg(
+        F.max("id").alias("first"), F.min("id").alias("least")).where("least < first").select("print", "first"), "firsts")
+    small = firsts.count() <= BROADCAST_ROWS
     marked = rows.withColumn("print", F.when(F.col("id").isNotNull() & (F.octet_length("payload") >= least_bytes),
-                                             F.unhex(F.sha1("payload")))).join(firsts, "print", "left")
+                                             F.unhex(F.sha1("payload")))).join(
+        F.broadcast(firsts) if small else firsts, "print", "left")
     written = marked.select("id", "url", "payload", "first").mapInArrow(write_archive(folder, file_bytes), MANIFEST)
     return folder, scratch.cut(written, "manifest")
 
