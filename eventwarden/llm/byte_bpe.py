@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes up to which a piece is short; pieces a task remembers before it starts over.
 SHORT = 24
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 NEVER = np.iinfo(np.int32).max
 
 
