@@ -258,11 +258,13 @@ def all_oracles() -> dict[str, str]:
         "ingest_summary": _NORM + """SELECT count(*) AS accepted, count(*) FILTER (kept) AS stored, count(*) FILTER (NOT kept) AS dropped,
             CAST(0 AS BIGINT) AS failed FROM (SELECT source_type = 'falco'
             OR (source_type = 'k8s_audit' AND (coalesce(status_code, 0) IN (401, 403) OR classification = 'unauthorized_access'))
-            OR coalesce(namespace, '') <> 'kube-system' AS kept FROM norm)""",
+            OR coalesce(namespace, '') <> 'kube-system' AS kept FROM norm WHERE NOT (source_type = 'k8s_audit' AND ((resource = 'events' AND action = 'patch') OR uri LIKE '/healthz%' OR uri LIKE '/metrics%'
+              OR (resource = 'leases' AND action IN ('get', 'patch')) OR classification = 'kubelet_routine')))""",
         "ingest_summary_parity": _NORM + """SELECT count(*) AS accepted, count(*) FILTER (kept) AS stored, count(*) FILTER (NOT kept) AS dropped,
             count(*) FILTER (NOT kept) AS failed FROM (SELECT source_type = 'falco'
             OR (source_type = 'k8s_audit' AND (coalesce(status_code, 0) IN (401, 403) OR classification = 'unauthorized_access'))
-            OR coalesce(namespace, '') <> 'kube-system' AS kept FROM norm)""",
+            OR coalesce(namespace, '') <> 'kube-system' AS kept FROM norm WHERE NOT (source_type = 'k8s_audit' AND ((resource = 'events' AND action = 'patch') OR uri LIKE '/healthz%' OR uri LIKE '/metrics%'
+              OR (resource = 'leases' AND action IN ('get', 'patch')) OR classification = 'kubelet_routine')))""",
         "stored_events": _NORM + """SELECT event_id, source_type, namespace, classification FROM norm WHERE (source_type = 'falco'
             OR (source_type = 'k8s_audit' AND (coalesce(status_code, 0) IN (401, 403) OR classification = 'unauthorized_access'))
             OR coalesce(namespace, '') <> 'kube-system')
@@ -447,7 +449,7 @@ def all_oracles() -> dict[str, str]:
         # analysts
         "recent_events": _SCO + """SELECT event_id, us, "user", anomaly_score FROM flg ORDER BY us DESC, event_id DESC LIMIT 200""",
         "recent_high_events": _SCO + "SELECT event_id, us, anomaly_score FROM flg WHERE anomaly_score >= 0.9 ORDER BY us DESC, event_id DESC LIMIT 100",
-        "digest_newest": _SCO + _DIGEST + "(SELECT * FROM flg ORDER BY us DESC, event_id DESC LIMIT 2000)",
+        "digest_all": _SCO + _DIGEST + "flg",
         "digest_24h": _SCO + _DIGEST + f"(SELECT * FROM flg WHERE us >= (SELECT max(us) FROM flg) - {DAY})",
         "digest_top": _SCO + """SELECT event_id, "user", anomaly_score FROM flg WHERE anomaly_score > 0.5
             ORDER BY anomaly_score DESC, us DESC, event_id DESC LIMIT 10""",
@@ -517,7 +519,7 @@ def all_oracles() -> dict[str, str]:
               CASE WHEN o_custkey % 3 < 1 THEN 'quantity at least one' END) FROM orders""",
         "user_validation": """SELECT id, v AS violations FROM (SELECT c_custkey AS id, concat_ws(', ', CASE WHEN c_custkey % 12 + 6 NOT BETWEEN 10 AND 15 THEN 'phone length' END,
             CASE WHEN c_custkey % 4 = 0 THEN 'email form' END) AS v FROM customer) WHERE v <> ''""",
-        "merge_new_events": _DET + "SELECT event_id AS id, epoch_us(ts) AS time, source_type FROM det ORDER BY time DESC, id DESC LIMIT 2000",
+        "merge_new_events": _DET + "SELECT event_id AS id, epoch_us(ts) AS time, source_type FROM det",
         "insert_unique": """SELECT email, min(c_custkey) AS c_custkey FROM (SELECT c_custkey, c_mktsegment || CAST(c_nationkey AS VARCHAR) || '@shop' AS email FROM customer)
             WHERE email NOT LIKE 'MACHINERY%' GROUP BY email""",
         "partial_update": """SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 AND c_nationkey < 5 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey,

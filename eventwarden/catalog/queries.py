@@ -503,8 +503,8 @@ def recent_high_events(spark, folder):
 
 
 @query
-def digest_newest(spark, folder):
-    return A.digest(A.recent_events(scorer_events(spark, folder), 2000))
+def digest_all(spark, folder):
+    return A.digest(scorer_events(spark, folder))
 
 
 @query

@@ -76,7 +76,6 @@ LEASE_VERBS = ("get", "update", "patch")
 REVIEW_RESOURCES = ("tokenreviews", "subjectaccessreviews", "selfsubjectrulesreviews")
 IGNORED_NAMESPACES = ("kube-system", "kube-public", "kube-node-lease")
 FORCED_FIELDS = ("event_id", "timestamp", "source_type", "severity", "event_type", "message")
-RAW_EVENT_MAX_BYTES = 64_000
 MAX_SAMPLE_AGE_HOURS = 360
 
 NOISY_CLASSES = (
@@ -86,7 +85,6 @@ NOISY_CLASSES = (
 NOISY_GAP_SECONDS = 30
 
 RECENT_STORE_ROWS = 5000
-MONITOR_LIST_ROWS = 2000
 
 # --- runtime action labels --------------------------------------------------
 

@@ -28,10 +28,11 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> Da
 
 
 def merge_new(old: DataFrame, new: DataFrame, key: str = "id", by: str = "time",
-              limit: int = K.MONITOR_LIST_ROWS) -> DataFrame:
-    """Known rows plus the new ones not yet known, newest first."""
+              newest: int | None = None) -> DataFrame:
+    """Known rows plus the new ones not yet known; only the ``newest`` rows if asked for."""
     added = new.join(old.select(key), key, "left_anti")
-    return old.unionByName(added).orderBy(F.col(by).desc(), F.col(key).desc()).limit(limit)
+    merged = old.unionByName(added)
+    return merged if newest is None else merged.orderBy(F.col(by).desc(), F.col(key).desc()).limit(newest)
 
 
 def insert_unique(table: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:

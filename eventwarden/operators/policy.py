@@ -141,11 +141,12 @@ def apply_namespace_policy(events: DataFrame, allowed: Sequence[str] | None = No
 
 
 def shape_fields(events: DataFrame, keep: Sequence[str] | None = None, store_raw: bool = True,
-                 max_bytes: int = K.RAW_EVENT_MAX_BYTES) -> DataFrame:
-    """Keep the chosen fields and bound the raw event."""
+                 max_bytes: int | None = None) -> DataFrame:
+    """Keep the chosen fields; with ``max_bytes``, larger raw events become a marker with their size."""
     size = F.octet_length("raw_event")
     trimmed = F.to_json(F.struct(F.lit(True).alias("_trimmed"), size.alias("_bytes")))
-    raw = F.when(size > max_bytes, trimmed).otherwise(F.col("raw_event")) if store_raw else F.lit("{}")
+    raw = F.col("raw_event") if max_bytes is None else F.when(size > max_bytes, trimmed).otherwise(F.col("raw_event"))
+    raw = raw if store_raw else F.lit("{}")
     out = events.withColumn("raw_event", raw)
     if keep:
         wanted = set(keep) | set(K.FORCED_FIELDS)

@@ -16,16 +16,19 @@ from eventwarden.operators.tagging import tag_events
 
 def ingest(items: DataFrame, allowed: list[str] | None = None,
            ignored: tuple[str, ...] = K.IGNORED_NAMESPACES, keep: list[str] | None = None,
-           store_raw: bool = True) -> DataFrame:
-    """Items to the events that are stored. Runs the same on batch and stream."""
+           store_raw: bool = True, max_raw_bytes: int | None = None) -> DataFrame:
+    """Items to the events that are stored. Runs the same on batch and stream.
+
+    Raw events stay whole unless ``max_raw_bytes`` is given.
+    """
     events = tag_events(drop_noise(normalize_events(items)))
-    return shape_fields(apply_namespace_policy(events, allowed, ignored), keep, store_raw)
+    return shape_fields(apply_namespace_policy(events, allowed, ignored), keep, store_raw, max_raw_bytes)
 
 
 def outcomes(items: DataFrame, allowed: list[str] | None = None,
              ignored: tuple[str, ...] = K.IGNORED_NAMESPACES) -> DataFrame:
-    """What becomes of every item: ``(event_id, outcome)``."""
-    events = normalize_events(items)
+    """What becomes of every accepted item: ``(event_id, outcome)``. Noise is not accepted at all."""
+    events = drop_noise(normalize_events(items))
     kept = is_kept(F.col("source_type"), F.col("namespace"), F.col("status_code"),
                    F.col("classification"), allowed, ignored)
     fine = events.select("event_id", F.when(kept, "stored").otherwise("dropped").alias("outcome"))
