@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
     scratch.drop(parts)
     return members.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(id), "n_shingles",
-        F.coalesce("component", "rep", "id").alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
 
