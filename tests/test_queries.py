@@ -2,10 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from eventwarden.catalog.oracle import all_oracles
+from eventwarden.catalog.queries import all_queries
 from tests.compare import compare, duck
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
