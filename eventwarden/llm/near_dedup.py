@@ -36,6 +36,10 @@ BLOCK = 1024
 #: Parity bitmaps of a text: s of its MinHash samples, f of its whole shingle set.
 BITS = [f"s{i}" for i in range(SKETCH_WORDS)] + [f"f{i}" for i in range(FOLD_WORDS)]
 
+#: What equal shingle sets have in common, and the parts the copies of one set are dealt over.
+PRINT = ["print_a", "print_b", "n_shingles"]
+PARTS = 256
+
 SIGNATURES = ("id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>, "
               + ", ".join(f"{name} bigint" for name in BITS))
 
@@ -154,12 +158,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
     plain = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     signed = scratch.cut(plain.mapInArrow(signature_of(banding, words), SIGNATURES), "signatures")
 
+    # Copies of a text are first reduced by parts of their ids, so a class of any size is spread over tasks.
+    signed = signed.withColumn("part", F.expr(f"pmod(xxhash64(id), {PARTS})"))
     nodes = signed.where("id is not null and n_shingles > 0")
-    classes = nodes.groupBy("print_a", "print_b", "n_shingles").agg(F.min("id").alias("rep"))
-    members = scratch.cut(
-        signed.select("id", "n_shingles", "print_a", "print_b").join(
-            classes, ["print_a", "print_b", "n_shingles"], "left").select("id", "n_shingles", "rep"), "members")
-    reps = members.where("id = rep").select("id").distinct()
+    copies = scratch.cut(nodes.groupBy(*PRINT, "part").agg(F.min("id").alias("least"), F.count("*").alias("n")), "copies")
+    classes = scratch.cut(copies.groupBy(*PRINT).agg(F.min("least").alias("rep"), F.sum("n").alias("n")), "classes")
+    reps = classes.select(F.col("rep").alias("id")).distinct()
     known = nodes.join(reps, "id", "left_semi")
     sketches = scratch.cut(known.select("id", "n_shingles", *BITS), "sketches")
     banded = scratch.cut(known.select("id", F.explode("bands").alias("key")), "bands")
@@ -196,9 +200,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
         stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         whole = components(stars.unionByName(second.select("a", "b")), scratch)
     scratch.drop(parts)
-    return members.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(
+    # Only classes whose component is not the id itself go back to the rows.
+    placed = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(
+        *PRINT, "rep", "n", F.coalesce("component", "rep").alias("component")).where("n > 1 or component <> rep")
+    placed = copies.select(*PRINT, "part").join(placed.select(*PRINT, "component"), PRINT)
+    return signed.select("id", *PRINT, "part").join(placed, [*PRINT, "part"], "left").select(
         F.col("id").alias(id), "n_shingles",
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
 
