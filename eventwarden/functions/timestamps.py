@@ -34,6 +34,13 @@ def parse_epoch(number: Column) -> Column:
     return F.timestamp_micros((value * scale).cast("bigint"))
 
 
+def event_time(text: Column) -> Column:
+    """Instant from text or from an epoch number in text form; null where it is neither."""
+    number = F.trim(text)
+    epoch = F.when(number.rlike(r"^\d{9,13}(\.\d{1,9})?$"), parse_epoch(number.try_cast("double")))
+    return F.coalesce(epoch, parse_text(text))
+
+
 def epoch_us(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

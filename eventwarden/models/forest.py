@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from eventwarden import constants as K
 
-FOREST_SCHEMA = "tree int, features array<int>, thresholds array<double>, paths array<double>"
+FOREST_SCHEMA = "tree int, taken int, features array<int>, thresholds array<double>, paths array<double>"
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,9 @@ def sample_pool(matrix: DataFrame, key: str, columns: Sequence[str], size: int,
         share = size / rows
         share += 8 * math.sqrt(share / rows)
         top = int((2 * share - 1) * (2 ** 63 - 1)) if share < 1 else 2 ** 63 - 1
-        marked = marked.where(F.col("_draw") <= F.lit(top))
+        likely = marked.where(F.col("_draw") <= F.lit(top))
+        # Repeated keys draw alike and can leave the share too small; then all rows are ranked.
+        marked = likely if likely.limit(size).count() == size else marked
     pool = marked.orderBy("_draw", *columns).limit(size)
     # At most ``size`` rows, a setting of the model, are ranked together.
     return pool.withColumn("_rank", F.row_number().over(Window.orderBy("_draw", *columns)) - 1)
@@ -131,7 +133,7 @@ def fit_forest(matrix: DataFrame, key: str = "event_id", columns: Sequence[str]
         tree = int(pdf["tree"].iloc[0])
         values = pdf.sort_values("_rank")[columns].to_numpy(dtype=float)
         features, thresholds, paths = _grow(values, depth, np.random.RandomState(seed + tree))
-        return pd.DataFrame({"tree": [tree], "features": [features.tolist()],
+        return pd.DataFrame({"tree": [tree], "taken": [taken], "features": [features.tolist()],
                              "thresholds": [thresholds.tolist()], "paths": [paths.tolist()]})
 
     # A fixed number of partitions: the rows are few but growing trees takes time.
@@ -140,13 +142,13 @@ def fit_forest(matrix: DataFrame, key: str = "event_id", columns: Sequence[str]
     return drawn.groupBy("tree").applyInPandas(grow, FOREST_SCHEMA)
 
 
-def load_forest(table: DataFrame, sample: int = K.FOREST_SAMPLE) -> Forest:
+def load_forest(table: DataFrame) -> Forest:
     """Bring the model to the driver; its size is set by trees and depth alone."""
     rows = table.orderBy("tree").toPandas()
     return Forest(
         np.array(rows["features"].tolist(), dtype=np.int32),
         np.array(rows["thresholds"].tolist(), dtype=float),
-        np.array(rows["paths"].tolist(), dtype=float), sample)
+        np.array(rows["paths"].tolist(), dtype=float), int(rows["taken"].max()))
 
 
 def raw_score(spark: SparkSession, forest: Forest, columns: Sequence[str] = K.FEATURE_COLS) -> Column:

@@ -19,7 +19,7 @@ from eventwarden import schemas as S
 from eventwarden.functions import rules as R
 from eventwarden.functions.hashing import fingerprint
 from eventwarden.functions.text import blank_to_null, plain_label
-from eventwarden.functions.timestamps import parse_text
+from eventwarden.functions.timestamps import event_time, parse_text
 from eventwarden.operators.pinned import with_pinned
 from eventwarden.operators.policy import noise_reason
 
@@ -53,8 +53,9 @@ def open_envelope(lines: DataFrame, value: str = "value", default_source: str =
     })
 
 
-def _or_now(ts: Column) -> Column:
-    return F.coalesce(ts, F.current_timestamp())
+def _time_or_arrival() -> Column:
+    """The event's own time; an event that names none happened when it arrived."""
+    return F.coalesce(F.col("_time"), F.col("ingest_ts"))
 
 
 def _source_namespace(event: Column) -> Column:
@@ -73,13 +74,14 @@ def _no_fields() -> Column:
 class Source:
     """How one source becomes events.
 
-    ``steps`` are columns computed one after the other and used more than once;
+    ``time`` names the field of the event time. ``steps`` are columns computed one after the other and used more than once;
     ``fields`` are the event fields. Both get the parsed event, and ``fields`` may
     refer to the steps by name.
     """
     schema: T.StructType
     steps: Callable[[Column], list[dict[str, Column]]]
     fields: Callable[[Column], dict[str, Column]]
+    time: str
     required: tuple[str, ...] = ()
 
 
@@ -90,7 +92,7 @@ def _audit_steps(e: Column) -> list[dict[str, Column]]:
     verb, message = F.col("audit_verb"), F.col("audit_message")
     return [
         {"audit_verb": F.coalesce(F.nullif(e["verb"], F.lit("")), F.lit("unknown")),
-         "audit_time": _or_now(parse_text(e["requestReceivedTimestamp"]))},
+         "audit_time": _time_or_arrival()},
         {"audit_message": R.audit_message(
             e["stage"], verb, ref["resource"], ref["subresource"], ref["name"], e["requestURI"])},
         {"audit_class": R.audit_classification(
@@ -112,7 +114,7 @@ def _audit_fields(e: Column) -> dict[str, Column]:
     return dict(
         event_id=F.coalesce(F.nullif(e["auditID"], F.lit("")), hashed),
         timestamp=when, invocation_time=when,
-        completion_time=F.coalesce(parse_text(e["stageTimestamp"]), when),
+        completion_time=F.coalesce(event_time(e["stageTimestamp"]), when),
         stage=F.coalesce(e["stage"], F.lit("")), namespace=ref["namespace"],
         user_name=user["username"], user_uid=user["uid"],
         user_groups=F.coalesce(user["groups"], _no_tags()),
@@ -136,7 +138,7 @@ def _falco_steps(e: Column) -> list[dict[str, Column]]:
     kept = F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k))
     return [{
         "falco_fields": F.map_concat(kept, second),
-        "falco_time": _or_now(parse_text(e["time"])),
+        "falco_time": _time_or_arrival(),
         "falco_rule": F.coalesce(F.nullif(e["rule"], F.lit("")), F.lit("falco_alert")),
     }]
 
@@ -169,7 +171,7 @@ def _falco_fields(e: Column) -> dict[str, Column]:
 
 def _app_steps(e: Column) -> list[dict[str, Column]]:
     return [{
-        "app_time": _or_now(parse_text(e["timestamp"])),
+        "app_time": _time_or_arrival(),
         "app_class": R.app_classification(e["status_code"], e["method"], e["message"]),
     }]
 
@@ -196,9 +198,9 @@ def _app_fields(e: Column) -> dict[str, Column]:
 
 
 SOURCES = {
-    "k8s_audit": Source(S.AUDIT, _audit_steps, _audit_fields),
-    "falco": Source(S.FALCO, _falco_steps, _falco_fields),
-    "app": Source(S.APP, _app_steps, _app_fields, required=("message",)),
+    "k8s_audit": Source(S.AUDIT, _audit_steps, _audit_fields, "requestReceivedTimestamp"),
+    "falco": Source(S.FALCO, _falco_steps, _falco_fields, "time"),
+    "app": Source(S.APP, _app_steps, _app_fields, "timestamp", required=("message",)),
 }
 
 
@@ -216,12 +218,16 @@ def _parsed(items: DataFrame) -> DataFrame:
         F.when(_is(name), F.from_json("body", source.schema, options)).alias(name)
         for name, source in SOURCES.items()])
     rows = with_pinned(items, "_event", parsed)
+    named = F.coalesce(*[F.when(_is(name), blank_to_null(F.col("_event")[name][source.time]))
+                         for name, source in SOURCES.items()])
+    rows = with_pinned(rows.withColumn("_named_time", named), "_time", event_time(F.col("_named_time")))
     problem = F.when(~F.coalesce(F.col("source_type").isin(*SOURCES), F.lit(False)), "unknown source")
     for name, source in SOURCES.items():
         event = F.col("_event")[name]
         problem = problem.when(_is(name) & (event.isNull() | event[S.CORRUPT].isNotNull()), "unreadable")
         for required in source.required:
             problem = problem.when(_is(name) & event[required].isNull(), f"{required} missing")
+    problem = problem.when(F.col("_named_time").isNotNull() & F.col("_time").isNull(), "unreadable time")
     return rows.withColumn("problem", problem)
 
 

@@ -5,8 +5,8 @@ holds more than its share of the rows, is cut along the order column into slices
 A slice is sorted on its own; the sum of all earlier slices of the key comes from
 a small table and is added afterwards. Cold keys are one slice each.
 
-The hot keys are broadcast. Their number is bounded by counting: at most
-``max_hot_keys`` keys can each hold more than ``1 / max_hot_keys`` of the rows.
+A key is hot above a fixed number of rows, so no task holds more at any size of
+the table. Up to ``max_hot_keys`` hot keys are broadcast; a longer list is joined.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventwarden.session import cut_lineage
+
 SLICE = "_slice"
 CARRY = "_carry_"
 
@@ -25,8 +27,7 @@ CARRY = "_carry_"
 class SlicePolicy:
     min_rows: int = 2_000_000       # a smaller key is never cut
     target_rows: int = 500_000      # rows wanted per slice
-    max_hot_keys: int = 10_000
-    max_slices: int = 100_000
+    max_hot_keys: int = 10_000      # a longer list is not broadcast
 
 
 DEFAULT_POLICY = SlicePolicy()
@@ -39,6 +40,10 @@ class Spread:
     low: float
     high: float
     hot: DataFrame | None       # keys to cut, with start and width of their slices
+    few: bool = True            # whether the keys to cut are few enough to broadcast
+
+    def keys_to_cut(self) -> DataFrame:
+        return F.broadcast(self.hot) if self.few else self.hot
 
 
 def span_of(df: DataFrame, order: str) -> Spread:
@@ -58,24 +63,25 @@ def spread_of(df: DataFrame, keys: Sequence[str], order: str,
     ``df`` may be any cheap frame with the keys and the order column; a known
     ``span`` of the same rows saves a pass. Rows are counted per key only when the
     frame is large enough to have a hot key; the counts are combined before the
-    shuffle and at most ``max_hot_keys`` come back.
+    shuffle and at most ``max_hot_keys`` come back; more stay a table.
     """
     span = span or span_of(df, order)
     rows, low, high = span.rows, span.low, span.high
     if not keys or rows <= policy.min_rows:
         return Spread(rows, low, high, None)
-    limit = max(policy.min_rows, rows / policy.max_hot_keys)
-    pieces = F.least(F.ceil(F.col("_n") / policy.target_rows), F.lit(policy.max_slices))
+    pieces = F.ceil(F.col("_n") / policy.target_rows)
     found = (
         df.groupBy(*keys).agg(
             F.count("*").alias("_n"),
             F.min(order).cast("double").alias("_low"),
             F.max(order).cast("double").alias("_high"))
-        .where(F.col("_n") > limit)
+        .where(F.col("_n") > policy.min_rows)
         .withColumn("_width", (F.col("_high") - F.col("_low")) / pieces)
         .select(*keys, "_low", F.when(F.col("_width") > 0, F.col("_width")).otherwise(1.0).alias("_width"))
     )
-    listed = found.collect()
+    listed = found.limit(policy.max_hot_keys + 1).collect()
+    if len(listed) > policy.max_hot_keys:
+        return Spread(rows, low, high, cut_lineage(found), few=False)
     hot = df.sparkSession.createDataFrame(listed, found.schema) if listed else None
     return Spread(rows, low, high, hot)
 
@@ -84,7 +90,7 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, spread: Spread)
     """Add the slice number; it is null for rows of keys that stay whole."""
     if spread.hot is None:
         return df.withColumn(SLICE, F.lit(None).cast("bigint"))
-    marked = df.join(F.broadcast(spread.hot), list(keys), "left")
+    marked = df.join(spread.keys_to_cut(), list(keys), "left")
     number = F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("bigint")
     return marked.withColumn(SLICE, number).drop("_low", "_width")
 
@@ -92,7 +98,7 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, spread: Spread)
 def with_global_slices(df: DataFrame, order: str, spread: Spread,
                        policy: SlicePolicy = DEFAULT_POLICY) -> DataFrame:
     """Cut the whole frame along ``order``, for sums that have no key."""
-    pieces = min(max(-(-spread.rows // policy.target_rows), 8), policy.max_slices)
+    pieces = max(-(-spread.rows // policy.target_rows), 8)
     width = max((spread.high - spread.low) / pieces, 1e-12)
     return df.withColumn(SLICE, F.floor((F.col(order) - spread.low) / width).cast("bigint"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventwarden import constants as K
 from eventwarden import schemas as S
 from eventwarden.functions.rules import status_result
-from eventwarden.functions.timestamps import parse_text
+from eventwarden.functions.timestamps import event_time
 from eventwarden.operators.normalize import normalize_events, quarantine
 from eventwarden.operators.policy import apply_namespace_policy, drop_noise, is_kept, shape_fields
 from eventwarden.operators.tagging import tag_events
@@ -56,7 +56,7 @@ def scorer_input(items: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(ref["namespace"], F.lit("")), F.lit("cluster-wide")).alias("namespace"),
         F.coalesce(F.get(a["sourceIPs"], F.lit(0)), F.lit("unknown")).alias("source_ip"),
         status_result(a["responseStatus"]["code"]).alias("result"),
-        parse_text(F.coalesce(a["requestReceivedTimestamp"], a["stageTimestamp"])).alias("ts"),
+        event_time(F.coalesce(a["requestReceivedTimestamp"], a["stageTimestamp"])).alias("ts"),
         F.coalesce(F.nullif(ref["name"], F.lit("")), F.lit("N/A")).alias("object_name"),
         F.lit("k8s_audit").alias("event_type"),
         F.coalesce(a["level"], F.lit("Metadata")).alias("classification"),
@@ -72,7 +72,7 @@ def scorer_input(items: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.try_element_at(out, F.lit("k8s.ns.name")), F.lit("")), F.lit("default")).alias("namespace"),
         _field(out, "fd.name", "unknown").alias("source_ip"),
         F.lit("Success").alias("result"),
-        parse_text(f["time"]).alias("ts"),
+        event_time(f["time"]).alias("ts"),
         _field(out, "k8s.pod.name", "").alias("object_name"),
         F.lit("falco").alias("event_type"),
         F.coalesce(f["priority"], F.lit("Notice")).alias("classification"),
@@ -96,7 +96,7 @@ def complete_input(rows: DataFrame) -> DataFrame:
     names = ("event_type", "classification", "user", "method", "source_ip", "namespace", "object_type",
              "object_name")
     out = rows.withColumns({n: filled(n, "unknown") for n in names} | {"result": filled("result", "Success")})
-    ts = parse_text(F.col("timestamp_utc")) if "timestamp_utc" in rows.columns else F.col("ts")
+    ts = event_time(F.col("timestamp_utc")) if "timestamp_utc" in rows.columns else F.col("ts")
     return out.withColumns({"ts": ts, "is_failed": (F.lower(F.trim("result")) != "success").cast("int")})
 
 

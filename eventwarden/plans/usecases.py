@@ -99,7 +99,7 @@ def first_permission_change(events: DataFrame, days: int = 180) -> DataFrame:
 
 
 def first_secret_access(events: DataFrame, days: int = 90) -> DataFrame:
-    """Reads of a secret by an actor with none in the days before."""
+    """Accesses to a secret, by any verb, by an actor with none in the days before."""
     rows = events.where(contains_any(F.col("object_type"), ("secret",)))
     return first_sightings(rows, ["user", "namespace", "target"], "us", days * K.DAY_US)
 

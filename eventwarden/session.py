@@ -86,4 +86,14 @@ def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def drop_copies(*frames: DataFrame) -> None:
+    """Delete copies of ``cut_lineage`` that nothing reads any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,7 +20,7 @@ from eventwarden.plans.ingest import scorer_input
 from eventwarden.plans.scoring import (
     ForestModel, SequenceModel, current_forest, current_sequence, score_events, select_alerts,
 )
-from eventwarden.session import cut_lineage
+from eventwarden.session import cut_lineage, drop_copies
 from eventwarden.sources.readers import by_topic
 
 LOOK_BACK_DAYS = 31
@@ -28,9 +28,14 @@ HISTORY_COLUMNS = ("event_id", "ts", "user", "source_ip", "namespace", "object_t
                    "event_type", "is_failed")
 
 
-def _table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+def _table(rows: DataFrame, path: str) -> DataFrame | None:
+    """The rows earlier batches wrote to ``path``; null before the first. ``rows`` tells their columns.
+
+    A batch without rows leaves a folder without files, so the schema is not read from there.
+    """
+    schema = rows.withColumns({"batch_id": F.lit(0), "event_date": F.lit(None).cast("date")}).schema
     try:
-        return spark.read.parquet(path)
+        return rows.sparkSession.read.schema(schema).parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
@@ -65,15 +70,14 @@ def batch_features(batch: DataFrame, history: DataFrame | None, batch_id: int,
 STEP_COLUMNS = ("user", "us", "event_id", *K.FEATURE_COLS)
 
 
-def last_steps(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """The newest snapshot before this batch: the last feature rows of every user."""
-    steps = _table(spark, f"{folder}/steps")
+def last_steps(matrix: DataFrame, folder: str, batch_id: int) -> DataFrame | None:
+    """The last feature rows of the users of a batch, from the newest earlier batch of each."""
+    steps = _table(matrix.select(*STEP_COLUMNS), f"{folder}/steps")
     if steps is None:
         return None
-    newest = steps.where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
-    if newest is None:
-        return None
-    return steps.where(F.col("batch_id") == newest).select(*STEP_COLUMNS)
+    known = steps.where(F.col("batch_id") < batch_id).join(matrix.select("user").distinct(), "user", "left_semi")
+    newest = F.max("batch_id").over(Window.partitionBy("user"))
+    return known.withColumn("_newest", newest).where("batch_id = _newest").select(*STEP_COLUMNS)
 
 
 def with_recent_steps(matrix: DataFrame, steps: DataFrame | None) -> DataFrame:
@@ -86,8 +90,7 @@ def with_recent_steps(matrix: DataFrame, steps: DataFrame | None) -> DataFrame:
 
 
 def keep_last_steps(matrix: DataFrame, steps: DataFrame | None, length: int = K.SEQUENCE_LENGTH) -> DataFrame:
-    """The next snapshot. Its size follows the number of users, not of events, and the
-    rank limit applies before the shuffle."""
+    """The next snapshot: of the users of the batch only. The rank limit applies before the shuffle."""
     rows = matrix.select(*STEP_COLUMNS)
     rows = rows if steps is None else rows.unionByName(steps)
     newest = Window.partitionBy("user").orderBy(F.col("us").desc(), F.col("event_id").desc())
@@ -97,12 +100,12 @@ def keep_last_steps(matrix: DataFrame, steps: DataFrame | None, length: int = K.
 def score_batch(batch: DataFrame, batch_id: int, folder: str, forest: ForestModel,
                 sequence: SequenceModel | None, policy: SlicePolicy = DEFAULT_POLICY) -> None:
     """Score one micro-batch of scorer input and write scores, alerts and history."""
-    spark = batch.sparkSession
     good = batch.where("ts IS NOT NULL AND event_id IS NOT NULL")
     _write(batch.where("ts IS NULL OR event_id IS NULL"), f"{folder}/unreadable", batch_id)
     # Written once: the features feed the scores, and the scores feed two tables.
-    matrix = cut_lineage(batch_features(good, _table(spark, f"{folder}/history"), batch_id, policy))
-    steps = last_steps(spark, folder, batch_id)
+    history = _table(good.select(*HISTORY_COLUMNS), f"{folder}/history")
+    matrix = cut_lineage(batch_features(good, history, batch_id, policy))
+    steps = last_steps(matrix, folder, batch_id)
     rows = with_recent_steps(matrix, steps) if sequence else matrix.withColumn("_fresh", F.lit(True))
     scored = score_events(rows, forest, sequence).where("_fresh").drop("_fresh")
     scored = cut_lineage(scored)
@@ -111,6 +114,7 @@ def score_batch(batch: DataFrame, batch_id: int, folder: str, forest: ForestMode
     (keep_last_steps(matrix, steps).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/steps"))
     _write(matrix.select(*HISTORY_COLUMNS), f"{folder}/history", batch_id)
+    drop_copies(matrix, scored)
 
 
 def _write(rows: DataFrame, path: str, batch_id: int) -> None:

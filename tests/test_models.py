@@ -29,7 +29,7 @@ def test_planted_outliers_score_lowest(spark, rows):
     table = fit_forest(df, columns=("a", "b", "c"), trees=50, sample=128).persist()
     again = fit_forest(df, columns=("a", "b", "c"), trees=50, sample=128)
     assert table.orderBy("tree").collect() == again.orderBy("tree").collect()
-    forest = load_forest(table, 128)
+    forest = load_forest(table)
     scored = df.select("event_id", raw_score(spark, forest, ("a", "b", "c")).alias("s"))
     lowest = {r.event_id for r in scored.orderBy("s").limit(5).collect()}
     assert lowest == {rows + i for i in range(5)}

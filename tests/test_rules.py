@@ -258,3 +258,16 @@ def test_human_changes(spark):
     assert flag("alicia", True) is True
     assert flag("ci-runner", True) is False
     assert flag("jane", False) is True
+
+
+def test_event_times(spark):
+    from eventwarden.operators.normalize import normalize_events, quarantine
+
+    times = {"1700000000": "2023-11-14T22:13:20+00:00", "1700000000123": "2023-11-14T22:13:20.123000+00:00",
+             '"2024-01-01T00:00:00Z"': "2024-01-01T00:00:00+00:00", "null": "2020-02-02T00:00:00+00:00", '"soon"': None}
+    items = spark.createDataFrame(
+        [("app", f'{{"event_id":"{n}","message":"m","timestamp":{t}}}') for n, t in enumerate(times)], "source_type string, body string",
+    ).withColumn("ingest_ts", F.expr("timestamp'2020-02-02 00:00:00'"))
+    got = {int(r.event_id): r.t for r in normalize_events(items).select("event_id", T.iso_text(F.col("timestamp")).alias("t")).collect()}
+    assert got == {n: t for n, t in enumerate(times.values()) if t}
+    assert [r.problem for r in quarantine(items).collect()] == ["unreadable time"]

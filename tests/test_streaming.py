@@ -111,7 +111,7 @@ def test_batches_with_history_equal_one_job(spark, small, tmp_path):
     found, folder = None, str(tmp_path / "history")
     for number, part in enumerate(parts):
         rows = part.select(*ordered.columns)
-        features = SC.batch_features(rows, SC._table(spark, folder), number).select(*columns).cache()
+        features = SC.batch_features(rows, SC._table(rows, folder), number).select(*columns).cache()
         features.count()
         SC._write(rows, folder, number)
         found = features if found is None else found.unionByName(features)
@@ -120,8 +120,10 @@ def test_batches_with_history_equal_one_job(spark, small, tmp_path):
 
 
 def test_scoring_stream(spark, small, tmp_path):
-    from eventwarden.plans.scoring import train_forest, train_sequence
+    from eventwarden.plans.ingest import scorer_input
+    from eventwarden.plans.scoring import current_forest, current_sequence, train_forest, train_sequence
     from eventwarden.session import cut_lineage
+    from eventwarden.sources.readers import by_topic
 
     matrix = cut_lineage(feature_matrix(scorer_events(spark, small)))
     models = str(tmp_path / "models")
@@ -133,6 +135,9 @@ def test_scoring_stream(spark, small, tmp_path):
     messages = items.select(
         F.when(F.col("source_type") == "falco", "falco-alerts").otherwise("k8s-audit-raw").alias("topic"),
         F.col("body").alias("value"), F.col("event_no").alias("event_id"))
+    # An earlier batch that held no event does no harm.
+    none = scorer_input(by_topic(messages.where("event_id < 0")))
+    SC.score_batch(none, -1, str(tmp_path / "out"), current_forest(spark, models), current_sequence(spark, models))
     half = messages.where("event_id < 500")
     for rows in (half, messages.where("event_id >= 500")):
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
