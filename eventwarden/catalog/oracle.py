@@ -252,6 +252,16 @@ def all_oracles() -> dict[str, str]:
         "normalized_events": _NORM + """SELECT event_id, us, completed_us, source_type, service_name, namespace, pod_name, user_name,
             effective_user, is_impersonated, severity, event_type, message, classification, security_relevant, action, resource,
             subresource, resource_name, api_group, status_code, derived_privileges FROM norm""",
+        "epoch_times": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000
+              WHEN 1 THEN epoch_us(ts) // 1000 * 1000 ELSE epoch_us(ts) END AS us
+            FROM events WHERE event_id % 4 <> 3 AND event_id % 7 <> 0""",
+        "quarantined_items": """SELECT 'app' AS source_type, '{"event_id":"' || event_id || '","message":"m","timestamp":' || CASE event_id % 4
+              WHEN 0 THEN CAST(epoch_us(ts) // 1000000 AS VARCHAR) WHEN 1 THEN CAST(epoch_us(ts) // 1000 AS VARCHAR)
+              WHEN 2 THEN '"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE
+                '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END || '+00:00"'
+              ELSE '"soon"' END || CASE WHEN event_id % 7 = 0 THEN '' ELSE '}' END AS body,
+              CASE WHEN event_id % 7 = 0 THEN 'unreadable' ELSE 'unreadable time' END AS problem
+            FROM events WHERE event_id % 7 = 0 OR event_id % 4 = 3""",
         "classification_breakdown": _NORM + "SELECT source_type, classification, count(*) AS events FROM norm GROUP BY ALL",
         "ingest_counters": _NORM + """SELECT 'source_type' AS dimension, source_type AS value, count(*) AS events FROM norm GROUP BY source_type
             UNION ALL SELECT 'severity', severity, count(*) FROM norm GROUP BY severity UNION ALL SELECT 'total', 'all', count(*) FROM norm""",

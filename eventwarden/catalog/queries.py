@@ -12,6 +12,7 @@ from eventwarden.adapter import normalized, raw_items, scorer_events, security_r
 from eventwarden.functions import rules as R
 from eventwarden.functions.hashing import hash_bucket
 from eventwarden.functions.text import slug
+from eventwarden.functions.timestamps import iso_text
 from eventwarden.models.drift import auc, binary_report, psi, replace_decision
 from eventwarden.models.forest import (
     fit_forest, load_forest, normalized as normalized_score, raw_score, score_stats,
@@ -23,7 +24,7 @@ from eventwarden.models.sequence import (
 from eventwarden.operators import dedup, policy, runtime, validate
 from eventwarden.operators.normalize import (
     forward_audit, from_app_containers, from_runtime_pods, normalize_events,
-    outside_system_namespaces, parse_access_lines, parse_sensor_lines,
+    outside_system_namespaces, parse_access_lines, parse_sensor_lines, quarantine,
 )
 from eventwarden.operators.ordered import SlicePolicy
 from eventwarden.operators.tagging import tag_events
@@ -67,6 +68,29 @@ def audits(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- ingest -----------------------------------------------------------------
 
+def _timed_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Log items whose times are epoch seconds, milliseconds, text or no time at all; some are cut off."""
+    micros = us(F.col("ts").cast("timestamp"))
+    stamp = F.expr("event_id % 4")
+    when = F.when(stamp == 0, F.floor(micros / 1_000_000).cast("string")).when(
+        stamp == 1, F.floor(micros / 1000).cast("string")).when(
+        stamp == 2, F.concat(F.lit('"'), iso_text(F.col("ts").cast("timestamp")), F.lit('"'))).otherwise('"soon"')
+    end = F.when(F.col("event_id") % 7 == 0, "").otherwise("}")
+    body = F.concat(F.lit('{"event_id":"'), F.col("event_id").cast("string"), F.lit('","message":"m","timestamp":'), when, end)
+    return table(spark, folder, "events").select(F.lit("app").alias("source_type"), body.alias("body"))
+
+
+@query
+def epoch_times(spark, folder):
+    return normalize_events(_timed_items(spark, folder)).select(
+        F.col("event_id").cast("bigint").alias("event_id"), us("timestamp").alias("us"))
+
+
+@query
+def quarantined_items(spark, folder):
+    return quarantine(_timed_items(spark, folder))
+
+
 @query
 def normalized_events(spark, folder):
     return normalized(spark, folder).select(
@@ -475,17 +499,17 @@ def forest_scores_lineitem(spark, folder):
     columns = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     rows = spread(table(spark, folder, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber", *columns).withColumn(
         "row_id", F.xxhash64("l_orderkey", "l_linenumber", *columns))
-    forest = load_forest(fit_forest(rows, "row_id", columns, trees=100))
+    forest = load_forest(fit_forest(rows, "row_id", columns))
     return rows.select("l_orderkey", "l_linenumber", raw_score(spark, forest, columns).alias("raw_score"))
 
 
 @query
 def sequence_scores(spark, folder):
-    """Fit the sequence model on the earlier labelled events and score all windows."""
+    """Fit the sequence model on the events with even ids and score all windows."""
     matrix = cut_lineage(feature_matrix(scorer_events(spark, folder)))
     windows = sequence_windows(matrix).select("event_id", "us", "is_failed", "window", "seq_active")
     train = windows.where("event_id % 2 = 0").withColumn("target", F.col("is_failed"))
-    model, means, deviations = fit_sequence(train, len(K.FEATURE_COLS), hidden=16, iterations=10)
+    model, means, deviations = fit_sequence(train, len(K.FEATURE_COLS))
     return sequence_score(windows, model, means, deviations).select("event_id", "seq_active", "seq_score")
 
 
