@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventwarden import constants as K
 from eventwarden.functions.text import contains_any, lower_or_empty
+from eventwarden.operators.pinned import with_pinned
 
 
 def build_tags(message: Column, event_type: Column, classification: Column, source_type: Column,
@@ -35,6 +36,9 @@ def build_tags(message: Column, event_type: Column, classification: Column, sour
 
 
 def tag_events(events: DataFrame) -> DataFrame:
-    return events.withColumn("tags", build_tags(*[F.col(c) for c in (
+    """Events with their tags; the rules are pinned, so a filter on the tags does not repeat them."""
+    tags = build_tags(*[F.col(c) for c in (
         "message", "event_type", "classification", "source_type", "status_code", "action",
-        "resource", "namespace", "source_namespace", "tags")]))
+        "resource", "namespace", "source_namespace", "tags")])
+    rows = with_pinned(events, "_tags", tags)
+    return rows.select(*[F.col("_tags").alias(c) if c == "tags" else F.col(c) for c in events.columns])
