@@ -1,17 +1,20 @@
 """Near-duplicate vectors by spherical caps: random product codes, joins on filters, exact cosines.
 
 A filter is a direction put together from one random codeword per block of coordinates, after a random
-rotation. With k codewords in each of four blocks a code has k**4 directions, yet the best ones for a
-vector are found by adding up block products best first. The cap of a vector holds the ``listed``
-directions with the largest inner products; several rotations make a missed pair unlikely. Vectors that
-share a filter are compared exactly, in double precision.
+rotation. The cap of a vector holds every direction whose inner product reaches a limit, however many they
+are: they are found block by block, leaving out beginnings that the best rest cannot lift to the limit.
+Several rotations make a missed pair unlikely. Vectors that share a filter are compared exactly, in double
+precision.
+
+The limit is fitted to the dimension, the number of codewords and the cosine, so that a pair at that cosine
+is missed with the same small probability in every dimension and at every size, less above. Under a random
+rotation that probability is the same for all pairs of one cosine, so pairs drawn at random measure it. The
+number of codewords and of rotations are those of the least estimated work. A length that few vectors have
+has one filter, and no pair is missed.
 
 Equal vectors are one class with a weight. A bucket is compared block by block, as matrix products;
 a pair is counted in the first filter its vectors share, so nothing is counted twice and no pair becomes
 a row: a task gives every vector its number of links and the smallest vector of its part.
-
-At cosine 0.95 in 64 dimensions a pair is missed with probability about 0.0005 with the default
-settings, less above; the number of codewords grows with the number of vectors.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +33,140 @@ from pyspark.sql import functions as F
 from eventwarden.llm.components import components
 from eventwarden.llm.scratch import Scratch
 
-BLOCKS = 4
 BLOCK_ROWS = 1024
+#: Codewords of a block at most; more directions take more blocks.
+WORDS = 2048
+#: Probability that a pair at the wanted cosine shares no filter.
+MISSED = 1e-4
+#: Codes and pairs of each by which limits are fitted, and directions tried for each pair.
+TRIED_CODES, TRIED_PAIRS, TRIED = 4, 1000, 64
+
+
+class Caps(NamedTuple):
+    blocks: int
+    codewords: int
+    turns: int
+    #: Sum of block products from which a direction is listed.
+    limit: float
 
 
-def code_for(dimension: int, codewords: int, turn: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def code_for(dimension: int, blocks: int, codewords: int, turn: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The rotation and the codewords of every block, the same in every task."""
     rng = np.random.default_rng([dimension, codewords, turn])
     rotation, _ = np.linalg.qr(rng.standard_normal((dimension, dimension)))
     words = []
-    for part in np.array_split(np.arange(dimension), min(BLOCKS, dimension)):
+    for part in np.array_split(np.arange(dimension), blocks):
         block = rng.standard_normal((codewords, len(part)))
         words.append(block / np.linalg.norm(block, axis=1, keepdims=True))
     return rotation, words
 
 
-def decoded(unit: np.ndarray, codewords: int, turn: int, listed: int) -> np.ndarray:
-    """Numbers of the ``listed`` best directions of every row, in one code."""
-    rotation, words = code_for(unit.shape[1], codewords, turn)
+def block_products(unit: np.ndarray, rotation: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
     turned = unit @ rotation
-    sums, names, low = None, None, 0
-    for block in words:
-        products = turned[:, low:low + block.shape[1]] @ block.T
-        low += block.shape[1]
-        # Only the best ``listed`` codewords of a block can be part of the best directions.
-        best = np.argsort(-products, axis=1, kind="stable")[:, :listed]
-        value = np.take_along_axis(products, best, 1)
-        if sums is None:
-            sums, names = value, best.astype(np.int64)
-            continue
-        sums = (sums[:, :, None] + value[:, None, :]).reshape(len(unit), -1)
-        names = (names[:, :, None] * codewords + best[:, None, :]).reshape(len(unit), -1)
-        if sums.shape[1] > listed:
-            keep = np.argpartition(-sums, listed - 1, axis=1)[:, :listed]
-            sums, names = np.take_along_axis(sums, keep, 1), np.take_along_axis(names, keep, 1)
-    return names
-
-
-def filter_lists(codewords: int, turns: int, listed: int):
+    low = np.cumsum([0] + [block.shape[1] for block in words])
+    return [turned[:, a:b] @ block.T for a, b, block in zip(low[:-1], low[1:], words, strict=True)]
+
+
+def decoded(unit: np.ndarray, caps: Caps, turn: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number of direction) of every direction that reaches the limit, in one code, in order of rows."""
+    code = code_for(unit.shape[1], caps.blocks, caps.codewords, turn)
+    found = [_decoded(block_products(unit[low:low + step], *code), caps, low) for low in range(0, len(unit), step)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _decoded(products: list[np.ndarray], caps: Caps, low: int) -> tuple[np.ndarray, np.ndarray]:
+    tops = np.stack([p.max(axis=1) for p in products])
+    # Rounding must not lose what just reaches the limit.
+    limit = caps.limit - 1e-9
+    rest = tops.sum(axis=0)
+    rows = np.flatnonzero(rest >= limit)
+    sums, names = np.zeros(len(rows)), np.zeros(len(rows), dtype=np.int64)
+    slack = rest - limit
+    for product, top in zip(products, tops, strict=True):
+        if not len(rows):
+            break
+        # Codewords that some direction at the limit can hold, beside the best of all other blocks.
+        wide = max(1, int((product >= (top - slack)[:, None]).sum(axis=1).max()))
+        if wide < caps.codewords:
+            best = np.argpartition(-product, wide - 1, axis=1)[:, :wide]
+            product = np.take_along_axis(product, best, 1)
+        else:
+            best = np.broadcast_to(np.arange(caps.codewords), product.shape)
+        rest = rest - top
+        value = sums[:, None] + product[rows]
+        at, word = np.nonzero(value >= (limit - rest[rows])[:, None])
+        sums, rows, names = value[at, word], rows[at], names[at] * caps.codewords + best[rows[at], word]
+    return rows + low, names
+
+
+def shared_limits(dimension: int, blocks: int, codewords: int, cosine: float) -> np.ndarray:
+    """For random pairs at ``cosine``, the limit up to which they share a filter of one code; sorted.
+
+    Only the best directions of the middle of a pair are tried, so a limit can be too low, never too high.
+    """
+    out = []
+    for turn in range(TRIED_CODES):
+        rng = np.random.default_rng([dimension, codewords, turn, 1])
+        code = code_for(dimension, blocks, codewords, turn)
+        for _ in range(0, TRIED_PAIRS, 125):
+            one, two = rng.standard_normal((2, 125, dimension))
+            one /= np.linalg.norm(one, axis=1, keepdims=True)
+            two -= (one * two).sum(axis=1, keepdims=True) * one
+            two /= np.linalg.norm(two, axis=1, keepdims=True)
+            two = cosine * one + math.sqrt(max(0.0, 1 - cosine * cosine)) * two
+            sums = None
+            for p, q in zip(block_products(one, *code), block_products(two, *code), strict=True):
+                best = np.argsort(-(p + q), axis=1)[:, :TRIED]
+                pair = np.stack([np.take_along_axis(p, best, 1), np.take_along_axis(q, best, 1)])
+                sums = pair if sums is None else (sums[..., :, None] + pair[..., None, :]).reshape(2, 125, -1)
+                if sums.shape[2] > TRIED:
+                    keep = np.argpartition(-sums.sum(axis=0), TRIED - 1, axis=1)[:, :TRIED]
+                    sums = np.take_along_axis(sums, keep[None], 2)
+            out.append(sums.min(axis=0).max(axis=1))
+    return np.sort(np.concatenate(out))
+
+
+@lru_cache(maxsize=4096)
+def caps_for(dimension: int, size: int, cosine: float, missed: float = MISSED) -> Caps:
+    """Codewords, turns and limit for ``size`` vectors: of all that miss a pair with probability ``missed``, the cheapest."""
+    single = Caps(1, 1, 1, -math.inf)
+    if size <= BLOCK_ROWS or dimension == 1:
+        return single
+    blocks = 1
+    while blocks < max(1, dimension // 2) and (64 * size) ** (1 / blocks) > WORDS:
+        blocks += 1
+    # Microseconds for each vector: listing, entries, copies into shared buckets, comparisons.
+    compare = 2e-4 * dimension
+    # Comparing all grows with the square; in few dimensions, where caps hold much of everything, so do they.
+    best, least = single, 60 * size / BLOCK_ROWS + compare * size if dimension <= 3 else math.inf
+    sample = np.random.default_rng(dimension).standard_normal((64, dimension))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    codewords = min(WORDS, math.ceil((64 * size) ** (1 / blocks)))
+    last = math.inf
+    while codewords > 1:
+        limits = shared_limits(dimension, blocks, codewords, cosine)
+        cheapest = math.inf
+        for turns in (4, 8, 16):
+            # Turns are independent: a pair is missed when it is missed in all.
+            limit = float(limits[int(len(limits) * missed ** (1 / turns))])
+            caps = Caps(blocks, codewords, turns, limit)
+            entries = len(decoded(sample, caps, 0)[0]) / len(sample)
+            others = size * entries / codewords ** blocks
+            copies = max(1 - math.exp(-others), others / BLOCK_ROWS)
+            cost = turns * (codewords * (1.2e-4 * dimension + 0.006 * blocks) + entries * (3 + 60 * copies + compare * others))
+            cheapest = min(cheapest, cost)
+            if cost < least:
+                best, least = caps, cost
+        if cheapest > last:
+            break
+        last = cheapest
+        codewords = int(codewords / 16 ** (1 / blocks))
+    return best
+
+
+def filter_lists(plans: dict[int, Caps]):
     """Arrow task over (id, vector): a digest, and the sorted filters of every usable vector."""
+    number = {dimension: n for n, dimension in enumerate(sorted(plans))}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,14 +188,17 @@ def filter_lists(codewords: int, turns: int, listed: int):
                 if not len(rows):
                     continue
                 unit = units(matrix)
-                found = [decoded(unit, codewords, t, listed) for t in range(turns)]
-                span = codewords ** BLOCKS
-                names = np.sort(np.concatenate([f + span * t for t, f in enumerate(found)], axis=1), axis=1)
+                caps = plans[int(dimension)]
+                found = [decoded(unit, caps, t) for t in range(caps.turns)]
+                places = np.concatenate([r for r, _ in found])
+                names = np.concatenate([f + caps.codewords ** caps.blocks * t for t, (_, f) in enumerate(found)])
                 # Vectors of different dimension never meet.
-                names = names * 8192 + int(dimension) % 8192
-                for r, line, own in zip(rows, matrix + 0.0, names, strict=True):
+                names = names * len(plans) + number[int(dimension)]
+                order = np.lexsort((names, places))
+                own = np.split(names[order], np.searchsorted(places[order], np.arange(1, len(rows))))
+                for r, line, some in zip(rows, matrix + 0.0, own, strict=True):
                     prints[r] = hashlib.md5(line.tobytes()).digest()
-                    filters[r] = own
+                    filters[r] = some
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(prints, pa.binary()), pa.array(filters, pa.list_(pa.int64())), lists],
                 ["id", "print", "filters", "vector"])
@@ -112,7 +215,7 @@ def units(matrix: np.ndarray) -> np.ndarray:
 def bucket_links(cosine: float):
     """Arrow task over bucket rows in order of (filter, x, y): links and smallest linked part of each row."""
 
-    def one(name: int, ids, sides, weights, unit, filters) -> tuple[np.ndarray, np.ndarray]:
+    def one(name: int, ids, sides, weights, unit, known, ends) -> tuple[np.ndarray, np.ndarray]:
         near = unit @ unit.T >= cosine
         np.fill_diagonal(near, False)
         # Between two blocks, only pairs across them; each block has a task of its own.
@@ -120,11 +223,16 @@ def bucket_links(cosine: float):
             near &= sides[:, None] != sides[None, :]
         near &= ids[:, None] != ids[None, :]
         if near.any():
-            at, which = np.nonzero((filters < name) & (filters >= 0))
-            if len(at):
-                _, column = np.unique(filters[at, which], return_inverse=True)
-                has = np.zeros((len(ids), column.max() + 1), dtype=np.float32)
-                has[at, column] = 1
+            held = known[ends[0]:ends[-1]]
+            at = np.repeat(np.arange(len(ids)), np.diff(ends))
+            use = (held < name) & near.any(axis=1)[at]
+            _, column, often = np.unique(held[use], return_inverse=True, return_counts=True)
+            at = at[use][often[column] > 1]
+            _, column = np.unique(column[often[column] > 1], return_inverse=True)
+            for low in range(0, column.max(initial=-1) + 1, BLOCK_ROWS):
+                part = (column >= low) & (column < low + BLOCK_ROWS)
+                has = np.zeros((len(ids), BLOCK_ROWS), dtype=np.float32)
+                has[at[part], column[part] - low] = 1
                 near &= ~((has @ has.T) > 0)
         links = near @ weights
         low = ids.copy()
@@ -156,15 +264,14 @@ def bucket_links(cosine: float):
         vectors, filters = table.column("vector").combine_chunks(), table.column("filters").combine_chunks()
         values = vectors.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
         limits, known = vectors.offsets.to_numpy(), filters.values.to_numpy()
-        width = len(filters[0])
-        lists = known[filters.offsets.to_numpy()[:-1][:, None] + np.arange(width)]
+        ends = filters.offsets.to_numpy()
         who, count, low = [], [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b - a < 2:
                 continue
             dimension = limits[a + 1] - limits[a]
             unit = units(values[limits[a]:limits[b]].reshape(b - a, dimension))
-            links, part = one(names[a], ids[a:b], sides[a:b], weights[a:b], unit, lists[a:b])
+            links, part = one(names[a], ids[a:b], sides[a:b], weights[a:b], unit, known, ends[a:b + 1])
             some = links > 0
             who.append(ids[a:b][some])
             count.append(links[some])
@@ -177,7 +284,7 @@ def bucket_links(cosine: float):
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, id: str = "vec_id", vector: str = "embedding",
-                 cosine: float = 0.95, listed: int = 16, turns: int = 3) -> DataFrame:
+                 cosine: float = 0.95, missed: float = MISSED) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row of ``vectors``.
 
     Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing, and so do rows
@@ -186,10 +293,10 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, id: str = "vec_id", vecto
     rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     # A null component becomes NaN, which no usable vector holds.
     rows = rows.withColumn("vector", F.expr("transform(vector, v -> coalesce(v, double('NaN')))"))
-    size = max(1, rows.count())
-    codewords = max(64, math.ceil((16 * size) ** (1 / BLOCKS)))
+    sizes = rows.where("id is not null and size(vector) > 0").groupBy(F.size("vector").alias("dimension")).count().collect()
+    plans = {r["dimension"]: caps_for(r["dimension"], r["count"], cosine, missed) for r in sizes}
     named = scratch.cut(rows.where("id is not null").mapInArrow(
-        filter_lists(codewords, turns, listed), "id bigint, print binary, filters array<bigint>, vector array<double>"), "filters")
+        filter_lists(plans), "id bigint, print binary, filters array<bigint>, vector array<double>"), "filters")
     usable = named.where("print is not null")
     classes = usable.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     members = scratch.cut(usable.select("id", "print").join(classes, "print").select("id", "rep", "weight"), "members")
