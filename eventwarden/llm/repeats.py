@@ -1,15 +1,15 @@
-"""Word passages that repeat across documents, by level-wise doubling.
+"""Word passages that repeat across documents, by one doubling.
 
-Level by level, windows of one length that occur in two documents are extended to windows of twice
-that length; a longer window can only repeat if both of its halves do.
+Windows of half the wanted length that occur in two documents are extended to the wanted length; a window
+can only repeat if both of its halves do.
 
 * The first level is half the wanted length. Of each stretch of windows that a wanted window can
   contain, only the one with the smallest hash is looked at. Two documents that share a wanted
   window choose the same one in it, so nothing is lost, and few rows are shuffled.
 * At the wanted length, every window around a repeated first-level window is a candidate, named by the
   hashes of its two halves. Each is compared with the smallest document id that has it.
-* Longer levels go on in the same way with windows chosen by smallest hash, until none survive; they
-  tell how long the repeated passages are.
+* There the doubling stops: what is removed depends on windows of the wanted length only, and a longer
+  passage is the union of its windows.
 
 Exact copies are judged through the one with the smallest id, before any window is made.
 """
