@@ -13,7 +13,7 @@ from eventwarden.llm.cap_links import near_vectors
 from eventwarden.llm.decontaminate import contaminated
 from eventwarden.llm.near_dedup import near_duplicates
 from eventwarden.llm.repeats import remove_repeats
-from eventwarden.llm.samples import fold
+from eventwarden.llm.samples import class_counts, fold
 from eventwarden.llm.scratch import Scratch
 from eventwarden.llm.token_files import write_tokens
 from eventwarden.llm.url_rules import judge
@@ -36,9 +36,9 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
+def _judged(scored: DataFrame, folds: int, held_out: int, *more: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score",
-                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"), *more)
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,8 +71,13 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
-    ranking = quality.learn(docs, labels, Scratch(spark, "op6"), folds=5, held_out=0)
-    return _judged(quality.score(docs, ranking), 5, 0)
+    scratch = Scratch(spark, "op6")
+    ranking = quality.learn(docs, labels, scratch, folds=5, held_out=0)
+    scored = scratch.cut(quality.score(docs, ranking), "scored")
+    # As large a share of all documents is kept as of the labelled ones is good.
+    zeros, ones = class_counts(labels, "quality", 5, 0)
+    kept = quality.best(scored, ones / (zeros + ones) if zeros + ones else 1.0)
+    return _judged(kept, 5, 0, "kept")
 
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
