@@ -505,10 +505,10 @@ def forest_scores_lineitem(spark, folder):
 
 @query
 def sequence_scores(spark, folder):
-    """Fit the sequence model on the events with even ids and score all windows."""
+    """Fit the sequence model on the earliest events, split by time, and score all windows."""
     matrix = cut_lineage(feature_matrix(scorer_events(spark, folder)))
-    windows = sequence_windows(matrix).select("event_id", "us", "is_failed", "window", "seq_active")
-    train = windows.where("event_id % 2 = 0").withColumn("target", F.col("is_failed"))
+    windows = cut_lineage(sequence_windows(matrix).select("event_id", "us", "is_failed", "window", "seq_active"))
+    train = time_split(windows, K.TRAIN_SHARE).where("is_train").withColumn("target", F.col("is_failed"))
     model, means, deviations = fit_sequence(train, len(K.FEATURE_COLS))
     return sequence_score(windows, model, means, deviations).select("event_id", "seq_active", "seq_score")
 
