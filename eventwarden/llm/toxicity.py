@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon of word beginnings.
 
-Texts are folded first: lower case, look-alike letters of other alphabets to Latin, digits and signs that stand
-for letters to those letters, invisible characters gone, everything else that is no letter to blanks.
+Texts are folded first: compatibility forms to plain letters, lower case, look-alike letters of other alphabets to
+Latin, digits and signs that stand for letters to those letters, invisible characters gone, everything else that is
+no letter to blanks. Letters that one sign can stand for are one class: l and i with 1, ! and |. A ! or | before
+a letter can also end a word, so such words are read both ways. The lexicon is folded like the texts.
 The lexicon is found by one Aho-Corasick pass; an entry counts where a word begins with it. Exception phrases are
 part of the same automaton and take back the hits they cover. The sum of weights over the length of the text
 gives the score through a fitted curve.
@@ -12,6 +14,8 @@ Entries, weights, exceptions and the curve are learned from a bounded sample of
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,7 +32,9 @@ LOOKALIKES = str.maketrans(
     "аеорсухіјѕԁһӏԛԝвнкмтгпαεοριυκντχγβηωⅼｏ",
     "aeopcyxijsdhlqwbhkmtrnaeopiukvtxybnwlo")
 #: Digits and signs that stand for letters.
-SIGNS = str.maketrans("013457@$€", "oieastase")
+SIGNS = str.maketrans("01345789@$€", "oieastbgase")
+#: Signs that are a letter where another follows, or the end of a word.
+EITHER = re.compile(r"[!|](?=\w)")
 #: Characters that show nothing.
 HIDDEN = (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)
 
@@ -50,23 +56,34 @@ def fold_table() -> dict[int, int | None]:
         if not chr(code).isalpha():
             table[code] = 0x20
     table |= LOOKALIKES | SIGNS
+    # One class with i, whatever it was before.
+    table |= {code: ord("i") for code, to in table.items() if to == ord("l")} | {ord("l"): ord("i")}
     table |= {code: None for code in HIDDEN}
     return table
 
 
 def folded(text: str, table: dict[int, int | None]) -> str:
     """The folded text, with one blank in front and behind."""
-    return f" {' '.join(text.lower().translate(table).split())} "
+    text = unicodedata.normalize("NFKC", text).lower()
+    if EITHER.search(text):
+        text = " ".join(f"{w} {EITHER.sub('i', w)}" if EITHER.search(w) else w for w in text.split())
+    return f" {' '.join(text.translate(table).split())} "
 
 
 def automaton(lexicon: Lexicon):
     import ahocorasick
 
-    found = ahocorasick.Automaton()
+    found, table = ahocorasick.Automaton(), fold_table()
+    weights: dict[str, float] = {}
     for entry, weight in lexicon.weights.items():
-        found.add_word(" " + entry, (weight, len(entry) + 1))
+        entry = folded(entry, table)[:-1]
+        if entry.strip():
+            weights[entry] = max(weight, weights.get(entry, weight))
+    for entry, weight in weights.items():
+        found.add_word(entry, (weight, len(entry)))
     for phrase in lexicon.exceptions:
-        found.add_word(f" {phrase} ", (0.0, len(phrase) + 2))
+        phrase = folded(phrase, table)
+        found.add_word(phrase, (0.0, len(phrase)))
     found.make_automaton()
     return found if len(found) else None
 
