@@ -53,3 +53,39 @@ shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s
 SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles AS containment
 FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_item_shingles
 """
+
+ORACLES["op13_filter_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low FROM documents
+), masks AS (
+  SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > low, false)::INT AS mask FROM docs
+), said AS (
+  SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic
+  FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM masks LEFT JOIN said USING (doc_id) GROUP BY part, mask
+), letters(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), steps AS (
+  SELECT filter_order, step, bit, coalesce((SELECT sum(x.bit) FROM letters x
+    WHERE strpos(filter_order, x.c) < step), 0) AS before
+  FROM orders, range(1, 6) AS r(step), letters WHERE c = substr(filter_order, step, 1)
+)
+SELECT part, filter_order, CAST(step AS INT) AS step,
+  coalesce(CAST(sum(n) FILTER (mask & (before + bit)::INT = 0) AS BIGINT), 0) AS kept,
+  coalesce(CAST(sum(n) FILTER (mask & bit <> 0 AND mask & before::INT = 0) AS BIGINT), 0) AS removed,
+  coalesce(CAST(sum(n) FILTER (mask & bit <> 0 AND mask & before::INT <> 0) AS BIGINT), 0) AS redundant,
+  coalesce(CAST(sum(n) FILTER (mask = bit) AS BIGINT), 0) AS unique_fails,
+  coalesce(CAST(sum(good) FILTER (mask & bit <> 0 AND mask & before::INT = 0) AS BIGINT), 0) AS good_lost,
+  coalesce(CAST(sum(toxic) FILTER (mask & bit <> 0 AND mask & before::INT = 0) AS BIGINT), 0) AS toxic_lost,
+  coalesce(CAST(sum(n * (120 // nullif(bit_count(mask), 0))) FILTER (mask & bit <> 0) AS BIGINT), 0) AS shapley
+FROM counts, steps GROUP BY part, filter_order, step
+"""

@@ -11,6 +11,7 @@ from eventwarden.llm import quality, toxicity
 from eventwarden.llm.byte_bpe import round_trip
 from eventwarden.llm.cap_links import near_vectors
 from eventwarden.llm.decontaminate import contaminated
+from eventwarden.llm.filter_audit import audit
 from eventwarden.llm.near_dedup import near_duplicates
 from eventwarden.llm.repeats import remove_repeats
 from eventwarden.llm.samples import class_counts, fold
@@ -97,6 +98,11 @@ def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"), Scratch(spark, "op10"))
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters keep, remove and repeat in all their orders, per language."""
+    return audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: job for name, job in globals().items() if name.startswith("op") and name[2].isdigit()}
     return own
