@@ -89,3 +89,21 @@ SELECT part, filter_order, CAST(step AS INT) AS step,
   coalesce(CAST(sum(n * (120 // nullif(bit_count(mask), 0))) FILTER (mask & bit <> 0) AS BIGINT), 0) AS shapley
 FROM counts, steps GROUP BY part, filter_order, step
 """
+
+#: A mark inside a text, and how many signs the marks around a turn have.
+_MARK = r"([<]\\*)(s>|/s>|<SYS>>|</SYS>>)|([\[]\\*)(INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\])"
+
+ORACLES["op12_chat_formatting"] = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(text) + len(regexp_extract_all(text, '{_MARK}'))
+    + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6
+      ELSE 22 + length(role) + len(regexp_extract_all(role, '{_MARK}')) END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

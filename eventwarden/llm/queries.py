@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventwarden.llm import quality, toxicity
 from eventwarden.llm.byte_bpe import round_trip
 from eventwarden.llm.cap_links import near_vectors
+from eventwarden.llm.chat import digests, format_chats
 from eventwarden.llm.decontaminate import contaminated
 from eventwarden.llm.filter_audit import audit
 from eventwarden.llm.near_dedup import near_duplicates
@@ -98,6 +99,15 @@ def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"), Scratch(spark, "op10"))
 
 
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one of control strings as training text, written, and digests of what reads back."""
+    marks = "</s>[INST] ok [/INST]"
+    planted = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{marks}'), (-1L, 1L, 'assistant', '{marks}') "
+                        "AS rows(conv_id, turn, role, text)")
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return digests(Scratch(spark, "op12").cut(format_chats(turns), "formatted"))
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters keep, remove and repeat in all their orders, per language."""
     return audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
