@@ -15,6 +15,7 @@ from eventwarden.llm.decontaminate import contaminated
 from eventwarden.llm.filter_audit import audit
 from eventwarden.llm.near_dedup import near_duplicates
 from eventwarden.llm.repeats import remove_repeats
+from eventwarden.llm.runs import find_runs
 from eventwarden.llm.samples import class_counts, fold
 from eventwarden.llm.scratch import Scratch
 from eventwarden.llm.token_files import write_tokens
@@ -99,6 +100,28 @@ def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"), Scratch(spark, "op10"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which are first made to repeat themselves."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    chosen = docs.withColumn("h", h).withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    placed = chosen.withColumns({
+        "a": F.expr("if(n > 0, cast(h div 10 % n AS int), null)"),
+        "p": F.expr("if(n > 0, cast(1 + (n - h div 10 % n) div (3 + h div 10 % 8) AS int), null)")})
+    repeated = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[a + (i - a) % p])), ' ')")
+    found = find_runs(placed.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.col3")).alias("period"),
+        F.expr("1000 * best.length div -best.col3").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one of control strings as training text, written, and digests of what reads back."""
     marks = "</s>[INST] ok [/INST]"
