@@ -43,24 +43,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of PASSAGE words that a smaller id has; n_chars follows the text.
 
-    A document that loses all its words goes. Untouched texts stay as they are.
+    A document that loses all its words goes. Untouched texts stay as they are; null ids stay whole. Columns beyond
+    doc_id and text may have any names and pass unchanged but for n_chars, which need not be there.
     """
-    cut = remove_repeats(docs, Scratch(spark, "repeats"), wanted=PASSAGE)
+    named = [F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"of_{c}") for c in docs.columns]
+    cut = remove_repeats(docs.select(*named), Scratch(spark, "repeats"), wanted=PASSAGE)
     touched = F.col("n_removed") > 0
     left = cut.where(~touched | (F.col("n_removed") < F.col("n_words")))
-    return left.withColumn("n_chars", F.when(touched, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))).withColumn(
-        "text", F.col("kept_text")).select(*docs.columns)
+    kept = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        kept["n_chars"] = F.when(touched, F.length("kept_text").cast(kind)).otherwise(F.col("of_n_chars"))
+    return left.select(*[kept.get(c, F.col(f"`of_{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item: none whose shingles they have to SIMILAR or more."""
+    """Documents that hold no benchmark item: none whose shingles they have to SIMILAR or more.
+
+    Rows with a null id, and null, empty or very short texts, hold none. Rows that share an id go together.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contaminated(docs, items, Scratch(spark, "items"), threshold=SIMILAR)
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids) of every document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids) of every row; null and empty texts have no ids."""
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
@@ -77,7 +85,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written and read again before the next."""
+    """All stages over the documents; each is written and read again before the next.
+
+    Rows with a null id or a null text pass all stages; repeated rows of one id and text become one in the second.
+    An empty table gives an empty result.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
