@@ -9,8 +9,9 @@ precision.
 The limit is fitted to the dimension, the number of codewords and the cosine, so that a pair at that cosine
 is missed with the same small probability in every dimension and at every size, less above. Under a random
 rotation that probability is the same for all pairs of one cosine, so pairs drawn at random measure it. The
-number of codewords and of rotations are those of the least estimated work. A length that few vectors have
-has one filter, and no pair is missed.
+number of codewords and of rotations are those of the least estimated work. A length that no more vectors have than
+it has numbers has one filter, as a rotation would be larger than the vectors, and no pair is missed. Vectors
+of one number are equal when their signs are.
 
 Equal vectors are one class with a weight. A bucket is compared block by block, as matrix products;
 a pair is counted in the first filter its vectors share, so nothing is counted twice and no pair becomes
@@ -69,6 +70,8 @@ def block_products(unit: np.ndarray, rotation: np.ndarray, words: list[np.ndarra
 
 def decoded(unit: np.ndarray, caps: Caps, turn: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """(row, number of direction) of every direction that reaches the limit, in one code, in order of rows."""
+    if caps.codewords == 1:
+        return np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64)
     code = code_for(unit.shape[1], caps.blocks, caps.codewords, turn)
     found = [_decoded(block_products(unit[low:low + step], *code), caps, low) for low in range(0, len(unit), step)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -130,15 +133,14 @@ def shared_limits(dimension: int, blocks: int, codewords: int, cosine: float) ->
 def caps_for(dimension: int, size: int, cosine: float, missed: float = MISSED) -> Caps:
     """Codewords, turns and limit for ``size`` vectors: of all that miss a pair with probability ``missed``, the cheapest."""
     single = Caps(1, 1, 1, -math.inf)
-    if size <= BLOCK_ROWS or dimension == 1:
+    if size <= dimension or dimension == 1:
         return single
     blocks = 1
     while blocks < max(1, dimension // 2) and (64 * size) ** (1 / blocks) > WORDS:
         blocks += 1
     # Microseconds for each vector: listing, entries, copies into shared buckets, comparisons.
     compare = 2e-4 * dimension
-    # Comparing all grows with the square; in few dimensions, where caps hold much of everything, so do they.
-    best, least = single, 60 * size / BLOCK_ROWS + compare * size if dimension <= 3 else math.inf
+    best, least = single, math.inf
     sample = np.random.default_rng(dimension).standard_normal((64, dimension))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     codewords = min(WORDS, math.ceil((64 * size) ** (1 / blocks)))
@@ -196,7 +198,8 @@ def filter_lists(plans: dict[int, Caps]):
                 names = names * len(plans) + number[int(dimension)]
                 order = np.lexsort((names, places))
                 own = np.split(names[order], np.searchsorted(places[order], np.arange(1, len(rows))))
-                for r, line, some in zip(rows, matrix + 0.0, own, strict=True):
+                # All vectors of one number and sign have cosine 1: they are one class.
+                for r, line, some in zip(rows, (unit if dimension == 1 else matrix) + 0.0, own, strict=True):
                     prints[r] = hashlib.md5(line.tobytes()).digest()
                     filters[r] = some
             yield pa.RecordBatch.from_arrays(

@@ -19,7 +19,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_ou
              text: str = "text", per_class: int = PER_CLASS) -> DataFrame:
     """(id, text, label) of at most ``per_class`` rows per class outside the held-out fold.
 
-    Null ids, null labels and labels other than 0 and 1 are not used. An id with several labels counts as 1.
+    Null ids, null labels and labels other than 0 and 1 are not used. An id with several labels counts as 1 if one of
+    them is; of several texts of an id the one with the smallest hash is taken.
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold(F.col(id), folds) != held_out)).groupBy(
         F.col(id).cast("bigint").alias("id")).agg(F.max(label).cast("int").alias("label"))
@@ -28,7 +29,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_ou
         known.where("label = 1").orderBy(order, "id").limit(per_class))
     # At most two rows per unit of per_class: small enough to send to every task.
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.join(F.broadcast(some), "id").dropDuplicates(["id"])
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    return rows.join(F.broadcast(some), "id").groupBy("id", "label").agg(first.alias("first")).select("id", "first.text", "label")
 
 
 def class_counts(labels: DataFrame, label: str, folds: int, held_out: int, id: str = "doc_id") -> tuple[int, int]:

@@ -18,7 +18,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        # With its scheme, so that tasks which open files themselves find the same store as Spark.
+        path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.folder = f"{store.makeQualified(path).toString().rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
 
     def path(self, name: str) -> str:

@@ -16,8 +16,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -93,14 +95,18 @@ def hits(text: str, found) -> list[tuple[int, int, float]]:
     if found is None:
         return []
     entries: dict[int, tuple[int, float]] = {}
-    covered = []
+    covered: list[tuple[int, int]] = []
     for last, (weight, size) in found.iter(text):
         begin = last + 1 - size
         if weight:
             entries[begin] = max(entries.get(begin, (0, 0.0)), (last + 1, weight))
         else:
             covered.append((begin, last + 1))
-    return [(a, b, w) for a, (b, w) in entries.items() if not any(c <= a and b <= d for c, d in covered)]
+    # Of the exceptions that begin no later than an entry, the one that reaches furthest decides.
+    covered.sort()
+    begins = [c for c, _ in covered]
+    furthest = [-1, *accumulate((d for _, d in covered), max)]
+    return [(a, b, w) for a, (b, w) in entries.items() if furthest[bisect_right(begins, a)] < b]
 
 
 def density(weight: float, words: int) -> float:
@@ -155,12 +161,14 @@ def _by_class(df: DataFrame, key: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, scratch, label: str = "toxic", folds: int = 4, held_out: int = 2,
-          id: str = "doc_id", text: str = "text", share: float = 0.02, odds: float = 10.0, most: int = 2000) -> Lexicon:
+          id: str = "doc_id", text: str = "text", share: float = 0.02, odds: float = 10.0) -> Lexicon:
     """Learn a lexicon from labelled rows outside the held-out fold, at most PER_CLASS of each class.
 
     An entry begins words in at least ``share`` of the toxic sample and is surely ``odds`` times as frequent
     there as in the rest; of beginnings that occur in the same texts the longest is taken, and of entries that
-    begin with one another the one with the most weight. Without toxic labels the lexicon is empty and every score 0.
+    begin with one another the one with the most weight. An exception is a pair of words around entries that is four
+    times as frequent in the clean sample. Both lists are as long as the sample, which is bounded, makes them.
+    Without toxic labels the lexicon is empty and every score 0.
     """
     table = fold_table()
     sample = scratch.cut(labelled(docs, labels, label, folds, held_out, id, text), "sample")
@@ -175,13 +183,13 @@ def learn(docs: DataFrame, labels: DataFrame, scratch, label: str = "toxic", fol
     ratio = F.log((F.col("ones") / toxic) / ((F.col("zeros") + 0.5) / (clean + 1)))
     weight = ratio - 1.64 * F.sqrt(1 / F.col("ones") + 1 / (F.col("zeros") + 0.5))
     rows = counted.where((F.col("ones") >= least) & (weight >= math.log(odds))).withColumn("weight", weight)
-    frequent = {r["entry"]: (r["ones"], r["weight"]) for r in rows.orderBy(F.desc("weight"), "entry").limit(20 * most).collect()}
+    frequent = {r["entry"]: (r["ones"], r["weight"]) for r in rows.collect()}
     followed = {e[:-1] for e, (n, _) in frequent.items() if frequent.get(e[:-1], (None,))[0] == n}
     weights: dict[str, float] = {}
     inner: set[str] = set()
     for entry in sorted(set(frequent) - followed, key=lambda e: (-frequent[e][1], e)):
         begins = {entry[:n] for n in range(SHORTEST, len(entry))}
-        if entry in inner or begins & weights.keys() or len(weights) == most:
+        if entry in inner or begins & weights.keys():
             continue
         weights[entry] = frequent[entry][1]
         inner |= begins
@@ -192,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch, label: str = "toxic", fol
     pairs = _by_class(sample.mapInArrow(_count_phrases(lexicon, table), "phrase string, label int, n bigint"), "phrase")
     harmless = pairs.where(
         (F.col("zeros") >= 3) & (F.col("zeros") / (clean + 1) >= 4 * (F.col("ones") + 0.5) / (toxic + 1)))
-    phrases = [r["phrase"] for r in harmless.orderBy(F.desc("zeros"), "phrase").limit(most).collect()]
+    phrases = [r["phrase"] for r in harmless.orderBy(F.desc("zeros"), "phrase").collect()]
     lexicon = lexicon._replace(exceptions=tuple(phrases))
 
     measured = sample.mapInArrow(_measure(lexicon, ["id", "label"]), "id bigint, label int, density double").collect()
