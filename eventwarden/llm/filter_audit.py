@@ -80,7 +80,7 @@ def adaptive_prefixes(texts: DataFrame) -> list[bytes]:
         return []
     while True:
         share = min(1.0, min(PER_RANGE * (wanted or least), SAMPLED) / rows)
-        sample = texts.sample(share, seed=11).coalesce(1)
+        sample = texts.sample(share, seed=11).repartition(1)
         listed = sample.mapInArrow(prefixes_of(wanted, rows, least), "prefixes array<binary>, wanted bigint").collect()
         if not listed or wanted or listed[0]["wanted"] <= least:
             return [bytes(p) for p in listed[0]["prefixes"]] if listed else []
