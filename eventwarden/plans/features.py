@@ -49,7 +49,11 @@ def with_user_history(rows: DataFrame, events: DataFrame | None = None,
                       span: Spread | None = None) -> DataFrame:
     """Rows with the rolling behaviour of their user."""
     events = (rows if events is None else events).select(*HISTORY_INPUT)
-    found = with_rolling(rows, USER_PLAN, events, policy=policy, span=span)
+    return user_rates(with_rolling(rows, USER_PLAN, events, policy=policy, span=span), digits)
+
+
+def user_rates(found: DataFrame, digits: int | None = 4) -> DataFrame:
+    """The measures of ``USER_PLAN`` with their shares."""
     return found.withColumns({
         "fail_ratio_7d": _share("failed_7d", "req_7d", digits),
         "sensitive_rate_7d": _share("sensitive_7d", "req_7d", digits),
@@ -62,7 +66,11 @@ def with_ip_history(rows: DataFrame, events: DataFrame | None = None,
                     span: Spread | None = None) -> DataFrame:
     """Rows with the rolling behaviour of their source address."""
     events = (rows if events is None else events).select(*HISTORY_INPUT)
-    found = with_rolling(rows, IP_PLAN, events, policy=policy, span=span)
+    return ip_rates(with_rolling(rows, IP_PLAN, events, policy=policy, span=span), digits)
+
+
+def ip_rates(found: DataFrame, digits: int | None = 4) -> DataFrame:
+    """The measures of ``IP_PLAN`` with their shares."""
     return found.withColumns({
         "ip_fail_ratio_24h": _share("ip_failed_24h", "ip_req_24h", digits),
         "is_new_ip": (F.col("ip_req_24h") == 0).cast("int"),
@@ -79,7 +87,11 @@ def rolling_features(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY,
 
 def feature_matrix(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY) -> DataFrame:
     """Events with the 29 feature columns, in their fixed order, at the end."""
-    rows = rolling_features(events, policy)
+    return feature_columns(rolling_features(events, policy))
+
+
+def feature_columns(rows: DataFrame) -> DataFrame:
+    """Rows with the history of their user and address, and the 29 feature columns at the end."""
     hashed = {
         "feat_user_hash": "user", "feat_ip_hash": "source_ip",
         "feat_namespace_hash": "namespace", "feat_object_type_hash": "object_type",

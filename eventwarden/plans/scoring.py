@@ -160,14 +160,18 @@ def combined_score(forest: Column, sequence: Column, active: Column) -> Column:
 
 def score_events(matrix: DataFrame, forest: ForestModel, sequence: SequenceModel | None = None,
                  digits: int = 4) -> DataFrame:
-    """Feature rows to scored events: scores, risk, reason, model version."""
+    """Feature rows to scored events: scores, risk, reason, model version.
+
+    Rows that bring their ``window`` and ``seq_active`` along are scored with it.
+    """
     spark = matrix.sparkSession
     rows = matrix.withColumn("_if", forest.score(spark))
     if sequence is not None:
-        rows = sequence_score(sequence_windows(rows), sequence.classifier, sequence.means,
+        rows = rows if "window" in rows.columns else sequence_windows(rows)
+        rows = sequence_score(rows, sequence.classifier, sequence.means,
                               sequence.deviations).drop("window")
     else:
-        rows = rows.withColumns({"seq_score": F.lit(None).cast("double"), "seq_active": F.lit(False)})
+        rows = rows.drop("window").withColumns({"seq_score": F.lit(None).cast("double"), "seq_active": F.lit(False)})
     total = combined_score(F.col("_if"), F.col("seq_score"), F.col("seq_active"))
     rows = rows.withColumn("_total", total)
     return rows.withColumns({

@@ -1,120 +1,61 @@
-"""Score a stream of events against growing history.
+"""Score a stream of events against the history of their users and addresses.
 
-Each micro-batch looks its history up before it is recorded, through the same
-rolling engine as the batch job: the history table is read for the days and the keys
-the batch needs. History is kept per batch, so a batch run twice sees and writes the
-same rows. An event that arrives late gets its own past right, but does not change
-the features of events already scored.
+History, features and the last steps of each user are state of the stream (``online``), under its
+checkpoint: nothing is read back from tables, and a restart goes on where it stopped. The newest published
+models are looked up for each batch. A batch that runs twice writes the same rows again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventwarden import constants as K
-from eventwarden.operators.ordered import DEFAULT_POLICY, SlicePolicy
-from eventwarden.plans.features import feature_matrix, with_event_flags
+from eventwarden.plans.features import with_event_flags
 from eventwarden.plans.ingest import scorer_input
 from eventwarden.plans.scoring import (
     ForestModel, SequenceModel, current_forest, current_sequence, score_events, select_alerts,
 )
 from eventwarden.session import cut_lineage, drop_copies
 from eventwarden.sources.readers import by_topic
+from eventwarden.streaming.online import online_matrix, online_windows, with_clock
 
-LOOK_BACK_DAYS = 31
 HISTORY_COLUMNS = ("event_id", "ts", "user", "source_ip", "namespace", "object_type", "method",
                    "event_type", "is_failed")
+#: What the state operators read; everything else travels as one text beside them.
+STATE_COLUMNS = ("event_id", "us", "user", "source_ip", "namespace", "object_type", "method", "event_type",
+                 "is_failed", "hour", "day_of_week", "is_off_hours", "is_sensitive", "is_high_risk", "is_rbac")
 
 
-def _table(rows: DataFrame, path: str) -> DataFrame | None:
-    """The rows earlier batches wrote to ``path``; null before the first. ``rows`` tells their columns.
+def online_rows(inputs: DataFrame) -> DataFrame:
+    """A stream of scorer input with its features and windows; unreadable rows pass without them.
 
-    A batch without rows leaves a folder without files, so the schema is not read from there.
+    A row is unreadable if it has no time or no event id.
     """
-    schema = rows.withColumns({"batch_id": F.lit(0), "event_date": F.lit(None).cast("date")}).schema
-    try:
-        return rows.sparkSession.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-
-
-def with_history(batch: DataFrame, history: DataFrame | None, batch_id: int) -> DataFrame:
-    """The batch together with the earlier events of its users and addresses."""
-    fresh = batch.select(*HISTORY_COLUMNS).withColumn("_fresh", F.lit(True))
-    if history is None:
-        return fresh
-    first = batch.agg(F.min("ts")).first()[0]
-    if first is None:
-        return fresh
-    old = history.where(
-        (F.col("batch_id") < batch_id)
-        & (F.col("event_date") >= F.date_sub(F.lit(first).cast("date"), LOOK_BACK_DAYS)))
-    # An event counts once, whether its user or its address is in the batch.
-    users = batch.select("user").distinct().withColumn("_u", F.lit(True))
-    places = batch.select("source_ip").distinct().withColumn("_p", F.lit(True))
-    known = old.join(users, "user", "left").join(places, "source_ip", "left").where("_u OR _p")
-    return fresh.unionByName(known.select(*HISTORY_COLUMNS).withColumn("_fresh", F.lit(False)))
-
-
-def batch_features(batch: DataFrame, history: DataFrame | None, batch_id: int,
-                   policy: SlicePolicy = DEFAULT_POLICY) -> DataFrame:
-    """Feature rows of the batch, with everything earlier as history."""
-    rows = with_event_flags(with_history(batch, history, batch_id))
-    return feature_matrix(rows, policy).where("_fresh").drop("_fresh")
-
-
-STEP_COLUMNS = ("user", "us", "event_id", *K.FEATURE_COLS)
-
-
-def last_steps(matrix: DataFrame, folder: str, batch_id: int) -> DataFrame | None:
-    """The last feature rows of the users of a batch, from the newest earlier batch of each."""
-    steps = _table(matrix.select(*STEP_COLUMNS), f"{folder}/steps")
-    if steps is None:
-        return None
-    known = steps.where(F.col("batch_id") < batch_id).join(matrix.select("user").distinct(), "user", "left_semi")
-    newest = F.max("batch_id").over(Window.partitionBy("user"))
-    return known.withColumn("_newest", newest).where("batch_id = _newest").select(*STEP_COLUMNS)
-
-
-def with_recent_steps(matrix: DataFrame, steps: DataFrame | None) -> DataFrame:
-    """The batch rows and, marked as old, the last rows of their users before it."""
-    fresh = matrix.withColumn("_fresh", F.lit(True))
-    if steps is None:
-        return fresh
-    old = steps.join(matrix.select("user").distinct(), "user", "left_semi")
-    return fresh.unionByName(old.withColumn("_fresh", F.lit(False)), allowMissingColumns=True)
-
-
-def keep_last_steps(matrix: DataFrame, steps: DataFrame | None, length: int = K.SEQUENCE_LENGTH) -> DataFrame:
-    """The next snapshot: of the users of the batch only. The rank limit applies before the shuffle."""
-    rows = matrix.select(*STEP_COLUMNS)
-    rows = rows if steps is None else rows.unionByName(steps)
-    newest = Window.partitionBy("user").orderBy(F.col("us").desc(), F.col("event_id").desc())
-    return rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") < length).drop("_rank")
+    unreadable = F.col("ts").isNull() | F.col("event_id").isNull()
+    flagged = with_event_flags(inputs.where(~unreadable)).withColumn("is_failed", F.coalesce("is_failed", F.lit(0)))
+    rest = flagged.select(*[c for c in flagged.columns if c not in (*STATE_COLUMNS, "ts")])
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    carried = [F.to_json(F.struct(*rest.columns), options).alias("carried")] if rest.columns else []
+    matrix = online_matrix(with_clock(flagged.select(*STATE_COLUMNS, *carried)))
+    rows = online_windows(matrix).drop("clock").withColumn("ts", F.timestamp_micros("us"))
+    if carried:
+        others = F.from_json("carried", rest.schema, options)
+        rows = rows.withColumn("_rest", others).select("*", "_rest.*").drop("_rest", "carried")
+    return rows.unionByName(inputs.where(unreadable), allowMissingColumns=True)
 
 
 def score_batch(batch: DataFrame, batch_id: int, folder: str, forest: ForestModel,
-                sequence: SequenceModel | None, policy: SlicePolicy = DEFAULT_POLICY) -> None:
-    """Score one micro-batch of scorer input and write scores, alerts and history."""
-    good = batch.where("ts IS NOT NULL AND event_id IS NOT NULL")
-    _write(batch.where("ts IS NULL OR event_id IS NULL"), f"{folder}/unreadable", batch_id)
-    # Written once: the features feed the scores, and the scores feed two tables.
-    history = _table(good.select(*HISTORY_COLUMNS), f"{folder}/history")
-    matrix = cut_lineage(batch_features(good, history, batch_id, policy))
-    steps = last_steps(matrix, folder, batch_id)
-    rows = with_recent_steps(matrix, steps) if sequence else matrix.withColumn("_fresh", F.lit(True))
-    scored = score_events(rows, forest, sequence).where("_fresh").drop("_fresh")
-    scored = cut_lineage(scored)
+                sequence: SequenceModel | None) -> None:
+    """Score one micro-batch of ``online_rows`` and write scores and alerts; unreadable rows are kept apart."""
+    # Written once: state is read once, and the scores feed two tables.
+    batch = cut_lineage(batch)
+    unreadable = F.col("ts").isNull() | F.col("event_id").isNull()
+    _write(batch.where(unreadable), f"{folder}/unreadable", batch_id)
+    scored = cut_lineage(score_events(batch.where(~unreadable), forest, sequence))
     _write(scored, f"{folder}/scored", batch_id)
     _write(select_alerts(scored), f"{folder}/alerts", batch_id)
-    (keep_last_steps(matrix, steps).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/steps"))
-    _write(matrix.select(*HISTORY_COLUMNS), f"{folder}/history", batch_id)
-    drop_copies(matrix, scored)
+    drop_copies(batch, scored)
 
 
 def _write(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -125,20 +66,21 @@ def _write(rows: DataFrame, path: str, batch_id: int) -> None:
 
 def start_scoring(messages: DataFrame, folder: str, models: str, checkpoint: str,
                   every: str | None = None) -> StreamingQuery:
-    """Topic messages ``(topic, value)`` to scored events, alerts and history.
+    """Topic messages ``(topic, value)`` to scored events and alerts.
 
     The newest published models are looked up for each batch.
     """
+    inputs = scorer_input(by_topic(messages))
+    if "event_id" not in inputs.columns:
+        inputs = inputs.withColumn("event_id", F.xxhash64("body"))
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         forest = current_forest(spark, models)
         if forest is None:
             raise RuntimeError("no forest has been published")
-        rows = scorer_input(by_topic(batch))
-        if "event_id" not in rows.columns:
-            rows = rows.withColumn("event_id", F.xxhash64("body"))
-        score_batch(rows, batch_id, folder, forest, current_sequence(spark, models))
+        score_batch(batch, batch_id, folder, forest, current_sequence(spark, models))
 
-    writer = messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = online_rows(inputs).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()

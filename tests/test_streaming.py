@@ -100,30 +100,9 @@ def test_late_rows(spark):
     assert [r.event_id for r in late.collect()] == [2]
 
 
-def test_batches_with_history_equal_one_job(spark, small, tmp_path):
-    events = scorer_events(spark, small)
-    whole = feature_matrix(events)
-    columns = ["event_id", *[c for c in whole.columns if c.startswith("feat_")]]
-    ordered = events.select(*SC.HISTORY_COLUMNS)
-    edges = events.selectExpr("percentile(us, array(0.4, 0.7)) AS p").first()["p"]
-    parts = [events.where(F.col("us") < edges[0]), events.where((F.col("us") >= edges[0]) & (F.col("us") < edges[1])),
-             events.where(F.col("us") >= edges[1])]
-    found, folder = None, str(tmp_path / "history")
-    for number, part in enumerate(parts):
-        rows = part.select(*ordered.columns)
-        features = SC.batch_features(rows, SC._table(rows, folder), number).select(*columns).cache()
-        features.count()
-        SC._write(rows, folder, number)
-        found = features if found is None else found.unionByName(features)
-    assert found.exceptAll(whole.select(*columns)).count() == 0
-    assert found.count() == whole.count()
-
-
 def test_scoring_stream(spark, small, tmp_path):
-    from eventwarden.plans.ingest import scorer_input
-    from eventwarden.plans.scoring import current_forest, current_sequence, train_forest, train_sequence
+    from eventwarden.plans.scoring import train_forest, train_sequence
     from eventwarden.session import cut_lineage
-    from eventwarden.sources.readers import by_topic
 
     matrix = cut_lineage(feature_matrix(scorer_events(spark, small)))
     models = str(tmp_path / "models")
@@ -135,9 +114,6 @@ def test_scoring_stream(spark, small, tmp_path):
     messages = items.select(
         F.when(F.col("source_type") == "falco", "falco-alerts").otherwise("k8s-audit-raw").alias("topic"),
         F.col("body").alias("value"), F.col("event_no").alias("event_id"))
-    # An earlier batch that held no event does no harm.
-    none = scorer_input(by_topic(messages.where("event_id < 0")))
-    SC.score_batch(none, -1, str(tmp_path / "out"), current_forest(spark, models), current_sequence(spark, models))
     half = messages.where("event_id < 500")
     for rows in (half, messages.where("event_id >= 500")):
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -153,3 +129,7 @@ def test_scoring_stream(spark, small, tmp_path):
     assert scored.where("seq_active AND seq_score IS NOT NULL").count() > 0
     assert scored.where("risk_level IS NULL OR reason = ''").count() == 0
     assert scored.select("batch_id").distinct().count() == 2
+    # What travels beside the state comes back whole, and no history is kept in tables.
+    bodies = scored.select("event_id", "body").exceptAll(messages.select("event_id", F.col("value").alias("body")))
+    assert bodies.count() == 0
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"alerts", "scored", "unreadable"}
