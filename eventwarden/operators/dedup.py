@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventwarden import constants as K
-from eventwarden.operators.ordered import DEFAULT_POLICY, SlicePolicy, spread_of
+from eventwarden.operators.ordered import DEFAULT_POLICY, SlicePolicy, cut_points, slice_number, with_steps
+from eventwarden.session import cut_lineage
 
 
 def last_version(events: DataFrame, key: str | Sequence[str] = "event_id",
@@ -53,11 +54,16 @@ def partial_update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 #
 # Keep a row only if the last kept row of its class is at least ``gap`` older.
 # Whether a row stays depends on all earlier ones, but a stretch of time sees the
-# past only through one number: the instant from which it may keep again. So the
-# stretches are worked in parallel, each for every start it could be given; then
-# the starts are handed from stretch to stretch; then the rows are picked.
+# past only through one number: the instant from which it may keep again. So a
+# stretch is a map from that number to the next one. The maps of all stretches are found
+# in parallel, those of FAN neighbours are composed to one, level by level; then the
+# numbers are handed down the same tree, and the rows are picked. No task sees more than
+# one stretch or FAN maps.
 
-def _exits(times: np.ndarray, begin: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+FAN = 32
+
+
+def _exits(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """For each possible start the last instant kept: (latest start, last kept)."""
     count = len(times)
     step = np.searchsorted(times, times + gap)
@@ -69,10 +75,23 @@ def _exits(times: np.ndarray, begin: int, gap: int) -> tuple[np.ndarray, np.ndar
         if np.array_equal(further, jump):
             break
         jump = further
-    starts = min(int(np.searchsorted(times, begin + gap)) + 1, count)
-    exits = times[jump[:starts]]
+    exits = times[jump]
+    # Later starts end later, and chains soon meet: few different ends.
     ends = np.append(exits[1:] != exits[:-1], True)
-    return times[:starts][ends], exits[ends]
+    return times[ends], exits[ends]
+
+
+def _composed(maps: list[tuple[np.ndarray, np.ndarray]], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """One map for neighbouring stretches: (latest start, last kept)."""
+    starts, exits = maps[0]
+    for after, then in maps[1:]:
+        # What the first part leaves goes through the second; a start behind it sees the second only.
+        spot = np.searchsorted(after, exits + gap)
+        exits = np.where(spot < len(after), then[np.minimum(spot, len(after) - 1)], exits)
+        starts, exits = np.concatenate([starts, after]), np.concatenate([exits, then])
+        ends = np.append(exits[1:] != exits[:-1], True)
+        starts, exits = starts[ends], exits[ends]
+    return starts, exits
 
 
 def throttle(events: DataFrame, label: str = "classification", us: str = "us", tie: str = "event_id",
@@ -84,24 +103,30 @@ def throttle(events: DataFrame, label: str = "classification", us: str = "us", t
     ``(label, us)``.
     """
     noisy = events.where(F.col(label).isin(*classes))
-    spread = spread_of(noisy, [], us, policy)
-    pieces = max(-(-spread.rows // policy.target_rows), 1)
-    width = max(int((spread.high - spread.low) // pieces) + 1, gap_us)
-    # Rows at the same instant are decided together.
-    instants = noisy.groupBy(label, us).agg(F.min(tie).alias(tie)).withColumn(
-        "_part", F.floor((F.col(us) - int(spread.low)) / width))
-    first_us = int(spread.low)
+    rows = noisy.count()
+    # Rows at the same instant are decided together; a stretch holds about as many instants as any other.
+    instants = noisy.groupBy(label, us).agg(F.min(tie).alias(tie))
+    pieces = min(max(2, -(-rows // policy.target_rows)), policy.max_slices)
+    points = cut_points(noisy, [], us, pieces).first()["_points"] or []
+    cuts = sorted(set(points))
+    found = with_steps(instants.withColumn("_cuts", F.lit(cuts).cast("array<bigint>")))
+    instants = found.withColumn("_part", slice_number(F.col(us))).drop("_cuts", "_coarse")
 
     def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf[us].to_numpy())
-        part = int(pdf["_part"].iloc[0])
-        starts, exits = _exits(times, first_us + part * width, gap_us)
-        return pd.DataFrame({label: [pdf[label].iloc[0]], "_part": [part],
+        starts, exits = _exits(np.sort(pdf[us].to_numpy()), gap_us)
+        return pd.DataFrame({label: [pdf[label].iloc[0]], "_part": [int(pdf["_part"].iloc[0])],
+                             "_starts": [starts.tolist()], "_exits": [exits.tolist()]})
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        maps = [(np.asarray(a, np.int64), np.asarray(b, np.int64)) for a, b in zip(pdf["_starts"], pdf["_exits"])]
+        starts, exits = _composed(maps, gap_us)
+        return pd.DataFrame({label: [pdf[label].iloc[0]], "_part": [int(pdf["_part"].iloc[0]) // FAN],
                              "_starts": [starts.tolist()], "_exits": [exits.tolist()]})
 
-    def hand_over(pdf: pd.DataFrame) -> pd.DataFrame:
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_part")
-        free, given = int(pdf["_open"].iloc[0]), []
+        free, given = int(pdf["_free"].iloc[0]), []
         for starts, exits in zip(pdf["_starts"], pdf["_exits"]):
             given.append(free)
             spot = int(np.searchsorted(np.asarray(starts), free))
@@ -121,15 +146,21 @@ def throttle(events: DataFrame, label: str = "classification", us: str = "us", t
 
     kinds = {f.name: f.dataType.simpleString() for f in instants.schema.fields}
     place = f"`{label}` {kinds[label]}, `_part` bigint"
-    ends = instants.groupBy(label, "_part").applyInPandas(
-        outcomes, place + ", `_starts` array<bigint>, `_exits` array<bigint>")
-    never = F.lit(-(2 ** 62))
-    if kept_before is None:
-        ends = ends.withColumn("_open", never)
-    else:
+    shape = place + ", `_starts` array<bigint>, `_exits` array<bigint>"
+    levels = [cut_lineage(instants.groupBy(label, "_part").applyInPandas(outcomes, shape))]
+    above, count = F.floor(F.col("_part") / FAN), len(cuts) + 1
+    while count > FAN:
+        levels.append(cut_lineage(levels[-1].groupBy(label, above.alias("_above")).applyInPandas(composed, shape)))
+        count = -(-count // FAN)
+    starts = levels[-1].select(label).distinct().withColumns({
+        "_part": F.lit(0).cast("bigint"), "_free": F.lit(-(2 ** 62))})
+    if kept_before is not None:
         known = kept_before.groupBy(label).agg((F.max(us) + gap_us).alias("_known"))
-        ends = ends.join(known, label, "left").withColumn("_open", F.coalesce("_known", never)).drop("_known")
-    starts = ends.groupBy(label).applyInPandas(hand_over, place + ", `_free` bigint")
+        starts = starts.join(known, label, "left").withColumn("_free", F.coalesce("_known", "_free")).drop("_known")
+    for level in reversed(levels):
+        parents = starts.withColumnRenamed("_part", "_above")
+        starts = level.withColumn("_above", above).join(parents, [label, "_above"]).groupBy(label, "_above").applyInPandas(
+            hand_down, place + ", `_free` bigint")
     kept = (
         instants.join(starts, [label, "_part"]).groupBy(label, "_part")
         .applyInPandas(pick, f"`{label}` {kinds[label]}, `{us}` bigint, `{tie}` {kinds[tie]}")

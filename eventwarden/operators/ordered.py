@@ -3,7 +3,9 @@
 A window over a key sorts the whole key in one task. Here a *hot* key, one that
 holds more than its share of the rows, is cut along the order column into slices.
 A slice is sorted on its own; the sum of all earlier slices of the key comes from
-a small table and is added afterwards. Cold keys are one slice each.
+a small table and is added afterwards. Cold keys are one slice each. Slices hold about
+equally many rows: they end at quantiles of the key's own order values, taken from a
+mergeable sketch, so a key whose rows lie in one minute is cut as finely as any other.
 
 A key is hot above a fixed number of rows, so no task holds more at any size of
 the table. Up to ``max_hot_keys`` hot keys are broadcast; a longer list is joined.
@@ -28,6 +30,7 @@ class SlicePolicy:
     min_rows: int = 2_000_000       # a smaller key is never cut
     target_rows: int = 500_000      # rows wanted per slice
     max_hot_keys: int = 10_000      # a longer list is not broadcast
+    max_slices: int = 4096          # of one key; beyond, slices grow
 
 
 DEFAULT_POLICY = SlicePolicy()
@@ -39,7 +42,7 @@ class Spread:
     rows: int
     low: float
     high: float
-    hot: DataFrame | None       # keys to cut, with start and width of their slices
+    hot: DataFrame | None       # keys to cut, with the ascending values at which slices begin
     few: bool = True            # whether the keys to cut are few enough to broadcast
 
     def keys_to_cut(self) -> DataFrame:
@@ -56,34 +59,61 @@ def span_of(df: DataFrame, order: str) -> Spread:
     return Spread(facts["n"], facts["low"] or 0.0, facts["high"] or 0.0, None)
 
 
-def spread_of(df: DataFrame, keys: Sequence[str], order: str,
-              policy: SlicePolicy = DEFAULT_POLICY, span: Spread | None = None) -> Spread:
+#: Cuts are searched in two steps: among every STEP-th one, then among the next STEP.
+STEP = 64
+
+
+def cut_points(df: DataFrame, keys: Sequence[str], order: str, pieces: int) -> DataFrame:
+    """``(keys, _points)``: for every key the values that part its rows into ``pieces`` about equal slices."""
+    shares = F.array(*[F.lit(k / pieces) for k in range(1, pieces)])
+    accuracy = F.lit(max(10_000, 8 * pieces))
+    return df.groupBy(*keys).agg(F.percentile_approx(order, shares, accuracy).alias("_points"))
+
+
+def with_steps(df: DataFrame) -> DataFrame:
+    """Add every STEP-th of the ascending ``_cuts`` as ``_coarse``."""
+    return df.withColumn("_coarse", F.filter("_cuts", lambda _, place: place % STEP == 0))
+
+
+def slice_number(value: Column) -> Column:
+    """How many of the row's ``_cuts`` are not above ``value``."""
+    blocks = F.size(F.filter("_coarse", lambda cut: cut <= value))
+    first = F.greatest(blocks - 1, F.lit(0)) * STEP
+    return (first + F.size(F.filter(F.slice("_cuts", first + 1, F.lit(STEP)), lambda cut: cut <= value))).cast("bigint")
+
+
+def spread_of(df: DataFrame, keys: Sequence[str], order: str, policy: SlicePolicy = DEFAULT_POLICY,
+              span: Spread | None = None, echoes: Sequence[int] = ()) -> Spread:
     """Look at the data once to decide how to cut it.
 
     ``df`` may be any cheap frame with the keys and the order column; a known
     ``span`` of the same rows saves a pass. Rows are counted per key only when the
     frame is large enough to have a hot key; the counts are combined before the
-    shuffle and at most ``max_hot_keys`` come back; more stay a table.
+    shuffle and at most ``max_hot_keys`` come back; more stay a table. ``echoes`` are
+    distances after which every row matters again: slices are even over those values too.
     """
     span = span or span_of(df, order)
     rows, low, high = span.rows, span.low, span.high
     if not keys or rows <= policy.min_rows:
         return Spread(rows, low, high, None)
-    pieces = F.ceil(F.col("_n") / policy.target_rows)
-    found = (
-        df.groupBy(*keys).agg(
-            F.count("*").alias("_n"),
-            F.min(order).cast("double").alias("_low"),
-            F.max(order).cast("double").alias("_high"))
-        .where(F.col("_n") > policy.min_rows)
-        .withColumn("_width", (F.col("_high") - F.col("_low")) / pieces)
-        .select(*keys, "_low", F.when(F.col("_width") > 0, F.col("_width")).otherwise(1.0).alias("_width"))
-    )
-    listed = found.limit(policy.max_hot_keys + 1).collect()
-    if len(listed) > policy.max_hot_keys:
-        return Spread(rows, low, high, cut_lineage(found), few=False)
-    hot = df.sparkSession.createDataFrame(listed, found.schema) if listed else None
-    return Spread(rows, low, high, hot)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > policy.min_rows)
+    listed = counts.limit(policy.max_hot_keys + 1).collect()
+    if not listed:
+        return Spread(rows, low, high, None)
+    few = len(listed) <= policy.max_hot_keys
+    hot = df.sparkSession.createDataFrame(listed, counts.schema) if few else cut_lineage(counts)
+    most = max(r["_n"] for r in listed) if few else hot.agg(F.max("_n")).first()[0]
+    finest = min(max(2, -(-most // policy.target_rows)), policy.max_slices)
+    values = F.explode(F.array(F.col(order), *[F.col(order) + e for e in echoes]))
+    seen = df.join(F.broadcast(hot) if few else hot, list(keys), "left_semi").select(*keys, values.alias("_value"))
+    # Of the finest cuts, a smaller key takes every so many.
+    pieces = F.least(F.greatest(F.ceil(F.col("_n") / policy.target_rows), F.lit(2)), F.lit(finest))
+    taken = F.transform(F.sequence(F.lit(1), (pieces - 1).cast("int")),
+                        lambda k: F.col("_points")[(F.floor(k * finest / pieces) - 1).cast("int")])
+    found = with_steps(hot.join(cut_points(seen, keys, "_value", finest), list(keys)).select(
+        *keys, F.array_distinct(taken).alias("_cuts")))
+    found = cut_lineage(found)
+    return Spread(rows, low, high, found, few)
 
 
 def with_slices(df: DataFrame, keys: Sequence[str], order: str, spread: Spread) -> DataFrame:
@@ -91,8 +121,8 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, spread: Spread)
     if spread.hot is None:
         return df.withColumn(SLICE, F.lit(None).cast("bigint"))
     marked = df.join(spread.keys_to_cut(), list(keys), "left")
-    number = F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("bigint")
-    return marked.withColumn(SLICE, number).drop("_low", "_width")
+    number = F.when(F.col("_cuts").isNotNull(), slice_number(F.col(order)))
+    return marked.withColumn(SLICE, number).drop("_cuts", "_coarse")
 
 
 def with_global_slices(df: DataFrame, order: str, spread: Spread,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventwarden.constants import DAY_US, HOUR_US, MINUTE_US
 from eventwarden.operators.ordered import (
-    SlicePolicy, exact_quantiles, last_rows, with_position,
+    SlicePolicy, exact_quantiles, last_rows, spread_of, with_position, with_slices,
 )
 from eventwarden.operators.rolling import (
     IP_PLAN, USER_PLAN, first_sightings, presence_edges, rolling, with_rolling,
@@ -77,6 +77,37 @@ def test_hot_key_is_cut_and_not_collected(spark):
     assert whole.count("Exchange hashpartitioning") == 1
 
 
+def test_slices_of_a_burst_hold_equally_many_rows(spark):
+    """A third of all rows on one key, nearly all of them within one hour; another key far apart in time."""
+    rng = random.Random(4)
+    start = 19_700 * DAY_US
+    rows = [("hot", start + (rng.randrange(HOUR_US) if n % 50 else rng.randrange(40 * DAY_US))) for n in range(4000)]
+    rows += [("wide", start + rng.choice([0, 10 ** 17]) + rng.randrange(DAY_US)) for _ in range(2000)]
+    rows += [(f"k{n % 600}", start + rng.randrange(40 * DAY_US)) for n in range(6000)]
+    df = spark.createDataFrame(rows, "user string, us bigint")
+    policy = SlicePolicy(min_rows=500, target_rows=100)
+    spread = spread_of(df, ["user"], "us", policy)
+    sizes = {}
+    for r in with_slices(df, ["user"], "us", spread).groupBy("user", "_slice").count().collect():
+        sizes.setdefault(r.user, {})[r["_slice"]] = r["count"]
+    assert set(sizes["hot"]) == set(range(40)) and max(sizes["hot"].values()) <= 120
+    assert set(sizes["wide"]) == set(range(20)) and max(sizes["wide"].values()) <= 120
+    assert all(set(v) == {None} for k, v in sizes.items() if k.startswith("k"))
+    # Slices follow the order.
+    ends = with_slices(df, ["user"], "us", spread).where("user = 'hot'").groupBy("_slice").agg(
+        F.min("us").alias("a"), F.max("us").alias("b")).orderBy("_slice").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+
+
+def test_slices_are_even_over_what_is_taken_back(spark):
+    """Rows of one hour are taken back in one later hour; that hour is cut too."""
+    start = 19_700 * DAY_US
+    df = spark.createDataFrame([("hot", start + 1000 * n) for n in range(2000)], "user string, us bigint")
+    spread = spread_of(df, ["user"], "us", SlicePolicy(min_rows=500, target_rows=100), echoes=[DAY_US])
+    later = df.withColumn("us", F.col("us") + DAY_US)
+    assert with_slices(later, ["user"], "us", spread).select("_slice").distinct().count() >= 9
+
+
 def test_first_sightings_and_edges(spark):
     us = [0, 10, HOUR_US, 5 * HOUR_US, 5 * HOUR_US + 1, 9 * HOUR_US + 1]
     df = spark.createDataFrame([("k", u) for u in us], "k string, us bigint")
