@@ -16,10 +16,14 @@ from eventwarden.session import cut_lineage
 
 def last_version(events: DataFrame, key: str | Sequence[str] = "event_id",
                  by: Sequence[str] = ("ingest_ts",)) -> DataFrame:
-    """One row per key, the last written. Rank pruning runs before the shuffle,
-    so a key with very many copies sends one row per input task."""
+    """One row per key, the last written; of equal ones that with the largest hash of its fields.
+
+    Rank pruning runs before the shuffle, so a key with very many copies sends one row per input task.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in by])
+    # Maps have no hash.
+    plain = [f.name for f in events.schema.fields if "map<" not in f.dataType.simpleString()]
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in by], F.xxhash64(*plain).desc())
     return events.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventwarden.operators.dedup import last_version
-from eventwarden.operators.policy import within_retention
+from eventwarden.session import cut_lineage, drop_copies
+from eventwarden.sources.files import folders, remove
 
 
 def without_private_fields(events: DataFrame) -> DataFrame:
@@ -66,10 +68,27 @@ def scored_documents(scored: DataFrame, topic: str | Column = "source_topic") ->
         F.to_date("ts").alias("event_date"))
 
 
-def purge(spark: SparkSession, path: str, target: str, days: float) -> None:
-    """Write the rows inside the retention time to ``target``, by day.
+def purge(spark: SparkSession, path: str, days: float, now: datetime | None = None) -> dict[str, int]:
+    """Drop the rows out of retention from a table laid out by ``event_date``, in place.
 
-    Whole days out of time are pruned at the scan; nothing is rewritten in place.
+    Days that lie wholly before the edge are removed as folders, unread; only the edge day is rewritten, from a copy
+    of its kept rows. Returns how many days were removed and rewritten. A run that ends early is finished
+    by the next; nothing happens when ``days`` is not positive. Rows without a day stay.
     """
-    kept = within_retention(spark.read.parquet(path), days)
-    kept.write.mode("overwrite").partitionBy("event_date").parquet(target)
+    if days <= 0:
+        return {"removed": 0, "rewritten": 0}
+    now = now or datetime.now(timezone.utc)
+    edge = now.astimezone(timezone.utc) - timedelta(days=max(1, int(days)))
+    listed = [name for name in folders(spark, path, "event_date=") if name.partition("=")[2][:1].isdigit()]
+    old = [name for name in listed if name.partition("=")[2] < f"{edge:%Y-%m-%d}"]
+    remove(spark, *[f"{path}/{name}" for name in old])
+    day, instant = f"event_date={edge:%Y-%m-%d}", F.lit(f"{edge:%Y-%m-%d %H:%M:%S.%f}+00:00").cast("timestamp")
+    if day not in listed:
+        return {"removed": len(old), "rewritten": 0}
+    rows = spark.read.parquet(f"{path}/{day}")
+    if not rows.where(F.col("timestamp") < instant).limit(1).count():
+        return {"removed": len(old), "rewritten": 0}
+    kept = cut_lineage(rows.where(F.col("timestamp") >= instant))
+    kept.write.mode("overwrite").parquet(f"{path}/{day}")
+    drop_copies(kept)
+    return {"removed": len(old), "rewritten": 1}

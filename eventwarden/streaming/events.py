@@ -18,6 +18,7 @@ from eventwarden import constants as K
 from eventwarden.operators.dedup import throttle
 from eventwarden.operators.normalize import open_envelope, quarantine
 from eventwarden.plans.ingest import ingest
+from eventwarden.session import cut_lineage, drop_copies
 
 WATERMARK = "10 minutes"
 
@@ -29,26 +30,41 @@ def split_late(events: DataFrame, delay: str = WATERMARK) -> tuple[DataFrame, Da
     return events.where(~late), events.where(late)
 
 
-def start_ingest(lines: DataFrame, table: str, quarantine_table: str, checkpoint: str,
-                 every: str | None = None) -> StreamingQuery:
+def start_ingest(lines: DataFrame, table: str, quarantine_table: str, checkpoint: str, every: str | None = None,
+                 late_table: str | None = None, delay: str = WATERMARK, remember: str = "1 day") -> StreamingQuery:
     """Lines to stored events and quarantine; a batch run twice replaces itself.
 
+    An event that came before within ``remember``, by arrival, is not stored again; it is known by its id and stage,
+    which are kept as state. Events that happened more than ``delay`` before they arrived go to ``late_table``,
+    where one is named. Events are laid out by day and batch, so a day can be removed as a folder.
     Without ``every`` the stream works off what is there and ends.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        items = open_envelope(batch)
-        for rows, path in ((ingest(items), table), (quarantine(items), quarantine_table)):
-            (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+    items = open_envelope(lines)
+    arrived = items if "ingest_ts" in items.columns else items.withColumn("ingest_ts", F.current_timestamp())
+    events = dedup_stream(ingest(arrived), clock="ingest_ts", delay=remember)
+    bad = quarantine(items).select(F.struct("source_type", "body", "problem").alias("bad"))
+    both = events.select(F.struct(*events.columns).alias("event")).unionByName(bad, allowMissingColumns=True)
 
-    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = cut_lineage(batch)
+        rows = batch.where("event IS NOT NULL").select("event.*")
+        fine, late = split_late(rows, delay) if late_table else (rows, None)
+        for found, path, by in ((fine, table, ["event_date"]), (late, late_table, ["event_date"]),
+                                (batch.where("bad IS NOT NULL").select("bad.*"), quarantine_table, [])):
+            if found is not None:
+                (found.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(path))
+        drop_copies(batch)
+
+    writer = both.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
-def dedup_stream(events: DataFrame, keys: tuple[str, ...] = ("event_id", "stage"), delay: str = WATERMARK) -> DataFrame:
-    """Drop repeats of an event within the watermark; the first one stays."""
-    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(keys))
+def dedup_stream(events: DataFrame, keys: tuple[str, ...] = ("event_id", "stage"), delay: str = WATERMARK,
+                 clock: str = "timestamp") -> DataFrame:
+    """Drop repeats of an event within ``delay`` of the newest ``clock``; the first one stays."""
+    return events.withWatermark(clock, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def counts_over_time(events: DataFrame, *columns: str, width: str = "5 minutes", step: str | None = None,

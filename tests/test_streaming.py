@@ -34,6 +34,28 @@ def test_ingest_stream_equals_batch(spark, small, tmp_path):
     assert bad == {"unreadable", "message missing"}
 
 
+def test_ingest_stream_stores_a_replay_once_and_late_events_apart(spark, small, tmp_path):
+    items = raw_items(spark, small)
+    late = F.col("event_no") % 3 == 0
+    rows = items.select(
+        F.concat(F.lit('{"source_type":"'), "source_type", F.lit('","source":"audit","event":'), "body", F.lit("}")).alias("value"),
+        F.when(late, F.col("ingest_ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ingest_ts")).alias("ingest_ts"))
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = E.start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "cp"),
+                           late_table=str(tmp_path / "late"), remember="60 days")
+    query.awaitTermination(300)
+    want = ingest(open_envelope(rows)).dropDuplicates(["event_id", "stage"])
+    edge = F.col("timestamp") < F.col("ingest_ts") - F.expr("INTERVAL 10 MINUTES")
+    for name, part in (("out", want.where(~edge)), ("late", want.where(edge))):
+        found = spark.read.parquet(str(tmp_path / name))
+        assert found.count() == part.count() > 100
+        assert found.select("event_id").exceptAll(part.select("event_id")).count() == 0
+        # Laid out by day, then batch.
+        assert all(p.name.startswith(("event_date=", "_", ".")) for p in (tmp_path / name).iterdir())
+
+
 def _alert_files(spark, small, path, parts=4):
     rows = security_rows(spark, small).where("source_type = 'falco'").select(
         "event_id", F.unix_micros("ts").alias("us"), F.col("ts").alias("timestamp"),
