@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from eventwarden import constants as K
 from eventwarden.adapter import EVENTS_CTE
 
 DAY = 86_400_000_000
@@ -494,6 +495,15 @@ def all_oracles() -> dict[str, str]:
         "verb_sliding": _DET + """SELECT (epoch_us(ts) // 1200000000 - k) * 1200000000 AS start_us, verb, count(*) AS events
             FROM det, (SELECT unnest(range(3)) AS k) WHERE source_type = 'k8s_audit' GROUP BY ALL""",
         "verb_resource_share": _DET + "SELECT verb, resource, count(*) AS events FROM det WHERE source_type = 'k8s_audit' GROUP BY ALL",
+        "verb_shares": _DET + """SELECT verb, count(*) AS events, count(*) / (SELECT count(*) FROM det WHERE source_type = 'k8s_audit') AS share
+            FROM det WHERE source_type = 'k8s_audit' GROUP BY verb""",
+        "resource_shares": _DET + """SELECT resource, count(*) AS events, count(*) / (SELECT count(*) FROM det WHERE source_type = 'k8s_audit') AS share
+            FROM det WHERE source_type = 'k8s_audit' GROUP BY resource""",
+        "audits_of_verb": _DET + """SELECT event_id, 'list' AS filter FROM det WHERE source_type = 'k8s_audit' AND verb = 'list'
+            UNION ALL SELECT event_id, 'all' FROM det WHERE source_type = 'k8s_audit'""",
+        "alert_tail": _DET + "SELECT event_id, rule, priority FROM det WHERE source_type = 'falco' ORDER BY ts DESC, event_id DESC LIMIT 50",
+        "recent_store": _DET + "SELECT event_id FROM det ORDER BY ts + to_hours(CAST(event_id * 7 % 400 AS INT)) DESC, event_id DESC LIMIT 1000",
+        "samples_in_time": _DET + f"SELECT event_id FROM det WHERE event_id * 7 % 400 <= {K.MAX_SAMPLE_AGE_HOURS}",
         "failures_over_time": _DET + """SELECT epoch_us(ts) // 300000000 * 300000000 AS start_us, verb, resource, count(*) AS events FROM det
             WHERE source_type = 'k8s_audit' AND status_code >= 400 GROUP BY ALL""",
         "falco_priority_panels": _DET + """SELECT total, critical, notice, urgent, CASE WHEN urgent >= 20 THEN 'red' WHEN urgent >= 5 THEN 'yellow' ELSE 'green' END AS light

@@ -505,11 +505,15 @@ def forest_scores_lineitem(spark, folder):
 
 @query
 def sequence_scores(spark, folder):
-    """Fit the sequence model on the earliest events, split by time, and score all windows."""
+    """Fit the sequence model on the earliest events, split by time, and score all windows.
+
+    The target is whether the event failed, so that flag is none of the features.
+    """
     matrix = cut_lineage(feature_matrix(scorer_events(spark, folder)))
-    windows = cut_lineage(sequence_windows(matrix).select("event_id", "us", "is_failed", "window", "seq_active"))
+    columns = [c for c in K.FEATURE_COLS if c != "feat_is_failed"]
+    windows = cut_lineage(sequence_windows(matrix, columns).select("event_id", "us", "is_failed", "window", "seq_active"))
     train = time_split(windows, K.TRAIN_SHARE).where("is_train").withColumn("target", F.col("is_failed"))
-    model, means, deviations = fit_sequence(train, len(K.FEATURE_COLS))
+    model, means, deviations = fit_sequence(train, len(columns))
     return sequence_score(windows, model, means, deviations).select("event_id", "seq_active", "seq_score")
 
 
@@ -600,6 +604,48 @@ def verb_resource_share(spark, folder):
     return A.breakdown(audits(spark, folder), "verb", "resource")
 
 
+@query
+def verb_shares(spark, folder):
+    return A.shares(audits(spark, folder), "verb")
+
+
+@query
+def resource_shares(spark, folder):
+    return A.shares(audits(spark, folder), "resource")
+
+
+@query
+def audits_of_verb(spark, folder):
+    """The panel filter: one verb, or all of them."""
+    rows = audits(spark, folder)
+    one = A.select_equal(rows, "verb", "list").select("event_id", F.lit("list").alias("filter"))
+    return one.unionByName(A.select_equal(rows, "verb").select("event_id", F.lit("all").alias("filter")))
+
+
+@query
+def alert_tail(spark, folder):
+    """The newest alerts by event time; the number is the panel's."""
+    return policy.latest(alerts(spark, folder), 50, by="ts").select("event_id", "rule", "priority")
+
+
+@query
+def recent_store(spark, folder):
+    """The newest events by arrival, which is up to 400 hours after the event."""
+    return policy.newest(_arrived(spark, folder), 1000).select("event_id")
+
+
+@query
+def samples_in_time(spark, folder):
+    """Events that arrived before they were too old to be taken."""
+    return policy.reject_old_samples(_arrived(spark, folder)).select("event_id")
+
+
+def _arrived(spark, folder):
+    later = F.make_interval(hours=F.pmod(F.col("event_id") * 7, F.lit(400)).cast("int"))
+    return security_rows(spark, folder).select(
+        "event_id", F.col("ts").alias("timestamp"), (F.col("ts") + later).alias("ingest_ts"))
+
+
 @query
 def failures_over_time(spark, folder):
     return A.over_time(audits(spark, folder).where("status_code >= 400"), "verb", "resource")

@@ -215,6 +215,14 @@ def breakdown(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("events"))
 
 
+def shares(rows: DataFrame, column: str) -> DataFrame:
+    """How often each value occurs, and its share of all rows."""
+    counted = breakdown(rows, column)
+    # One row per value: the total is a sum over few rows.
+    total = F.sum("events").over(Window.partitionBy(F.lit(0)))
+    return counted.withColumn("share", F.col("events") / total)
+
+
 def top_k(rows: DataFrame, k: int, *columns: str) -> DataFrame:
     """The k most frequent values; equals in value order."""
     return breakdown(rows, *columns).orderBy(F.col("events").desc(), *columns).limit(k)
