@@ -41,6 +41,8 @@ EITHER = re.compile(r"[!|](?=\w)")
 HIDDEN = (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)
 
 SHORTEST, LONGEST = 3, 16
+#: Counts a task holds before it passes them on; bounds its memory, not its result.
+COUNTED = 100_000
 
 
 class Lexicon(NamedTuple):
@@ -117,16 +119,22 @@ def density(weight: float, words: int) -> float:
 def _count_words(table):
     """Arrow task over (id, text, label): in how many texts of each class a word beginning occurs."""
 
+    def told(label: int, counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array([label] * len(counts), pa.int32()),
+             pa.array(list(counts.values()), pa.int64())], ["entry", "label", "n"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen = [Counter(), Counter()]
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 words = set(folded(text or "", table).split())
                 seen[label].update({w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+                if len(seen[label]) > COUNTED:
+                    yield told(label, seen[label])
+                    seen[label] = Counter()
         for label, counts in enumerate(seen):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array([label] * len(counts), pa.int32()),
-                 pa.array(list(counts.values()), pa.int64())], ["entry", "label", "n"])
+            yield told(label, counts)
 
     return task
 
