@@ -14,3 +14,9 @@ def with_pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     chain of rules; no filter on ``name`` moves below a generator.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_all_pinned(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add several such columns at once; columns of the same names are replaced."""
+    known = [F.col(c) for c in df.columns if c not in values]
+    return df.select(*known, F.inline(F.array(F.struct(*[v.alias(name) for name, v in values.items()]))))

@@ -11,7 +11,7 @@ from eventwarden.functions.text import (
     contains_any, first_match, lookup, lower_or_empty, slug, starts_with_any,
 )
 from eventwarden.functions.timestamps import epoch_ns, iso_text
-from eventwarden.operators.pinned import with_pinned
+from eventwarden.operators.pinned import with_all_pinned, with_pinned
 
 def _none() -> Column:
     return F.lit(None).cast("string")
@@ -24,8 +24,17 @@ def _given(text: Column) -> Column:
 
 def action_label(rule: Column, message: Column, command: Column, path: Column, process: Column) -> Column:
     """What happened: by command and path first, then by rule name."""
-    cmd, file, proc = lower_or_empty(command), lower_or_empty(path), lower_or_empty(process)
-    hay = F.concat(cmd, F.lit(" "), file, F.lit(" "), lower_or_empty(message))
+    return _label(**_folded(rule, message, command, path, process))
+
+
+def _folded(rule: Column, message: Column, command: Column, path: Column, process: Column) -> dict[str, Column]:
+    """What the labels are searched in, in lower case."""
+    cmd, file = lower_or_empty(command), lower_or_empty(path)
+    return {"cmd": cmd, "file": file, "proc": lower_or_empty(process), "name": F.trim(lower_or_empty(rule)),
+            "hay": F.concat(cmd, F.lit(" "), file, F.lit(" "), lower_or_empty(message))}
+
+
+def _label(cmd: Column, file: Column, proc: Column, name: Column, hay: Column) -> Column:
     writes_etc = file.startswith("/etc/") & contains_any(cmd, K.ETC_WRITE_COMMANDS)
     writes_bin = starts_with_any(file, K.BINARY_DIRS) & contains_any(cmd, K.BINARY_WRITE_COMMANDS)
     seen = first_match([
@@ -42,7 +51,6 @@ def action_label(rule: Column, message: Column, command: Column, path: Column, p
         (file.contains(":443") & file.contains("10.96."), "Contacted Kubernetes API"),
         (hay.contains("connect") & hay.contains("10.96.0.1"), "Contacted Kubernetes API"),
     ], None)
-    name = F.trim(lower_or_empty(rule))
     exact = F.create_map(*[F.lit(x) for pair in K.ACTION_BY_RULE.items() for x in pair])
     hinted = first_match([(name.contains(h), label) for h, label in K.ACTION_BY_HINT], None)
     return F.coalesce(seen, F.try_element_at(exact, name), hinted, F.lit(K.DEFAULT_ACTION))
@@ -114,17 +122,21 @@ def with_runtime_columns(events: DataFrame) -> DataFrame:
     rows = rows.where((e("kind") != "exec")
                       | F.trim(F.coalesce("stage", F.lit(""))).isin("", "ResponseComplete"))
     is_falco = e("kind") == "falco"
-    rows = rows.withColumn("command", F.when(
+    # Long rules are pinned one after the other: generated methods stay small, and a rule is worked out once per row.
+    rows = with_all_pinned(rows, {"command": F.when(
         is_falco, lookup(fields, "proc.cmdline", "command")).when(
         e("kind") == "exec", exec_command(
-            e("request_uri"), e("message"), F.get_json_object("raw_event", "$.requestObject"))))
+            e("request_uri"), e("message"), F.get_json_object("raw_event", "$.requestObject")))})
     path = F.when(is_falco, lookup(fields, "fd.name", "file", "evt.arg.data"))
     shown_path = F.when(is_falco, lookup(fields, "fd.name", "file"))
     process = F.when(is_falco, lookup(fields, "proc.name", "process")).otherwise(
         F.split_part(e("command"), F.lit(" "), F.lit(1)))
     rule = F.when(is_falco, e("event_type")).otherwise("exec")
     said = F.when(is_falco, e("message")).otherwise(e("command"))
-    label = action_label(rule, said, e("command"), path, process)
+    # The searched texts first, as the label reads each of them many times.
+    folded = _folded(rule, said, e("command"), path, process)
+    rows = with_all_pinned(rows, {f"_{name}": value for name, value in folded.items()})
+    label = _label(**{name: e(f"_{name}") for name in folded})
     ns = F.coalesce(_given(e("namespace")), F.when(is_falco, F.try_element_at(fields, F.lit("k8s.ns.name"))))
     pod = F.when(is_falco, F.coalesce(_given(e("pod_name")), F.try_element_at(fields, F.lit("k8s.pod.name")))
                  ).otherwise(e("resource_name"))
@@ -133,7 +145,7 @@ def with_runtime_columns(events: DataFrame) -> DataFrame:
     place = F.when(is_falco, workload_label(ns, pod, proc_name, F.lit("container"))
                    ).otherwise(workload_label(ns, pod, invoker))
     runtime_user = F.when(is_falco, lookup(fields, "user.name", "user"))
-    return rows.withColumns({
+    rows = with_all_pinned(rows, {
         "runtime_action": F.when(e("kind") == "audit", _none()).when(
             (e("kind") == "exec") & e("command").isNull(), "Container exec").otherwise(label),
         "runtime_detail": F.when(is_falco, action_detail(rule, said, e("command"), shown_path, process)).when(
@@ -144,6 +156,7 @@ def with_runtime_columns(events: DataFrame) -> DataFrame:
         "shown_namespace": ns,
         "shown_pod": pod,
     })
+    return rows.drop(*[f"_{name}" for name in folded])
 
 
 def monitor_events(events: DataFrame, source_urn: str = "urn:k8s:cluster:prod-cluster-01",
@@ -235,14 +248,17 @@ def monitor_events(events: DataFrame, source_urn: str = "urn:k8s:cluster:prod-cl
         F.concat(F.lit("falco."), slug(rule, "alert", "-")), F.lit("falco.exec-from-audit"),
         F.concat(F.lit("k8s.audit."), resource,
                  F.when(sub != "", F.concat(F.lit("."), sub)).otherwise(""), F.lit("."), verb))
+    rows = with_all_pinned(rows, {"_type": F.concat(F.lit(type_prefix + "."), kind_name), "_source": source})
+    rows = with_all_pinned(rows, {"_destination": destination})
+    rows = with_all_pinned(rows, {"_network": network, "_object": target})
     return rows.select(
         F.lit("1.0").alias("specversion"), c("event_id").alias("id"), F.lit(source_urn).alias("source"),
-        F.concat(F.lit(type_prefix + "."), kind_name).alias("type"), c("timestamp").alias("time"),
+        c("_type").alias("type"), c("timestamp").alias("time"),
         started.alias("invocationtime"), ended.alias("completetime"),
         F.lit("application/json").alias("dataContentType"), F.lit(data_schema).alias("dataSchema"),
         F.coalesce(_given(c("security_relevant")), F.lit("yes")).alias("securityRelevant"),
-        F.struct(source.alias("source"), destination.alias("destination"),
-                 network.alias("network"), target.alias("object")).alias("data"),
+        F.struct(c("_source").alias("source"), c("_destination").alias("destination"),
+                 c("_network").alias("network"), c("_object").alias("object")).alias("data"),
     )
 
 
