@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from eventwarden.session import cut_lineage
 
@@ -127,10 +128,14 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, spread: Spread)
 
 def with_global_slices(df: DataFrame, order: str, spread: Spread,
                        policy: SlicePolicy = DEFAULT_POLICY) -> DataFrame:
-    """Cut the whole frame along ``order``, for sums that have no key."""
-    pieces = max(-(-spread.rows // policy.target_rows), 8)
-    width = max((spread.high - spread.low) / pieces, 1e-12)
-    return df.withColumn(SLICE, F.floor((F.col(order) - spread.low) / width).cast("bigint"))
+    """Cut the whole frame along ``order``, for sums that have no key.
+
+    Slices hold about equally many rows wherever the values lie, so one far value does not leave all others in one slice.
+    """
+    pieces = min(max(-(-spread.rows // policy.target_rows), 8), policy.max_slices)
+    points = with_steps(cut_points(df, [], order, pieces).select(F.array_distinct("_points").alias("_cuts")))
+    marked = df.withColumns({c: points.select(c).scalar() for c in ("_cuts", "_coarse")})
+    return marked.withColumn(SLICE, slice_number(F.col(order))).drop("_cuts", "_coarse")
 
 
 def sums_before(sliced: DataFrame, keys: Sequence[str], order: str,
@@ -179,7 +184,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: str,
     """Number the rows of every key from 0 by ``order``, then ``tie``.
 
     With no keys the whole frame is numbered. Only rows equal in key and order
-    are ranked together.
+    are ranked together; if very many are, they are cut along a numeric ``tie``.
     """
     counts = df.groupBy(*keys, order).agg(F.count("*").alias("_rows"))
     spread = spread_of(df, keys, order, policy)
@@ -188,11 +193,23 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: str,
     else:
         sliced, cut = with_global_slices(counts, order, spread, policy), True
     before = sums_before(sliced, keys, order, [([], {"_before": "_rows"})], cut, distinct=True)
-    peers = Window.partitionBy(*keys, order).orderBy(tie)
+    place = [*keys, order]
+    rows, firsts = df, before.select(*place, "_before")
+    crowded = spread_of(df, place, tie, policy, spread) if isinstance(df.schema[tie].dataType, NumericType) else None
+    if crowded is not None and crowded.hot is not None:
+        # A slice of a crowded place begins after the rows of the slices before it.
+        rows = with_slices(df, place, tie, crowded).withColumn(SLICE, F.coalesce(SLICE, F.lit(-1)))
+        earlier = Window.partitionBy(*place).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        pieces = rows.groupBy(*place, SLICE).agg(F.count("*").alias("_rows")).withColumn(
+            "_earlier", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        firsts = cut_lineage(pieces.join(firsts, place).select(
+            *place, SLICE, (F.col("_before") + F.col("_earlier")).alias("_before")))
+        place = [*place, SLICE]
+    peers = Window.partitionBy(*place).orderBy(tie)
     return (
-        df.join(before.select(*keys, order, "_before"), [*keys, order])
+        rows.join(firsts, place)
         .withColumn(name, F.col("_before") + F.row_number().over(peers) - 1)
-        .drop("_before")
+        .drop("_before", SLICE)
     )
 
 
