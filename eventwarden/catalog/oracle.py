@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from eventwarden import constants as K
 from eventwarden.adapter import EVENTS_CTE
+from eventwarden.catalog.queries import SMALL_RANGE
+from eventwarden.models.forest import expected_path
 
 DAY = 86_400_000_000
 
@@ -247,6 +249,36 @@ _DIGEST = """SELECT count(*) AS total_events, count(DISTINCT "user") AS unique_a
 _SLUG = "regexp_replace(regexp_replace(trim(text), '[^a-zA-Z0-9]+', '{0}', 'g'), '^{0}+|{0}+$', '', 'g')"
 
 
+_REASON = """coalesce(nullif(concat_ws('; ',
+              CASE WHEN is_sensitive = 1 AND is_off_hours = 1 THEN 'sensitive resource ''' || object_type || ''' accessed outside business hours' END,
+              CASE WHEN is_new_user = 1 THEN 'actor has NO activity history in the last 30 days' END,
+              CASE WHEN is_new_ip = 1 THEN 'source IP has never been seen before' END,
+              CASE WHEN req_30d > 0 AND req_24h > CAST(req_30d AS DOUBLE) / 30 * 5 THEN 'request burst: ' || CAST(req_24h AS VARCHAR)
+                || ' requests in 24h vs daily avg of ' || CAST(CAST(round_even(CAST(req_30d AS DOUBLE) / 30, 0) AS BIGINT) AS VARCHAR) END,
+              CASE WHEN fail_ratio_7d > 0.3 THEN 'high failure rate: ' || CAST(CAST(round_even(fail_ratio_7d * 100, 0) AS BIGINT) AS VARCHAR) || '% of requests failing' END,
+              CASE WHEN is_high_risk = 1 AND is_sensitive = 1 THEN 'high-risk method ''' || method || ''' on sensitive resource' END,
+              CASE WHEN ip_unique_users > 10 THEN 'source IP used by ' || CAST(ip_unique_users AS VARCHAR) || ' different actors' END), ''),
+              'statistical outlier in learned behavior model')"""
+
+# The small forest of ``catalog.queries`` as nested choices.
+_ROUNDED = _REASON.replace("fail_ratio_7d", "round_even(fail_ratio_7d, 4)")
+_LOW, _HIGH = SMALL_RANGE
+_WALKED = _ROLL + f""", ips AS (SELECT *, {_distinct('source_ip', '"user"', DAY)} AS ip_unique_users FROM rat e),
+  walk AS (SELECT *, (CASE WHEN hour > 11.5 THEN CASE WHEN is_sensitive > 0.5 THEN 6.0::DOUBLE ELSE 4.0::DOUBLE END
+      WHEN is_failed > 0.5 THEN 3.5::DOUBLE ELSE 2.0::DOUBLE END
+    + CASE WHEN req_7d > 20.5 THEN CASE WHEN round_even(fail_ratio_7d, 4) > 0.05 THEN 4.25::DOUBLE ELSE 6.5::DOUBLE END
+      WHEN day_of_week > 2.5 THEN 3.0::DOUBLE ELSE 5.5::DOUBLE END) / 2 AS path FROM ips),
+  raws AS (SELECT *, -pow(2.0::DOUBLE, -path / {expected_path(K.FOREST_SAMPLE)!r}::DOUBLE) AS raw FROM walk),
+  tot AS (SELECT *, 1.0::DOUBLE - (raw - ({_LOW!r})::DOUBLE) / {_HIGH - _LOW!r}::DOUBLE AS total FROM raws)
+"""
+
+# Items that are stored, dropped by the namespace policy, or noise.
+_JUDGED = """SELECT *, source_type = 'falco'
+    OR (source_type = 'k8s_audit' AND (coalesce(status_code, 0) IN (401, 403) OR classification = 'unauthorized_access'))
+    OR coalesce(namespace, '') <> 'kube-system' AS kept FROM norm WHERE NOT (source_type = 'k8s_audit' AND ((resource = 'events' AND action = 'patch')
+      OR uri LIKE '/healthz%' OR uri LIKE '/metrics%' OR (resource = 'leases' AND action IN ('get', 'patch')) OR classification = 'kubelet_routine'))"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         # ingest
@@ -276,6 +308,13 @@ def all_oracles() -> dict[str, str]:
             OR (source_type = 'k8s_audit' AND (coalesce(status_code, 0) IN (401, 403) OR classification = 'unauthorized_access'))
             OR coalesce(namespace, '') <> 'kube-system' AS kept FROM norm WHERE NOT (source_type = 'k8s_audit' AND ((resource = 'events' AND action = 'patch') OR uri LIKE '/healthz%' OR uri LIKE '/metrics%'
               OR (resource = 'leases' AND action IN ('get', 'patch')) OR classification = 'kubelet_routine')))""",
+        "batch_report": _NORM + f""", facts AS (SELECT event_id, source_type, severity, CASE WHEN kept THEN 'stored' ELSE 'dropped' END AS outcome FROM ({_JUDGED})
+            UNION ALL SELECT NULL, 'app', NULL, 'failed' FROM events WHERE event_id % 7 = 0 OR event_id % 4 = 3),
+            parts AS (SELECT 'source_type' AS dimension, coalesce(source_type, 'unknown') AS value, outcome FROM facts
+              UNION ALL SELECT 'severity', coalesce(severity, 'unknown'), outcome FROM facts UNION ALL SELECT 'total', 'all', outcome FROM facts)
+            SELECT dimension, value, count(*) AS accepted, count(*) FILTER (outcome = 'stored') AS stored, count(*) FILTER (outcome = 'dropped') AS dropped,
+              count(*) FILTER (outcome = 'failed') AS failed, CASE WHEN dimension = 'total' THEN (SELECT string_agg(event_id, ',' ORDER BY event_id)
+                FROM (SELECT event_id FROM facts WHERE outcome = 'stored' ORDER BY event_id LIMIT 10)) END AS ids FROM parts GROUP BY dimension, value""",
         "stored_events": _NORM + """SELECT event_id, source_type, namespace, classification FROM norm WHERE (source_type = 'falco'
             OR (source_type = 'k8s_audit' AND (coalesce(status_code, 0) IN (401, 403) OR classification = 'unauthorized_access'))
             OR coalesce(namespace, '') <> 'kube-system')
@@ -391,16 +430,7 @@ def all_oracles() -> dict[str, str]:
         "ip_rolling": _ROLL + f"""SELECT event_id, ip_req_24h, ip_fail_ratio_24h, {_distinct('source_ip', '"user"', DAY)} AS ip_unique_users,
             is_new_ip, fail_burst_5min FROM rat e""",
         "reasons": _ROLL + f""", ips AS (SELECT *, {_distinct('source_ip', '"user"', DAY)} AS ip_unique_users FROM rat e)
-            SELECT event_id, coalesce(nullif(concat_ws('; ',
-              CASE WHEN is_sensitive = 1 AND is_off_hours = 1 THEN 'sensitive resource ''' || object_type || ''' accessed outside business hours' END,
-              CASE WHEN is_new_user = 1 THEN 'actor has NO activity history in the last 30 days' END,
-              CASE WHEN is_new_ip = 1 THEN 'source IP has never been seen before' END,
-              CASE WHEN req_30d > 0 AND req_24h > CAST(req_30d AS DOUBLE) / 30 * 5 THEN 'request burst: ' || CAST(req_24h AS VARCHAR)
-                || ' requests in 24h vs daily avg of ' || CAST(CAST(round_even(CAST(req_30d AS DOUBLE) / 30, 0) AS BIGINT) AS VARCHAR) END,
-              CASE WHEN fail_ratio_7d > 0.3 THEN 'high failure rate: ' || CAST(CAST(round_even(fail_ratio_7d * 100, 0) AS BIGINT) AS VARCHAR) || '% of requests failing' END,
-              CASE WHEN is_high_risk = 1 AND is_sensitive = 1 THEN 'high-risk method ''' || method || ''' on sensitive resource' END,
-              CASE WHEN ip_unique_users > 10 THEN 'source IP used by ' || CAST(ip_unique_users AS VARCHAR) || ' different actors' END), ''),
-              'statistical outlier in learned behavior model') AS reason FROM ips""",
+            SELECT event_id, """ + _REASON + " AS reason FROM ips",
         "hot_user_rolling": _with(SCO, """hot AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 'system:hot' ELSE "user" END AS "user") FROM flg)""",
             ROLL.replace("FROM flg", "FROM hot")) + "SELECT event_id, req_24h, req_7d, req_30d, fail_ratio_7d, sensitive_rate_7d, "
             "user_hour_baseline, is_new_user, " + ", ".join(
@@ -433,6 +463,34 @@ def all_oracles() -> dict[str, str]:
         "normalized_scores": """SELECT event_id, 1.0::DOUBLE - (value - low) / (high - low) AS score
             FROM events, (SELECT min(value) AS low, max(value) AS high FROM events)""",
         "psi_drift": _with(SCO, _PSI) + "SELECT n_old, n_new, round(psi, 9) AS psi FROM psi",
+        "score_day_counts": _SCO + f"""SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (anomaly_score > 0.5) AS n_high, """ + ", ".join(
+            f"count(*) FILTER ({_bins('anomaly_score')} = {i}) AS b{i}" for i in range(10)) + " FROM flg WHERE anomaly_score IS NOT NULL GROUP BY 1",
+        "drift_over_days": _SCO + f""", d AS (SELECT CAST(ts AS DATE) AS day, {_bins('anomaly_score')} AS b, anomaly_score FROM flg WHERE anomaly_score IS NOT NULL),
+            g AS (SELECT day, count(*) AS n, CAST(count(*) FILTER (anomaly_score > 0.5) AS DOUBLE) / count(*) AS rate FROM d GROUP BY day),
+            c AS (SELECT g.day, n, rate, b, (SELECT count(*) FROM d WHERE d.day < g.day) AS n_before,
+              (SELECT count(*) FROM d WHERE d.day < g.day AND d.b = k.b) AS o, (SELECT count(*) FROM d WHERE d.day = g.day AND d.b = k.b) AS a
+              FROM g, (SELECT unnest(range(10)) AS b) k),
+            s AS (SELECT *, CASE WHEN o = 0 THEN 0.0001::DOUBLE ELSE CAST(o AS DOUBLE) / n_before END AS old_share,
+              CASE WHEN a = 0 THEN 0.0001::DOUBLE ELSE CAST(a AS DOUBLE) / n END AS new_share FROM c WHERE n_before > 0)
+            SELECT day, n_before, n, rate, round(sum((new_share - old_share) * ln(new_share / old_share)), 9) AS psi FROM s GROUP BY ALL""",
+        "forest_walk": _WALKED + "SELECT event_id, round(raw, 9) AS raw_score FROM raws",
+        "scored_events": _WALKED + f"""SELECT event_id, round_even(total, 4) AS anomaly_score, round_even(total, 4) AS if_score,
+            CASE WHEN total > 0.9 THEN 'HIGH' WHEN total > 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, {_ROUNDED} AS reason, 'small' AS model_version FROM tot""",
+        "alert_texts": _SCO + """, a AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'Terminal opened' ELSE 'request burst' END AS reason FROM flg
+              WHERE anomaly_score > 0.9 AND anomaly_score >= 0.95)
+            SELECT event_id, concat_ws(chr(10), 'HIGH RISK ALERT', 'Source: ' || event_type, 'User: ' || "user", 'Resource: ' || object_type,
+              'Action/Rule: ' || method, 'Score: ' || CAST(anomaly_score AS VARCHAR), 'Reason: ' || reason, '-------------------------') AS alert_record,
+              concat_ws(chr(10), '*HIGH Risk Security Alert Detected*', '*Source:* `' || event_type || '`', '*Risk Level:* `HIGH`',
+                '*Anomaly Score:* `' || CAST(anomaly_score AS VARCHAR) || '`', '*User:* `' || "user" || '`', '*Source IP:* `' || source_ip || '`',
+                '*Namespace:* `' || namespace || '`', '*Resource:* `' || object_type || '`', '*Action / Falco Rule:* `' || method || '`',
+                '*Time:* `' || CAST(ts AS VARCHAR) || '`', '*Reason:* ' || reason) AS alert_text
+            FROM a WHERE CASE WHEN event_type = 'falco' THEN regexp_matches(lower(method) || ' ' || lower(reason), 'shell|terminal|passwd|shadow|sensitive|privilege|write below|unexpected')
+              ELSE method IN ('delete', 'patch', 'exec', 'create') AND regexp_matches(lower(object_type), 'secret|rolebinding|pods/exec|runtime_event') END""",
+        "sequence_scale": _SCO + """, w AS (SELECT sum(hour) OVER o AS h, sum(hour * hour) OVER o AS hh, sum(is_failed) OVER o AS f FROM flg
+              WINDOW o AS (PARTITION BY "user" ORDER BY us, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+            m AS (SELECT CAST(sum(h) AS DOUBLE) / (20 * count(*)) AS h, CAST(sum(hh) AS DOUBLE) / (20 * count(*)) AS hh, CAST(sum(f) AS DOUBLE) / (20 * count(*)) AS f FROM w)
+            SELECT 'hour' AS feature, round(h, 6) AS mean, round(sqrt(hh - h * h), 6) AS deviation FROM m
+            UNION ALL SELECT 'is_failed', round(f, 6), round(sqrt(f - f * f), 6) FROM m""",
         "model_decision": _with(SCO, _PSI) + """SELECT old_rate, new_rate, round(psi, 9) AS psi, psi > 0.2 AS psi_alert,
             CASE WHEN psi > 0.2 THEN 'replaced with drift' WHEN new_rate > old_rate * 3.0 THEN 'aborted' ELSE 'replaced' END AS decision
             FROM psi, (SELECT CAST(count(*) FILTER (previous_score > 0.5) AS DOUBLE) / count(previous_score) AS old_rate,

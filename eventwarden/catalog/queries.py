@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +16,12 @@ from eventwarden.functions.text import slug
 from eventwarden.functions.timestamps import iso_text
 from eventwarden.models.drift import auc, binary_report, psi, replace_decision
 from eventwarden.models.forest import (
-    fit_forest, load_forest, normalized as normalized_score, raw_score, score_stats,
+    Forest, fit_forest, load_forest, normalized as normalized_score, raw_score, score_stats,
 )
+from eventwarden.models.score_days import drift_by_day, score_days
 from eventwarden.models.sequence import (
     fit_sequence, held_out, label_join, padded, recent_window, sequence_score, sequence_windows,
-    time_split,
+    step_scale, time_split,
 )
 from eventwarden.operators import dedup, policy, runtime, validate
 from eventwarden.operators.normalize import (
@@ -33,8 +35,8 @@ from eventwarden.plans import usecases as U
 from eventwarden.plans.features import (
     HISTORY_INPUT, feature_matrix, reason_text, rolling_features, with_ip_history, with_user_history,
 )
-from eventwarden.plans.ingest import complete_input, ingest, outcomes, scorer_input
-from eventwarden.plans.scoring import combined_score
+from eventwarden.plans.ingest import complete_input, failures, ingest, ingest_report, outcomes, scorer_input
+from eventwarden.plans.scoring import ForestModel, combined_score, score_events, select_alerts
 from eventwarden.session import cut_lineage, prepare, spread
 from eventwarden.sources import writers
 from eventwarden.sources.writers import kafka_rows
@@ -121,6 +123,13 @@ def ingest_summary_parity(spark, folder):
     return A.ingest_summary(outcomes(raw_items(spark, folder)), parity=True)
 
 
+@query
+def batch_report(spark, folder):
+    """What became of all items, broken ones among them, as the ingest stream reports every batch."""
+    found = outcomes(raw_items(spark, folder)).unionByName(failures(_timed_items(spark, folder)))
+    return ingest_report(found).withColumn("ids", F.array_join("ids", ","))
+
+
 @query
 def stored_events(spark, folder):
     return ingest(raw_items(spark, folder)).select("event_id", "source_type", "namespace", "classification")
@@ -433,6 +442,20 @@ def psi_drift(spark, folder):
     return found.select("n_old", "n_new", F.round("psi", 9).alias("psi"))
 
 
+@query
+def score_day_counts(spark, folder):
+    """The daily summaries, without their sketches."""
+    days = score_days(scorer_events(spark, folder))
+    return days.select("day", "n", "n_high", *[F.col("bins")[i].alias(f"b{i}") for i in range(K.PSI_BINS)])
+
+
+@query
+def drift_over_days(spark, folder):
+    """Every day's scores against all days before it, from the daily summaries."""
+    return drift_by_day(score_days(scorer_events(spark, folder))).select(
+        "day", "n_before", "n", "rate", F.round("psi", 9).alias("psi"))
+
+
 @query
 def model_decision(spark, folder):
     found = replace_decision(scorer_events(spark, folder), "previous_score", "anomaly_score")
@@ -461,6 +484,16 @@ def sequence_window_sums(spark, folder):
         failed.alias("failed_sum"), F.size(padded(F.col("window"), 2)).alias("padded_steps"))
 
 
+@query
+def sequence_scale(spark, folder):
+    """Mean and deviation of two features over all steps of all windows, padding included."""
+    rows = scorer_events(spark, folder).select("event_id", "user", "us", "is_failed", "hour")
+    means, deviations = step_scale(sequence_windows(rows, ("hour", "is_failed")), 2)
+    return spark.createDataFrame(list(zip(("hour", "is_failed"), means, deviations)),
+                                 "feature string, mean double, deviation double").select(
+        "feature", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
 def _labels(rows: DataFrame) -> DataFrame:
     word = F.when(F.col("analyst_label") == 1, "anomaly").when(
         F.col("analyst_label") == 0, "normal").otherwise("real_unknown")
@@ -486,6 +519,36 @@ def quality_report(spark, folder):
     return binary_report(score, "score", "quality")
 
 
+#: A small forest: failed calls before noon and sensitive ones after it; users with few calls a week and failing ones.
+SMALL_FOREST = Forest(
+    np.array([[6, 10, 9], [14, 7, 16]], dtype=np.int32), np.array([[11.5, 0.5, 0.5], [20.5, 2.5, 0.05]]),
+    np.array([[2.0, 3.5, 4.0, 6.0], [5.5, 3.0, 6.5, 4.25]]), K.FOREST_SAMPLE)
+SMALL_RANGE = (-0.85, -0.65)
+
+
+@query
+def forest_walk(spark, folder):
+    """Raw scores of all events in the small forest."""
+    matrix = feature_matrix(scorer_events(spark, folder))
+    return matrix.select("event_id", F.round(raw_score(spark, SMALL_FOREST), 9).alias("raw_score"))
+
+
+@query
+def scored_events(spark, folder):
+    """All events scored with the small forest: scores, risk, reason and model version."""
+    scored = score_events(feature_matrix(scorer_events(spark, folder)), ForestModel(SMALL_FOREST, *SMALL_RANGE, "small"))
+    return scored.select("event_id", "anomaly_score", "if_score", "risk_level", "reason", "model_version")
+
+
+@query
+def alert_texts(spark, folder):
+    """The texts of the alerts among the scored events."""
+    rows = scorer_events(spark, folder).withColumns({
+        "risk_level": R.risk_level(F.col("anomaly_score")),
+        "reason": F.when(F.col("event_id") % 4 == 0, "Terminal opened").otherwise("request burst")})
+    return select_alerts(rows).select("event_id", "alert_record", "alert_text")
+
+
 @query
 def forest_scores(spark, folder):
     """Fit on the feature matrix and score every event of it."""

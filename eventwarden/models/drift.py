@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from eventwarden.operators.ordered import (
 )
 
 
-def _bin(score: Column, bins: int) -> Column:
+def score_bin(score: Column, bins: int) -> Column:
     """Bin of a score in [0, 1]; the last bin is closed, outside is null.
 
     The edges are the multiples i * (1 / bins) in double arithmetic.
@@ -34,20 +36,27 @@ def psi(scores: DataFrame, expected: str, actual: str, bins: int = K.PSI_BINS) -
         F.struct(F.lit(False).alias("old"), F.col(actual).alias("score")),
     ))).where(F.col("score").isNotNull())
     # One pass: every bin count of both columns is a conditional count.
-    spot = _bin(F.col("score"), bins)
+    spot = score_bin(F.col("score"), bins)
     counted = tall.agg(
         F.count_if(F.col("old")).alias("n_old"), F.count_if(~F.col("old")).alias("n_new"),
         *[F.count_if((spot == i) & F.col("old")).alias(f"o{i}") for i in range(bins)],
         *[F.count_if((spot == i) & ~F.col("old")).alias(f"a{i}") for i in range(bins)])
 
-    def share(part: str, whole: str) -> Column:
-        return F.when(F.col(part) == 0, F.lit(K.PSI_FLOOR)).otherwise(F.col(part) / F.col(whole))
+    index = psi_value([F.col(f"o{i}") for i in range(bins)], F.col("n_old"),
+                      [F.col(f"a{i}") for i in range(bins)], F.col("n_new"))
+    return counted.select("n_old", "n_new", index.alias("psi"))
+
+
+def psi_value(old: Sequence[Column], n_old: Column, new: Sequence[Column], n_new: Column) -> Column:
+    """The index from the counts of the bins; an empty bin gets a floor."""
+    def share(part: Column, whole: Column) -> Column:
+        return F.when(part == 0, F.lit(K.PSI_FLOOR)).otherwise(part / whole)
 
     total = F.lit(0.0)
-    for i in range(bins):
-        e, a = share(f"o{i}", "n_old"), share(f"a{i}", "n_new")
+    for before, after in zip(old, new, strict=True):
+        e, a = share(before, n_old), share(after, n_new)
         total = total + (a - e) * F.ln(a / e)
-    return counted.select("n_old", "n_new", total.alias("psi"))
+    return total
 
 
 def psi_band(value: Column) -> Column:

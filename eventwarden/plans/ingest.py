@@ -25,15 +25,29 @@ def ingest(items: DataFrame, allowed: list[str] | None = None,
     return shape_fields(apply_namespace_policy(events, allowed, ignored), keep, store_raw, max_raw_bytes)
 
 
+#: Columns that tell what became of an item.
+OUTCOME = ("event_id", "source_type", "severity", "outcome")
+
+
+def outcome_columns(allowed: list[str] | None = None, ignored: tuple[str, ...] = K.IGNORED_NAMESPACES) -> list[Column]:
+    """``OUTCOME`` of an event: the namespace policy stores it or drops it."""
+    kept = is_kept(F.col("source_type"), F.col("namespace"), F.col("status_code"),
+                   F.col("classification"), allowed, ignored)
+    return [*[F.col(c) for c in OUTCOME[:3]], F.when(kept, "stored").otherwise("dropped").alias("outcome")]
+
+
+def failures(items: DataFrame) -> DataFrame:
+    """``OUTCOME`` of the items that go to quarantine; they have neither an id nor a severity."""
+    none = F.lit(None).cast("string")
+    return quarantine(items).select(none.alias("event_id"), "source_type", none.alias("severity"),
+                                    F.lit("failed").alias("outcome"))
+
+
 def outcomes(items: DataFrame, allowed: list[str] | None = None,
              ignored: tuple[str, ...] = K.IGNORED_NAMESPACES) -> DataFrame:
-    """What becomes of every accepted item: ``(event_id, outcome)``. Noise is not accepted at all."""
+    """What becomes of every accepted item: ``OUTCOME`` columns. Noise is not accepted at all."""
     events = drop_noise(normalize_events(items))
-    kept = is_kept(F.col("source_type"), F.col("namespace"), F.col("status_code"),
-                   F.col("classification"), allowed, ignored)
-    fine = events.select("event_id", F.when(kept, "stored").otherwise("dropped").alias("outcome"))
-    bad = quarantine(items).select(F.lit(None).cast("string").alias("event_id"), F.lit("failed").alias("outcome"))
-    return fine.unionByName(bad)
+    return events.select(*outcome_columns(allowed, ignored)).unionByName(failures(items))
 
 
 def _field(fields: Column, key: str, default: str) -> Column:
@@ -101,5 +115,24 @@ def complete_input(rows: DataFrame) -> DataFrame:
 
 
 def sample_ids(found: DataFrame, count: int = 10) -> DataFrame:
-    """A few ids of a batch, for its summary."""
-    return found.where("event_id IS NOT NULL").select("event_id").limit(count)
+    """A few ids of a batch, for its summary: the first ones in order of text."""
+    return found.where("event_id IS NOT NULL").select("event_id").orderBy("event_id").limit(count)
+
+
+def ingest_report(outcomes: DataFrame, ids: int = 10) -> DataFrame:
+    """Accepted, stored, dropped and failed items by source, by severity and in total, in one pass.
+
+    ``(dimension, value, accepted, stored, dropped, failed, ids)``; the total names a few stored events. A source or
+    severity that is not known counts as ``unknown``. Reports of disjoint batches add up to the report of all.
+    """
+    by = [F.col("source_type"), F.col("severity")]
+    counted = outcomes.groupingSets([[by[0]], [by[1]], []], *by).agg(
+        F.count("*").alias("accepted"), F.grouping_id().alias("_set"),
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("stored", "dropped", "failed")])
+    listed = sample_ids(outcomes.where("outcome = 'stored'"), ids).agg(
+        F.array_sort(F.collect_list("event_id")).alias("ids"))
+    total = F.col("_set") == 3
+    return counted.select(
+        F.when(total, "total").when(F.col("_set") == 1, "source_type").otherwise("severity").alias("dimension"),
+        F.when(total, "all").otherwise(F.coalesce("source_type", "severity", F.lit("unknown"))).alias("value"),
+        "accepted", "stored", "dropped", "failed", F.when(total, listed.scalar()).alias("ids"))

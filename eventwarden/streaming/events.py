@@ -16,8 +16,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from eventwarden import constants as K
 from eventwarden.operators.dedup import throttle
-from eventwarden.operators.normalize import open_envelope, quarantine
-from eventwarden.plans.ingest import ingest
+from eventwarden.operators.normalize import normalize_events, open_envelope, quarantine
+from eventwarden.operators.policy import drop_noise, shape_fields
+from eventwarden.operators.tagging import tag_events
+from eventwarden.plans.ingest import ingest, ingest_report, outcome_columns
 from eventwarden.session import cut_lineage, drop_copies
 
 WATERMARK = "10 minutes"
@@ -31,19 +33,32 @@ def split_late(events: DataFrame, delay: str = WATERMARK) -> tuple[DataFrame, Da
 
 
 def start_ingest(lines: DataFrame, table: str, quarantine_table: str, checkpoint: str, every: str | None = None,
-                 late_table: str | None = None, delay: str = WATERMARK, remember: str = "1 day") -> StreamingQuery:
+                 late_table: str | None = None, delay: str = WATERMARK, remember: str = "1 day",
+                 report_table: str | None = None) -> StreamingQuery:
     """Lines to stored events and quarantine; a batch run twice replaces itself.
 
     An event that came before within ``remember``, by arrival, is not stored again; it is known by its id and stage,
     which are kept as state. Events that happened more than ``delay`` before they arrived go to ``late_table``,
     where one is named. Events are laid out by day and batch, so a day can be removed as a folder.
+    ``report_table`` gets the ``ingest_report`` of every batch, which is worked from the batch's written copy; a
+    replayed event counts once, and dropped events are carried as their outcome alone.
     Without ``every`` the stream works off what is there and ends.
     """
     items = open_envelope(lines)
     arrived = items if "ingest_ts" in items.columns else items.withColumn("ingest_ts", F.current_timestamp())
-    events = dedup_stream(ingest(arrived), clock="ingest_ts", delay=remember)
-    bad = quarantine(items).select(F.struct("source_type", "body", "problem").alias("bad"))
-    both = events.select(F.struct(*events.columns).alias("event")).unionByName(bad, allowMissingColumns=True)
+    bad = quarantine(items).select(F.struct("source_type", "body", "problem").alias("bad"), F.struct(
+        F.lit(None).cast("string").alias("event_id"), "source_type", F.lit(None).cast("string").alias("severity"),
+        F.lit("failed").alias("outcome")).alias("fact"))
+    if report_table:
+        # Dropped events are judged too, so that they can be counted; only what is stored goes on whole.
+        events = dedup_stream(shape_fields(tag_events(drop_noise(normalize_events(arrived)))), clock="ingest_ts", delay=remember)
+        fact = F.struct(*outcome_columns())
+        event = F.when(fact["outcome"] == "stored", F.struct(*events.columns))
+    else:
+        events = dedup_stream(ingest(arrived), clock="ingest_ts", delay=remember)
+        fact, event = F.lit(None), F.struct(*events.columns)
+    both = events.select(event.alias("event"), fact.cast(bad.schema["fact"].dataType).alias("fact")).unionByName(
+        bad, allowMissingColumns=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = cut_lineage(batch)
@@ -54,6 +69,9 @@ def start_ingest(lines: DataFrame, table: str, quarantine_table: str, checkpoint
             if found is not None:
                 (found.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
                  .option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(path))
+        if report_table:
+            (ingest_report(batch.select("fact.*")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(report_table))
         drop_copies(batch)
 
     writer = both.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

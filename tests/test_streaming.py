@@ -10,7 +10,7 @@ from eventwarden.functions.rules import falco_classification
 from eventwarden.operators.dedup import throttle
 from eventwarden.operators.normalize import open_envelope
 from eventwarden.plans.features import feature_matrix
-from eventwarden.plans.ingest import ingest
+from eventwarden.plans.ingest import ingest, ingest_report, outcomes
 from eventwarden.sources.readers import stream_lines
 from eventwarden.sources.writers import kafka_rows
 from eventwarden.streaming import events as E
@@ -155,3 +155,32 @@ def test_scoring_stream(spark, small, tmp_path):
     bodies = scored.select("event_id", "body").exceptAll(messages.select("event_id", F.col("value").alias("body")))
     assert bodies.count() == 0
     assert {p.name for p in (tmp_path / "out").iterdir()} == {"alerts", "scored", "unreadable"}
+
+
+def test_batch_reports_add_up(spark, small, tmp_path):
+    items = raw_items(spark, small)
+    rows = items.select(
+        F.concat(F.lit('{"source_type":"'), "source_type", F.lit('","source":"audit","event":'), "body", F.lit("}")).alias("value"),
+        "ingest_ts")
+    broken = spark.createDataFrame([("{broken",), ('{"source_type":"app","event":{"x":1}}',)], "value string").withColumn(
+        "ingest_ts", F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    for part in (rows.where("hash(value) % 2 = 0"), rows.where("hash(value) % 2 <> 0").unionByName(broken), rows.limit(50)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    paths = [str(tmp_path / n) for n in ("out", "bad", "cp")]
+    E.start_ingest(stream, *paths, remember="60 days", report_table=str(tmp_path / "reports")).awaitTermination(300)
+    reports = spark.read.parquet(str(tmp_path / "reports"))
+    counts = ["accepted", "stored", "dropped", "failed"]
+    added = {(r["dimension"], r["value"]): tuple(r[c] for c in counts) for r in reports.groupBy("dimension", "value").agg(
+        *[F.sum(c).alias(c) for c in counts]).collect()}
+    # Repeated rows count once, as in the stored table.
+    whole = ingest_report(outcomes(open_envelope(rows.unionByName(broken))))
+    want = {(r["dimension"], r["value"]): tuple(r[c] for c in counts) for r in whole.collect()}
+    assert added == want
+    total = added["total", "all"]
+    assert total[3] == 2 and total[1] > 0 and total[2] > 0 and sum(total[1:]) == total[0]
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert stored.count() == total[1] and stored.where("tags IS NULL").count() == 0
+    for row in reports.where("dimension = 'total'").collect():
+        assert len(row["ids"]) <= 10
+        assert stored.where((F.col("batch_id") == row["batch_id"]) & F.col("event_id").isin(row["ids"])).count() == len(row["ids"])
