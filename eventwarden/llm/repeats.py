@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventwarden.llm.scratch import Scratch
+from eventwarden.llm.scratch import Scratch, in_parts
 from eventwarden.llm.words import byte_class, run_hashes, words_of
 
 
@@ -119,7 +119,7 @@ def cut_out(wanted: int):
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             lists = batch.column("places")
             limits, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             whole = batch.column("whole").to_numpy(zero_copy_only=False)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventwarden.llm.samples import balanced, class_counts, labelled, logistic, sigmoid
+from eventwarden.llm.scratch import in_parts
 
 #: Look-alike letters and what they look like.
 LOOKALIKES = str.maketrans(
@@ -250,7 +251,7 @@ def clean(docs: DataFrame, lexicon: Lexicon, limit: float, text: str = "text") -
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(lexicon)
-        for batch in batches:
+        for batch in in_parts(batches):
             keep = []
             for raw in batch.column(text).cast(pa.binary()).to_pylist():
                 flat = folded((raw or b"").decode("utf-8", "replace"), table)
