@@ -19,6 +19,8 @@ TOXIC = 0.5
 SIMILAR = 0.8
 #: Words from which a passage that repeats is removed.
 PASSAGE = 50
+#: Rows a task holds at a time: workers live on from stage to stage, and documents can be long.
+BATCH_ROWS = 2000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +29,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The lexicon is learned from the labelled rows among the documents; without labels nothing is toxic.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    lexicon = toxicity.learn(docs, labels, Scratch(spark, "toxicity"))
+    lexicon = toxicity.learn(docs, labels, Scratch(spark, "toxicity", BATCH_ROWS))
     return toxicity.clean(docs, lexicon, TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id; null ids stay."""
-    judged = near_duplicates(docs.select("doc_id", "text"), Scratch(spark, "near"), threshold=SIMILAR)
+    judged = near_duplicates(docs.select("doc_id", "text"), Scratch(spark, "near", BATCH_ROWS), threshold=SIMILAR)
     gone = judged.where("not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     # Equal rows under one id are one node; one of them stays.
@@ -47,7 +49,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     doc_id and text may have any names and pass unchanged but for n_chars, which need not be there.
     """
     named = [F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"of_{c}") for c in docs.columns]
-    cut = remove_repeats(docs.select(*named), Scratch(spark, "repeats"), wanted=PASSAGE)
+    cut = remove_repeats(docs.select(*named), Scratch(spark, "repeats", BATCH_ROWS), wanted=PASSAGE)
     touched = F.col("n_removed") > 0
     left = cut.where(~touched | (F.col("n_removed") < F.col("n_words")))
     kept = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
@@ -63,7 +65,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows with a null id, and null, empty or very short texts, hold none. Rows that share an id go together.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contaminated(docs, items, Scratch(spark, "items"), threshold=SIMILAR)
+    found = contaminated(docs, items, Scratch(spark, "items", BATCH_ROWS), threshold=SIMILAR)
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
@@ -90,7 +92,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows with a null id or a null text pass all stages; repeated rows of one id and text become one in the second.
     An empty table gives an empty result.
     """
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(spark, "pipeline", BATCH_ROWS)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.cut(stage(spark, docs, sf_dir), name)
