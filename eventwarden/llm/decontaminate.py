@@ -10,8 +10,13 @@ containment is the share of the item's shingles that the document has.
 Samples of items also stand in a bitmap of bounded size that every task holds; windows that hit no bit make no
 row, so what is shuffled follows the hits and not the windows.
 
+An item whose shingles are scattered over more than one window is not bound to be similar to any. Documents longer
+than a window therefore also tell which item shingles they have, if these are enough for the smallest item. A document
+that reaches the threshold has at least one of the (1 - threshold) share of an item's shingles, plus one, that the
+fewest documents have; it becomes a candidate through these, so no scattered item is missed.
+
 Words are runs of letters and digits, lower-cased; shingles have five of them. An item of fewer words is one
-shingle. Items without words match nothing. A passage broken into very many pieces can escape the search.
+shingle. Items without words match nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventwarden.llm.scratch import Scratch
@@ -29,8 +34,8 @@ from eventwarden.llm.words import byte_class, mixed, run_hashes, words_of
 
 #: Bits of the bitmap of item samples: sixteen per sample within these bounds. 2**28 bits are 32 MB.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-#: Item samples up to which they are broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes of item samples and shingle sets up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def item_class(size: int) -> int:
@@ -105,12 +110,46 @@ def item_samples(threshold: float):
     return task
 
 
-def window_hits(classes: list[tuple[int, int]], threshold: float, bitmap: bytes):
-    """Arrow task over (id, text): (id, key) of the samples of all windows that hit the bitmap."""
+def _named(shingles: np.ndarray) -> np.ndarray:
+    return mixed(shingles + np.uint64(0xD1B54A32D192ED03))
+
+
+def item_shingles(length: int):
+    """Arrow task over (item, length, shingles): (key, item, tag, size) of items that can be scattered.
+
+    Those have two shingles and more. ``tag`` tells items apart that share an id.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for item, own, values in zip(*(batch.column(c).to_pylist() for c in ("item", "length", "shingles")), strict=True):
+                if own == length and len(values) > 1:
+                    keys = _named(np.array(values, dtype=np.int64).view(np.uint64))
+                    columns[0].append(keys.view(np.int64))
+                    for column, value in zip(columns[1:], (item, int(np.bitwise_xor.reduce(keys).view(np.int64)), len(values)), strict=True):
+                        column.append(np.full(len(values), value, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["key", "item", "tag", "size"])
+
+    return task
+
+
+def window_hits(classes: list[tuple[int, int]], threshold: float, bitmap: bytes, words: int, shingle_bitmap: bytes):
+    """Arrow task over (id, text): (id, key, scattered).
+
+    Samples of all windows that hit ``bitmap``; and, of documents longer than the windows of the smallest
+    class, the shingles that hit ``shingle_bitmap``, if they are enough for an item of that class.
+    """
+    several = [level for length, level in classes if length == words and level > 0]
+    longer = 2 * ((2 << min(several)) - 1) if several else 0
+    enough = math.ceil(threshold * (1 << min(several))) if several else 0
+
+    def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        place = keys & np.uint64(64 * len(bits) - 1)
+        return np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap, np.uint64)
-        mask = np.uint64(64 * len(bits) - 1)
+        bits, shingle_bits = np.frombuffer(bitmap, np.uint64), np.frombuffer(shingle_bitmap, np.uint64)
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for found in words_of(batch.column("text"), inside=byte_class(extra=True)):
@@ -136,13 +175,25 @@ def window_hits(classes: list[tuple[int, int]], threshold: float, bitmap: bytes)
                         # A window is a block and the next one of the same text.
                         minima[:-1] = np.where(joined, np.minimum(minima[:-1], minima[1:]), minima[:-1])
                         keys = _keys(minima, level, length, k)
-                        place = keys & mask
-                        hit = np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                        hit = held(bits, keys)
                         if len(hit):
                             out_ids.append(ids[found.rows.start + owner[hit]])
                             out_keys.append(keys[hit].view(np.int64))
+                windows = sum(map(len, out_keys))
+                if several:
+                    hashes, limits = grams[words]
+                    keys = _named(hashes)
+                    hit = held(shingle_bits, keys)
+                    ends = np.searchsorted(hit, limits)
+                    for row in np.flatnonzero((np.diff(limits) > longer) & (np.diff(ends) >= enough)):
+                        own = np.unique(keys[hit[ends[row]:ends[row + 1]]])
+                        if len(own) >= enough:
+                            out_ids.append(np.full(len(own), ids[found.rows.start + row]))
+                            out_keys.append(own.view(np.int64))
+                flat = np.concatenate(out_keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_ids).astype(np.int64)), pa.array(np.concatenate(out_keys))], ["id", "key"])
+                    [pa.array(np.concatenate(out_ids).astype(np.int64)), pa.array(flat), pa.array(np.arange(len(flat)) >= windows)],
+                    ["id", "key", "scattered"])
 
     return task
 
@@ -178,6 +229,17 @@ def bitmap_of(samples: DataFrame, count: int) -> bytes:
     return bits.tobytes()
 
 
+def _rarest(own: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(key, item): of every item the shingles that the fewest documents have, one more than it may lack."""
+    counts = found.groupBy("key").agg(F.count("*").alias("n"))
+    seen = own.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # A window per item: as many rows as the item has shingles.
+    order = Window.partitionBy("item", "tag").orderBy("n", "key")
+    percent = round(threshold * 100)
+    return seen.withColumn("place", F.row_number().over(order)).where(
+        f"place <= size - ceil({percent} * size / 100) + 1 and n > 0").select("key", "item").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text",
                  item: str = "item_id", item_text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id, item, n_item_shingles, n_shared, containment) of every document and item that reach the threshold.
@@ -190,23 +252,30 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, id: str =
     sets = scratch.cut(wanted.where("id is not null").mapInArrow(
         item_sets(words), "item bigint, length int, shingles array<bigint>").distinct(), "items")
     shapes = sets.select("length", F.size("shingles").alias("n")).groupBy(
-        "length", F.floor(F.log2("n")).cast("int").alias("level")).count().orderBy("length", "level").collect()
+        "length", F.floor(F.log2("n")).cast("int").alias("level")).agg(
+        F.count("*").alias("items"), F.sum("n").alias("n")).orderBy("length", "level").collect()
     classes = [(r["length"], r["level"]) for r in shapes]
     samples = scratch.cut(sets.mapInArrow(item_samples(threshold), "key bigint, item bigint").distinct(), "samples")
     count = samples.count()
+    own = scratch.cut(sets.mapInArrow(item_shingles(words), "key bigint, item bigint, tag bigint, size bigint").distinct(), "shingles")
+    # Every entry of a list is a number of eight bytes; a sample row has two.
+    small = 8 * sum(r["n"] for r in shapes) + 16 * count <= BROADCAST_BYTES
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
     lowered = rows.withColumn("text", F.lower("text"))
-    shipped = spark.sparkContext.broadcast(bitmap_of(samples, max(1, count)))
+    shipped = spark.sparkContext.broadcast(
+        (bitmap_of(samples, max(1, count)), bitmap_of(own, max(1, sum(r["n"] for r in shapes)))))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from window_hits(classes, threshold, shipped.value)(batches)
+        yield from window_hits(classes, threshold, shipped.value[0], words, shipped.value[1])(batches)
 
-    found = lowered.mapInArrow(hits, "id bigint, key bigint").distinct()
-    pairs = found.join(F.broadcast(samples) if count <= BROADCAST_ROWS else samples, "key").select("id", "item").distinct()
-    pairs = scratch.cut(pairs, "pairs")
+    found = scratch.cut(lowered.mapInArrow(hits, "id bigint, key bigint, scattered boolean").distinct(), "hits")
+    pairs = found.where("not scattered").join(F.broadcast(samples) if small else samples, "key").select("id", "item")
+    rare = scratch.cut(_rarest(own, found.where("scattered"), threshold), "rare")
+    pairs = pairs.union(found.where("scattered").join(F.broadcast(rare) if small else rare, "key").select("id", "item"))
+    pairs = scratch.cut(pairs.distinct(), "pairs")
     present = lowered.join(pairs.select("id").distinct(), "id", "left_semi").mapInArrow(
         document_sets(sorted({n for n, _ in classes}) or [words]), "id bigint, length int, present array<bigint>")
-    lists = F.broadcast(sets) if count <= BROADCAST_ROWS else sets
+    lists = F.broadcast(sets) if small else sets
     checked = pairs.join(lists, "item").join(present, ["id", "length"]).select(
         "id", "item", F.size("shingles").cast("bigint").alias("size"),
         F.size(F.array_intersect("present", "shingles")).cast("bigint").alias("shared"))
