@@ -85,7 +85,8 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return remove_repeats(docs, Scratch(spark, "op7")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(docs, Scratch(spark, "op7"), levels=True).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256", "longest_level")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Word passages that repeat across documents, by one doubling.
+"""Word passages that repeat across documents, by levels of doubled length.
 
 Windows of half the wanted length that occur in two documents are extended to the wanted length; a window
-can only repeat if both of its halves do.
+can only repeat if both of its halves do. What repeats there is extended again and again, until nothing does.
 
 * The first level is half the wanted length. Of each stretch of windows that a wanted window can
   contain, only the one with the smallest hash is looked at. Two documents that share a wanted
   window choose the same one in it, so nothing is lost, and few rows are shuffled.
 * At the wanted length, every window around a repeated first-level window is a candidate, named by the
   hashes of its two halves. Each is compared with the smallest document id that has it.
-* There the doubling stops: what is removed depends on windows of the wanted length only, and a longer
-  passage is the union of its windows.
+* What is removed depends on windows of the wanted length only. Longer levels (``longer_levels``) tell how long
+  the repeated passages are. Each looks at documents that hold a repeated window of the level below, there at
+  windows that hold one, and of those at the one with the smallest hash in every stretch of a quarter of its
+  length. It ends when no window repeats.
 
 Exact copies are judged through the one with the smallest id, before any window is made.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventwarden.llm.scratch import Scratch, in_parts
-from eventwarden.llm.words import byte_class, run_hashes, words_of
+from eventwarden.llm.words import byte_class, mixed, run_hashes, words_of
 
 
 def chosen(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -114,8 +116,53 @@ def candidate_windows(half: int, wanted: int):
     return task
 
 
+def longer_windows(length: int):
+    """Arrow task over (id, tag, text, alive): windows of ``length`` words around repeated ones of half of it.
+
+    ``alive`` has the places of the repeated ones. Of every quarter of a length of neighbouring windows, only the
+    one with the smallest hash is given, so documents that share 5/4 of ``length`` words give the same one.
+    """
+    half = length // 2
+    count = length // 4 + 1
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            tags = batch.column("tag").to_numpy()
+            lists = batch.column("alive")
+            limits, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for found in words_of(batch.column("text")):
+                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+                spots = [np.zeros(0, np.int32)]
+                for row, words in _rows(found):
+                    at = found.rows.start + row
+                    if len(words) < length:
+                        continue
+                    runs = run_hashes(words, half)
+                    heads, tails = runs[:-half], runs[half:]
+                    places = np.unique(chosen(mixed(heads + np.uint64(3) * tails), count))
+                    known = np.sort(values[limits[at]:limits[at + 1]])
+                    held = np.searchsorted(known, places + half, "right") > np.searchsorted(known, places)
+                    places = places[held]
+                    out[0].append(heads[places].view(np.int64))
+                    out[1].append(tails[places].view(np.int64))
+                    out[2].append(np.full(len(places), ids[at], dtype=np.int64))
+                    out[3].append(np.full(len(places), tags[at], dtype=np.int64))
+                    spots.append(places.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in out] + [pa.array(np.concatenate(spots))],
+                    ["head", "tail", "id", "tag", "place"])
+
+    return task
+
+
+def level_of(words: int, wanted: int) -> int:
+    """The longest of the lengths wanted, 2 * wanted, 4 * wanted, ... that ``words`` words hold, or 0."""
+    return 0 if words < wanted else wanted << (words // wanted).bit_length() - 1
+
+
 def cut_out(wanted: int):
-    """Arrow task over (id, text, places, whole, own_*): what is left of every text, and its digest."""
+    """Arrow task over (id, text, places, whole, level, own_*): what is left of every text, and its digest."""
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +170,7 @@ def cut_out(wanted: int):
             lists = batch.column("places")
             limits, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             whole = batch.column("whole").to_numpy(zero_copy_only=False)
+            levels = batch.column("level").to_pylist()
             total, gone, digest, left, spans = [], [], [], [], []
             for at, raw in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 # bytes.split() parts at 0x20 and 0x09 to 0x0D, which are the blanks of a word.
@@ -130,6 +178,8 @@ def cut_out(wanted: int):
                 own = values[limits[at]:limits[at + 1]]
                 all_gone = bool(whole[at]) and len(words) >= wanted
                 total.append(len(words))
+                if whole[at]:
+                    levels[at] = level_of(len(words), wanted)
                 if not all_gone and not len(own):
                     gone.append(0)
                     spans.append([])
@@ -148,8 +198,9 @@ def cut_out(wanted: int):
             own_names = [c for c in batch.schema.names if c.startswith("own_")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()),
-                 pa.array(left, pa.string()), pa.array(spans, spans_type)] + [batch.column(c) for c in own_names],
-                ["id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"] + own_names)
+                 pa.array(left, pa.string()), pa.array(spans, spans_type), pa.array(levels, pa.int64())]
+                + [batch.column(c) for c in own_names],
+                ["id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans", "level"] + own_names)
 
     return task
 
@@ -167,9 +218,10 @@ def _without(raw: bytes, edges: np.ndarray) -> str:
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, wanted: int) -> DataFrame:
-    """(id, tag, places): where windows of ``wanted`` words begin whose sequence a smaller id has too.
+    """(id, tag, places, alive): where windows of ``wanted`` words begin whose sequence another id has too.
 
-    ``docs`` has (id, tag, text); a text that repeats whole should come once.
+    ``alive`` has all of them, ``places`` those which a smaller id has. ``docs`` has (id, tag, text); a text
+    that repeats whole should come once.
     """
     half = wanted // 2
     first = docs.select("id", "text").mapInArrow(window_choice(half, wanted), "key bigint, id bigint")
@@ -184,16 +236,49 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, wanted: int) -> DataFram
     # Written, so that the join below sees two plain tables and a very common passage can be split.
     lows = scratch.cut(found.groupBy("head", "tail").agg(
         F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), "lows")
-    hits = found.join(lows, ["head", "tail"]).where("id > low")
-    places = scratch.cut(hits.groupBy("id", "tag").agg(F.collect_set("place").alias("places")), "places")
+    places = scratch.cut(_by_text(found.join(lows, ["head", "tail"])), "places")
     scratch.drop(found, lows)
     return places
 
 
+def _by_text(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("id", "tag").agg(
+        F.collect_set(F.when(F.col("id") > F.col("low"), F.col("place"))).alias("places"),
+        F.collect_set("place").alias("alive"))
+
+
+def longer_levels(docs: DataFrame, places: DataFrame, scratch: Scratch, wanted: int) -> DataFrame:
+    """(id, tag, level): the longest window, of those looked at, whose sequence a smaller id has too.
+
+    ``places`` are the ``repeated_windows`` of ``docs``. Lengths are ``wanted`` doubled until no window repeats, so
+    the number of levels follows the longest repeated passage. A level never exceeds the longest passage that a
+    smaller id shares, and a shared passage of 5/4 of a length and more reaches that level.
+    """
+    found, length = [], wanted
+    while True:
+        found.append(places.where("size(places) > 0").select("id", "tag", F.lit(length).cast("bigint").alias("level")))
+        length *= 2
+        longer = docs.join(places.select("id", "tag", "alive"), ["id", "tag"]).mapInArrow(
+            longer_windows(length), "head bigint, tail bigint, id bigint, tag bigint, place int")
+        longer = scratch.cut(longer, "longer")
+        lows = scratch.cut(longer.groupBy("head", "tail").agg(
+            F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), "lows")
+        places = scratch.cut(_by_text(longer.join(lows, ["head", "tail"])), "alive")
+        scratch.drop(longer, lows)
+        if places.isEmpty():
+            break
+    levels = found[0]
+    for more in found[1:]:
+        levels = levels.unionByName(more)
+    return levels.groupBy("id", "tag").agg(F.max("level").alias("level"))
+
+
 def remove_repeats(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text",
-                   wanted: int = 50) -> DataFrame:
+                   wanted: int = 50, levels: bool = False) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256, kept_text and spans of removed words.
 
+    With ``levels`` also longest_level: how long a repeated passage is, as ``longer_levels`` tells; 0 without one.
+
     A word goes if a window of ``wanted`` words that covers it also starts in a row with a smaller
     id. Null and empty texts have no words. Rows with a null id stay whole and make no other row lose
     words. Rows that share an id are windows of one document, so neither loses words to the other.
@@ -210,16 +295,22 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
     alone = rows.select("id", "tag", "text").join(marked.where("id = rep"), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
     alone = scratch.cut(alone, "alone")
     places = repeated_windows(alone, scratch, wanted)
-    scratch.drop(alone)
     none = F.expr("cast(array() as array<int>)")
-    edits = places.withColumn("whole", F.lit(False)).unionByName(
-        marked.where("id > rep").select("id", "tag", none.alias("places"), F.lit(True).alias("whole")))
+    cuts = places.where("size(places) > 0").select("id", "tag", "places")
+    if levels:
+        cuts = cuts.join(scratch.cut(longer_levels(alone, places, scratch, wanted), "levels"), ["id", "tag"], "left")
+    else:
+        cuts = cuts.withColumn("level", F.lit(0).cast("bigint"))
+    scratch.drop(alone)
+    edits = cuts.withColumn("whole", F.lit(False)).unionByName(marked.where("id > rep").select(
+        "id", "tag", none.alias("places"), F.lit(0).cast("bigint").alias("level"), F.lit(True).alias("whole")))
     rows = rows.join(edits, ["id", "tag"], "left").select(
         "id", "text", F.coalesce("places", none).alias("places"), F.coalesce("whole", F.lit(False)).alias("whole"),
-        *[f"`own_{c}`" for c in own])
+        F.coalesce("level", F.lit(0)).cast("bigint").alias("level"), *[f"`own_{c}`" for c in own])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     shape = ("id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, "
-             "spans array<struct<first:int,last:int>>" + "".join(f", `own_{c}` {kinds[f'own_{c}']}" for c in own))
+             "spans array<struct<first:int,last:int>>, level bigint" + "".join(f", `own_{c}` {kinds[f'own_{c}']}" for c in own))
     done = rows.mapInArrow(cut_out(wanted), shape)
     return done.select(F.col("id").alias(id), *[F.col(f"`own_{c}`").alias(c) for c in own],
-                       "n_words", "n_removed", "kept_sha256", "kept_text", "spans")
+                       "n_words", "n_removed", "kept_sha256", "kept_text", "spans",
+                       *[F.col("level").alias("longest_level")] * levels)

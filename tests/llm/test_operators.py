@@ -108,10 +108,39 @@ def test_repeats(spark, docs, empty):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         expected.append((str(i), len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows) == sorted(expected)
-    assert all(words(r.kept_text) == words(r.kept_text) and len(words(r.kept_text)) == r.n_words - r.n_removed for r in rows)
+    assert all(hashlib.sha256(" ".join(words(r.kept_text)).encode()).hexdigest() == r.kept_sha256 for r in rows)
+    assert remove_repeats(empty, Scratch(spark, "t"), levels=True).count() == 0
     assert remove_repeats(empty, Scratch(spark, "t")).count() == 0
 
 
+def longest_shared(own, others):
+    """The most words that stand in a row in ``own`` and in one of ``others``."""
+    best = 0
+    for other in others:
+        row = [0] * (len(other) + 1)
+        for x in own:
+            row = [0] + [row[k] + 1 if x == y else 0 for k, y in enumerate(other)]
+            best = max(best, max(row))
+    return best
+
+
+def test_levels_of_repeats(spark):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(900)]
+    rows = [(0, base)]
+    for n, size in enumerate((49, 50, 62, 99, 100, 125, 130, 199, 250, 260, 399, 500, 640, 900), 1):
+        at = rnd.randrange(901 - size)
+        rows.append((n, [f"x{n}a{k}" for k in range(30)] + base[at:at + size] + [f"y{n}b{k}" for k in range(rnd.randrange(40))]))
+    rows += [(50, base[:450]), (51, base[:450]), (52, [])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    out = {r.doc_id: r.longest_level for r in remove_repeats(docs, Scratch(spark, "t"), levels=True).collect()}
+    for i, own in rows:
+        longest = longest_shared(own, [w for j, w in rows if j < i])
+        sure = max([0] + [n for n in (50, 100, 200, 400, 800) if (n == 50 and longest >= 50) or 5 * n <= 4 * longest])
+        assert sure <= out[i] <= longest, (i, longest, out[i])
+    assert out[51] == 400
+
+
 def test_token_files(spark, docs, empty):
     rows = write_tokens(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), Scratch(spark, "t"), WORDS, 2, 49408).documents(with_ids=True).collect()
     from tokenizers import Tokenizer
@@ -226,6 +255,30 @@ def test_items_in_documents(spark, docs, empty):
     assert contaminated(docs, items.where("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_scattered_items(spark):
+    rnd = random.Random(9)
+    item_words = [[f"i{n}w{k}" for k in range(size)] for n, size in enumerate((6, 9, 14, 30, 65, 120))]
+    rows, held = [], set()
+    for n in range(120):
+        at = n % len(item_words)
+        own = item_words[at]
+        shingles = [own[k:k + 5] for k in range(len(own) - 4)]
+        share = rnd.choice((0.5, 0.75, 0.8, 0.9, 1.0))
+        taken = rnd.sample(shingles, round(share * len(shingles)))
+        # A shingle here and there in a long text; a common one in all of them.
+        text = [f"f{rnd.randrange(10**6)}" for _ in range(400)] + shingles[0]
+        for piece in taken:
+            text += [f"f{rnd.randrange(10**6)}" for _ in range(rnd.randrange(60, 90))] + piece
+        have = {tuple(text[k:k + 5]) for k in range(len(text) - 4)}
+        held |= {(n, i) for i, w in enumerate(item_words)
+                 if 100 * len(have & {tuple(w[k:k + 5]) for k in range(len(w) - 4)}) >= 80 * (len(w) - 4)}
+        rows.append((n, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(item_words)], "item_id bigint, text string")
+    assert len(held) > 40
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, items, Scratch(spark, "t")).collect()} == held
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").union(spark.sql("select 500L, 501L"))
     got = {r.node: r.component for r in components(edges, Scratch(spark, "t")).collect()}
