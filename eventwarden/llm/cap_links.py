@@ -301,14 +301,15 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, id: str = "vec_id", vecto
     named = scratch.cut(rows.where("id is not null").mapInArrow(
         filter_lists(plans), "id bigint, print binary, filters array<bigint>, vector array<double>"), "filters")
     usable = named.where("print is not null")
-    classes = usable.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    # Aggregates are written before they are joined, so that a print or filter of very many rows can be split.
+    classes = scratch.cut(usable.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
     members = scratch.cut(usable.select("id", "print").join(classes, "print").select("id", "rep", "weight"), "members")
     reps = scratch.cut(
         usable.join(classes, "print").where("id = rep").dropDuplicates(["print"])
         .select("id", "filters", "weight", "vector"), "reps")
 
     entries = reps.select("id", F.explode("filters").alias("filter"))
-    busy = entries.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1")
+    busy = scratch.cut(entries.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1"), "busy")
     inside = entries.join(busy.select("filter", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")), "filter")
     inside = inside.withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
     spread = inside.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
@@ -318,8 +319,9 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, id: str = "vec_id", vecto
         bucket_links(cosine), "id bigint, links bigint, low bigint"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("low").alias("a"), F.col("id").alias("b")), scratch)
-    nodes = members.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(
-        parts.withColumnRenamed("node", "rep"), "rep", "left").select(
+    placed = links.join(parts.withColumnRenamed("node", "id"), "id", "full").withColumnRenamed("id", "rep")
+    placed = scratch.cut(placed, "placed")
+    nodes = members.join(placed, "rep", "left").select(
         "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     nodes = nodes.distinct().groupBy("id").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
     return vectors.select(F.col(id).cast("bigint").alias("id")).join(nodes, "id", "left").select(

@@ -22,16 +22,18 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         if mark[0] == 0:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, as a join with an aggregate could not split the centre of a large star.
+        low = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.cut(large.where("u <> v").distinct(), "large")
+        scratch.drop(low)
+        low = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         # A child goes below the smallest parent; so do its other parents.
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         then = scratch.cut(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         fresh = _mark(then)
-        scratch.drop(now)
+        scratch.drop(now, large, low)
         now = then
         if fresh == mark:
             break

@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
     banded = scratch.cut(known.select("id", F.explode("bands").alias("key")), "bands")
 
     # Only buckets of several members go on; every member against the smallest it shares a bucket with.
-    heads = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")
+    # Written, as a join with an aggregate could not split a key that very many texts share.
+    heads = scratch.cut(banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last"), "heads")
     shared = scratch.cut(banded.join(heads.select("key", "a"), "key"), "shared")
     scratch.drop(banded)
     stars = shared.where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
@@ -181,8 +182,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
         shared.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
         .select("key", "id", F.coalesce("component", "id").alias("component")), "parts")
     scratch.drop(shared)
-    open_buckets = parts.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    open_buckets = scratch.cut(parts.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high"), "open")
     open_rows = parts.join(open_buckets.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key")
     open_rows = open_rows.join(sketches, "id").withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
     spread = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(

@@ -107,3 +107,44 @@ SELECT conv_id, count(*) AS n_turns,
       ELSE 22 + length(role) + len(regexp_extract_all(role, '{_MARK}')) END) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+#: Components: every node takes the smallest id among itself and its neighbours until none changes.
+_COMPONENTS = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+walk(node, low) USING KEY (node) AS (
+  SELECT id, id FROM nodes
+  UNION
+  SELECT w.node, min(o.low) AS low FROM recurring.walk w JOIN both_ways ON both_ways.a = w.node
+    JOIN recurring.walk o ON o.node = both_ways.b GROUP BY w.node, w.low HAVING min(o.low) < w.low
+)"""
+
+ORACLES["op8_minhash_near_dedup"] = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM docs, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM grams x JOIN grams y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * same >= 85 * (p.n + q.n - same)
+), nodes AS (SELECT doc_id AS id FROM documents),
+{_COMPONENTS}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, low AS component_id, doc_id = low AS kept
+FROM documents JOIN walk ON node = doc_id LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLES["op10_embedding_near_dedup"] = rf"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+), nodes AS (SELECT vec_id AS id FROM embeddings),
+{_COMPONENTS}, counts AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, low AS component_id, vec_id = low AS kept
+FROM embeddings JOIN walk ON node = vec_id LEFT JOIN counts ON a = vec_id
+"""

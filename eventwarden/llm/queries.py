@@ -59,7 +59,7 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
-    return judge(_table(spark, folder, "pages"), rules)
+    return judge(_table(spark, folder, "pages"), rules, Scratch(spark, "op3"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventwarden.llm.scratch import Scratch
+
 #: Bits of a block, as words of 64; bits set per key; bits of filter per listed key.
 BLOCK_WORDS = 8
 BITS_PER_KEY = 6
@@ -65,7 +67,8 @@ def passed(keys: DataFrame, bloom: DataFrame, blocks: int, small: bool) -> DataF
     return joined.select(*keys.columns)
 
 
-def judge(pages: DataFrame, rules: DataFrame, id: str = "page_id", url: str = "url", other: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, scratch: Scratch, id: str = "page_id", url: str = "url",
+          other: str = "allow") -> DataFrame:
     """(id, host, path, rule, verdict), one row per row of ``pages``.
 
     ``rules`` has (host, path, verdict). A rule fits its host and all subdomains if the path starts with its
@@ -85,7 +88,9 @@ def judge(pages: DataFrame, rules: DataFrame, id: str = "page_id", url: str = "u
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
-    urls = seen.where("host <> '' or path <> ''").select("host", "path").distinct()
+    # A url becomes several keys, so the distinct ones are dealt evenly before.
+    width = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = seen.where("host <> '' or path <> ''").select("host", "path").distinct().repartition(width)
     keys = urls.select("host", "path", F.explode(suffixes).alias("suffix")).select(
         "host", "path", "suffix", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("length")).select(
         "host", "path", F.concat_ws("\u0001", "suffix", F.expr("left(path, length)")).alias("key"))
@@ -96,6 +101,8 @@ def judge(pages: DataFrame, rules: DataFrame, id: str = "page_id", url: str = "u
     exact = listed.alias("r")
     found = hits.alias("h").join(F.broadcast(exact) if small else exact, F.col("h.key") == F.col("r.key")).groupBy(
         F.col("h.host").alias("host"), F.col("h.path").alias("path")).agg(F.max(entry).alias("best"))
+    # Written, as a join with an aggregate could not split a url that very many pages share.
+    found = scratch.cut(found, "found")
     return seen.join(found, ["host", "path"], "left").select(
         F.col("id").alias(id), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(other)).alias("verdict"))

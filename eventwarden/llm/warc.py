@@ -5,9 +5,10 @@ that name it. Every task writes archives of its own under fresh names and report
 
 Reading: archives are read in stretches, many per file. A task reports every place in its stretch that looks
 like the head of a record, with the place where that record says it ends. A payload may hold such heads as
-well. Records are what a chain from the start of the file reaches: pointer jumping doubles the reach
-with every round, so a file of n records needs about log2(n) rounds, and heads inside payloads, which
-nothing points to, fall away. Only then payloads are read.
+well. Records are what a chain from the start of the file reaches. Inside a stretch the task follows the
+chains of all its candidates; from stretch to stretch pointer jumping doubles the reach with every round, so a file
+of n stretches needs about log2(n) rounds. Heads inside payloads, which nothing points to, fall away. Only then
+payloads are read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BROADCAST_ROWS = 200_000
 HEAD = 4096
 MANIFEST = "file string, size bigint, n_records bigint"
 CANDIDATE = ("file string, place bigint, next bigint, block bigint, block_length bigint, record_type string, "
-             "page_id bigint, digest string, refers_to bigint")
+             "page_id bigint, digest string, refers_to bigint, begin bigint, leaves bigint, enter bigint, last bigint")
 
 
 def payload_digest(payload: bytes) -> str:
@@ -126,7 +127,37 @@ def _number(value: str | None) -> int | None:
 
 
 def candidates(folder: str):
-    """Arrow task over (file, size, begin, end): every place in the stretch that looks like a record head."""
+    """Arrow task over (file, size, begin, end): every place in the stretch that looks like a record head.
+
+    Within a stretch the task follows the chains itself: ``leaves`` is the first place behind the stretch to which a
+    head leads, null if its chain breaks. Heads form trees, in which every head is below its successor; ``enter`` is
+    a head's number in an order where the heads that lead to it come after it, up to ``last``.
+    """
+
+    def follow(rows: list[dict], end: int) -> None:
+        at = {row["place"]: row for row in rows}
+        below: dict[int, list[dict]] = {}
+        roots = []
+        for row in reversed(rows):
+            after = at.get(row["next"])
+            row["leaves"] = after["leaves"] if after else row["next"] if row["next"] >= end else None
+            if after:
+                below.setdefault(row["next"], []).append(row)
+            else:
+                roots.append(row)
+        # Successors lie behind, so sizes add up in order of place.
+        sizes = {row["place"]: 1 for row in rows}
+        for row in rows:
+            if row["next"] in at:
+                sizes[row["next"]] += sizes[row["place"]]
+        number = 0
+        for root in roots:
+            root["enter"], number = number, number + sizes[root["place"]]
+        for row in reversed(rows):
+            row["last"] = row["enter"] + sizes[row["place"]] - 1
+            spot = row["enter"] + 1
+            for child in below.get(row["place"], ()):
+                child["enter"], spot = spot, spot + sizes[child["place"]]
 
     def heads(source, size: int, begin: int, end: int) -> Iterator[dict]:
         source.seek(begin)
@@ -160,32 +191,38 @@ def candidates(folder: str):
         for batch in batches:
             for part in batch.to_pylist():
                 with store.open_input_file(f"{root}/{part['file']}") as source:
-                    found = [{"file": part["file"], **x} for x in heads(source, part["size"], part["begin"], part["end"])]
+                    found = [{"file": part["file"], "begin": part["begin"], **x}
+                             for x in heads(source, part["size"], part["begin"], part["end"])]
+                follow(found, part["end"])
                 yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in found], schema=schema)
 
     return task
 
 
 def reachable(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(file, place) of the candidates that the chain from place 0 of their file reaches.
+    """The candidates that the chain from place 0 of their file reaches.
 
-    After round k, ``jumps`` leads 2**k records ahead and ``reached`` holds the first 2**k records of every
-    chain. All rows of a file are spread by their place, so no task holds a file.
+    Chains inside a stretch are known, so only heads at which a chain comes in from another stretch take part:
+    after round k, ``jumps`` leads 2**k stretches ahead and ``reached`` holds the first 2**k entries of every chain. A
+    chain only goes forward, so it enters a stretch once, and there it takes the heads that this entry is below.
     """
-    jumps = scratch.cut(found.select("file", "place", "next"), "jumps")
-    reached = scratch.cut(jumps.where("place = 0").select("file", "place"), "reached")
+    doors = found.where("leaves is not null").select("file", F.col("leaves").alias("place")).union(
+        found.where("place = 0").select("file", "place")).distinct()
+    doors = scratch.cut(found.join(doors, ["file", "place"], "left_semi").select("file", "place", "leaves"), "doors")
+    jumps = doors.where("leaves is not null")
+    reached = scratch.cut(doors.where("place = 0").select("file", "place"), "reached")
     while True:
-        ahead = reached.join(jumps, ["file", "place"]).select("file", F.col("next").alias("place"))
-        ahead = ahead.join(found.select("file", "place"), ["file", "place"], "left_semi")
-        more = scratch.cut(ahead, "reached")
+        ahead = reached.join(jumps, ["file", "place"]).select("file", F.col("leaves").alias("place"))
+        more = scratch.cut(ahead.join(doors.select("file", "place"), ["file", "place"], "left_semi"), "more")
         if more.isEmpty():
-            return reached
+            break
         reached = scratch.cut(reached.unionByName(more), "reached")
-        then = jumps.alias("a").join(jumps.alias("b"), F.expr("a.file = b.file and a.next = b.place")).select(
-            F.col("a.file").alias("file"), F.col("a.place").alias("place"), F.col("b.next").alias("next"))
-        fresh = scratch.cut(then, "jumps")
-        scratch.drop(jumps, more)
-        jumps = fresh
+        then = jumps.alias("a").join(jumps.alias("b"), F.expr("a.file = b.file and a.leaves = b.place")).select(
+            F.col("a.file").alias("file"), F.col("a.place").alias("place"), F.col("b.leaves").alias("leaves"))
+        jumps = scratch.cut(then, "jumps")
+    entries = scratch.cut(found.join(reached, ["file", "place"], "left_semi").select(
+        "file", "begin", F.col("enter").alias("entry")), "entries")
+    return found.join(entries, ["file", "begin"]).where("entry between enter and last").drop("entry")
 
 
 def read_payloads(folder: str, with_payload: bool):
@@ -232,11 +269,9 @@ def read_warc(folder: str, files: DataFrame, scratch: Scratch, stretch: int = ST
     parts = parts.withColumn("end", F.least(F.col("begin") + stretch, F.col("size")))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.cut(parts.repartition(width, "file", "begin").mapInArrow(candidates(folder), CANDIDATE), "candidates")
-    chain = reachable(found, scratch)
-    records = found.join(chain, ["file", "place"], "left_semi")
+    records = reachable(found, scratch)
     # Neighbours in a file go to one task; a file is cut into stretches, so none is a task's alone.
-    ordered = records.withColumn("stretch", F.floor(F.col("place") / stretch)).repartition(
-        width, "file", "stretch").sortWithinPartitions("file", "place")
+    ordered = records.repartition(width, "file", "begin").sortWithinPartitions("file", "place")
     kept = ordered.select("file", "block", "block_length", "record_type", "page_id", "digest", "refers_to")
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
     shape += ", payload_bytes bigint, seen_digest string" + (", payload binary" if with_payload else "")
@@ -244,8 +279,9 @@ def read_warc(folder: str, files: DataFrame, scratch: Scratch, stretch: int = ST
     whole = read.where("record_type <> 'revisit'")
     more = ["payload"] if with_payload else []
     plain = whole.select("page_id", "payload_bytes", F.col("seen_digest").alias("payload_digest"), "record_type", "refers_to", *more)
-    told = whole.where("page_id is not null").select(
-        F.col("page_id").alias("refers_to"), F.col("seen_digest").alias("digest"), "payload_bytes").distinct()
+    # Written, as a join with an aggregate could not split a payload that very many records revisit.
+    told = scratch.cut(whole.where("page_id is not null").select(
+        F.col("page_id").alias("refers_to"), F.col("seen_digest").alias("digest"), "payload_bytes").distinct(), "told")
     again = read.where("record_type = 'revisit'").select("page_id", "digest", "record_type", "refers_to").join(
         told, ["refers_to", "digest"], "left").select(
         "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to",

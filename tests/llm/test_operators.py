@@ -187,14 +187,14 @@ def test_urls(spark):
     pages = spark.createDataFrame([(n % 9, u, "h") for n, u in enumerate(urls)], "page_id bigint, url string, host string")
     rules = spark.sql("SELECT * FROM VALUES ('com','/','allow'),('example.com','/en/','block'),('www.example.com','/en/','allow'),"
                       "('net','/es/','block'),('net','/fr/','block') AS r(host, path, verdict)")
-    got = sorted((r.host, r.path, r.rule or "", r.verdict) for r in judge(pages, rules).collect())
+    got = sorted((r.host, r.path, r.rule or "", r.verdict) for r in judge(pages, rules, Scratch(spark, "t")).collect())
     assert got == sorted([
         ("www.example.com", "/en/1", "www.example.com/en/", "allow"), ("a.example.com", "/en/", "example.com/en/", "block"),
         ("example.com", "", "", "allow"), ("", "", "", "allow"), ("", "", "", "allow"), ("net", "/es/", "net/es/", "block"),
         ("anet", "/es/", "", "allow"), ("q.net", "/fr", "", "allow"), ("q.net", "/fr/", "net/fr/", "block"),
         ("com:80", "/", "", "allow"), ("com", "/", "com/", "allow")])
-    assert judge(pages, rules.where("false")).where("rule is not null").count() == 0
-    assert judge(pages.where("false"), rules).count() == 0
+    assert judge(pages, rules.where("false"), Scratch(spark, "t")).where("rule is not null").count() == 0
+    assert judge(pages.where("false"), rules, Scratch(spark, "t")).count() == 0
 
 
 def test_warc_rejects_heads_in_payloads(spark):
