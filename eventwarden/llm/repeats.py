@@ -9,8 +9,8 @@ can only repeat if both of its halves do. What repeats there is extended again a
 * At the wanted length, every window around a repeated first-level window is a candidate, named by the
   hashes of its two halves. Each is compared with the smallest document id that has it.
 * What is removed depends on windows of the wanted length only. Longer levels (``longer_levels``) tell how long
-  the repeated passages are. Each looks at documents that hold a repeated window of the level below, there at
-  windows that hold one, and of those at the one with the smallest hash in every stretch of a quarter of its
+  the repeated passages are. Each takes windows all of whose parts of the wanted length are candidates and which hold a
+  repeated window of the level below, of them the one with the smallest hash in every stretch of a quarter of its
   length. It ends when no window repeats.
 
 Exact copies are judged through the one with the smallest id, before any window is made.
@@ -81,8 +81,11 @@ def window_choice(half: int, wanted: int):
     return task
 
 
-def candidate_windows(half: int, wanted: int):
-    """Arrow task over (id, tag, text, keys): windows whose chosen half is among ``keys``, with their places."""
+def candidate_windows(half: int, wanted: int, levels: bool):
+    """Arrow task over (id, tag, text, keys): windows whose chosen half is among ``keys``, with their places.
+
+    With ``levels`` also the ``longer_windows`` around them.
+    """
     count = wanted - half + 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +97,7 @@ def candidate_windows(half: int, wanted: int):
             values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for found in words_of(batch.column("text")):
                 out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
-                spots = [np.zeros(0, np.int32)]
+                spots, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
                 for row, words in _rows(found):
                     at = found.rows.start + row
                     known = np.sort(values[limits[at]:limits[at + 1]])
@@ -103,57 +106,43 @@ def candidate_windows(half: int, wanted: int):
                         continue
                     near = np.minimum(np.searchsorted(known, runs), len(known) - 1)
                     hit = known[near] == runs
-                    places = np.flatnonzero(hit[chosen(runs, count)])
-                    out[0].append(runs[places].view(np.int64))
-                    out[1].append(runs[places + wanted - half].view(np.int64))
-                    out[2].append(np.full(len(places), ids[at], dtype=np.int64))
-                    out[3].append(np.full(len(places), tags[at], dtype=np.int64))
-                    spots.append(places.astype(np.int32))
+                    candidate = hit[chosen(runs, count)]
+                    places = np.flatnonzero(candidate)
+                    given = [(wanted, places, runs[places], runs[places + wanted - half])]
+                    for length, places, heads, tails in given + list(longer_windows(words, candidate, wanted) if levels else ()):
+                        out[0].append(heads.view(np.int64))
+                        out[1].append(tails.view(np.int64))
+                        out[2].append(np.full(len(places), ids[at], dtype=np.int64))
+                        out[3].append(np.full(len(places), tags[at], dtype=np.int64))
+                        spots.append(places.astype(np.int32))
+                        lengths.append(np.full(len(places), length, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in out] + [pa.array(np.concatenate(spots))],
-                    ["head", "tail", "id", "tag", "place"])
+                    [pa.array(np.concatenate(x)) for x in (*out, spots, lengths)],
+                    ["head", "tail", "id", "tag", "place", "length"])
 
     return task
 
 
-def longer_windows(length: int):
-    """Arrow task over (id, tag, text, alive): windows of ``length`` words around repeated ones of half of it.
+def longer_windows(words: np.ndarray, candidate: np.ndarray, wanted: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, places, head and tail hashes) of windows of 2 * wanted, 4 * wanted, ... words.
 
-    ``alive`` has the places of the repeated ones. Of every quarter of a length of neighbouring windows, only the
-    one with the smallest hash is given, so documents that share 5/4 of ``length`` words give the same one.
+    Only windows whose parts of ``wanted`` words are all candidates. Of a quarter of a length of neighbouring windows only
+    the one with the smallest hash is given, so documents that share 5/4 of a length give the same one.
     """
-    half = length // 2
-    count = length // 4 + 1
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            tags = batch.column("tag").to_numpy()
-            lists = batch.column("alive")
-            limits, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for found in words_of(batch.column("text")):
-                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
-                spots = [np.zeros(0, np.int32)]
-                for row, words in _rows(found):
-                    at = found.rows.start + row
-                    if len(words) < length:
-                        continue
-                    runs = run_hashes(words, half)
-                    heads, tails = runs[:-half], runs[half:]
-                    places = np.unique(chosen(mixed(heads + np.uint64(3) * tails), count))
-                    known = np.sort(values[limits[at]:limits[at + 1]])
-                    held = np.searchsorted(known, places + half, "right") > np.searchsorted(known, places)
-                    places = places[held]
-                    out[0].append(heads[places].view(np.int64))
-                    out[1].append(tails[places].view(np.int64))
-                    out[2].append(np.full(len(places), ids[at], dtype=np.int64))
-                    out[3].append(np.full(len(places), tags[at], dtype=np.int64))
-                    spots.append(places.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in out] + [pa.array(np.concatenate(spots))],
-                    ["head", "tail", "id", "tag", "place"])
-
-    return task
+    sums = np.concatenate([[0], np.cumsum(candidate)])
+    length = 2 * wanted
+    while len(words) >= length:
+        parts = length - wanted + 1
+        whole = sums[parts:] - sums[:-parts] == parts
+        if not whole.any():
+            return
+        half = length // 2
+        runs = run_hashes(words, half)
+        heads, tails = runs[:-half], runs[half:]
+        places = np.unique(chosen(mixed(heads + np.uint64(3) * tails), length // 4 + 1))
+        places = places[whole[places]]
+        yield length, places, heads[places], tails[places]
+        length *= 2
 
 
 def level_of(words: int, wanted: int) -> int:
@@ -217,11 +206,11 @@ def _without(raw: bytes, edges: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, wanted: int) -> DataFrame:
-    """(id, tag, places, alive): where windows of ``wanted`` words begin whose sequence another id has too.
+def repeated_windows(docs: DataFrame, scratch: Scratch, wanted: int, levels: bool = False) -> DataFrame:
+    """(id, tag, places, level): where windows of ``wanted`` words begin whose sequence a smaller id has too.
 
-    ``alive`` has all of them, ``places`` those which a smaller id has. ``docs`` has (id, tag, text); a text
-    that repeats whole should come once.
+    ``docs`` has (id, tag, text); a text that repeats whole should come once. The level is that of
+    ``longer_levels``, at least ``wanted``, and 0 without ``levels``.
     """
     half = wanted // 2
     first = docs.select("id", "text").mapInArrow(window_choice(half, wanted), "key bigint, id bigint")
@@ -230,47 +219,53 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, wanted: int) -> DataFram
         F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "seen")
     keys = first.join(seen, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
     found = docs.join(keys, "id").select("id", "tag", "text", "keys").mapInArrow(
-        candidate_windows(half, wanted), "head bigint, tail bigint, id bigint, tag bigint, place int")
+        candidate_windows(half, wanted, levels), "head bigint, tail bigint, id bigint, tag bigint, place int, length int")
     found = scratch.cut(found, "level")
     scratch.drop(first)
+    base = found.where(F.col("length") == wanted).drop("length")
     # Written, so that the join below sees two plain tables and a very common passage can be split.
-    lows = scratch.cut(found.groupBy("head", "tail").agg(
-        F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), "lows")
-    places = scratch.cut(_by_text(found.join(lows, ["head", "tail"])), "places")
+    lows = scratch.cut(_lowest(base), "lows")
+    hits = base.join(lows, ["head", "tail"]).where("id > low")
+    places = scratch.cut(hits.groupBy("id", "tag").agg(F.collect_set("place").alias("places")), "places")
+    longest = longer_levels(found, scratch, wanted) if levels else None
     scratch.drop(found, lows)
-    return places
+    if longest is None:
+        return places.withColumn("level", F.lit(0).cast("bigint"))
+    return places.join(longest, ["id", "tag"], "left").withColumn("level", F.coalesce("level", F.lit(wanted)).cast("bigint"))
 
 
-def _by_text(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("id", "tag").agg(
-        F.collect_set(F.when(F.col("id") > F.col("low"), F.col("place"))).alias("places"),
-        F.collect_set("place").alias("alive"))
+def _lowest(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("head", "tail").agg(
+        F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
 
 
-def longer_levels(docs: DataFrame, places: DataFrame, scratch: Scratch, wanted: int) -> DataFrame:
-    """(id, tag, level): the longest window, of those looked at, whose sequence a smaller id has too.
+def longer_levels(found: DataFrame, scratch: Scratch, wanted: int) -> DataFrame:
+    """(id, tag, level): the longest of the ``longer_windows`` in ``found`` whose sequence a smaller id has too.
 
-    ``places`` are the ``repeated_windows`` of ``docs``. Lengths are ``wanted`` doubled until no window repeats, so
-    the number of levels follows the longest repeated passage. A level never exceeds the longest passage that a
-    smaller id shares, and a shared passage of 5/4 of a length and more reaches that level.
+    Lengths are doubled until no window repeats, so the number of levels follows the longest repeated passage. A level
+    never exceeds the longest passage that a smaller id shares, and a shared passage of 5/4 of a length and more
+    reaches that length. No text is read again.
     """
-    found, length = [], wanted
+    longer = scratch.cut(found.where(F.col("length") > wanted), "longer")
+    alive, done, length = None, [], wanted
     while True:
-        found.append(places.where("size(places) > 0").select("id", "tag", F.lit(length).cast("bigint").alias("level")))
         length *= 2
-        longer = docs.join(places.select("id", "tag", "alive"), ["id", "tag"]).mapInArrow(
-            longer_windows(length), "head bigint, tail bigint, id bigint, tag bigint, place int")
-        longer = scratch.cut(longer, "longer")
-        lows = scratch.cut(longer.groupBy("head", "tail").agg(
-            F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), "lows")
-        places = scratch.cut(_by_text(longer.join(lows, ["head", "tail"])), "alive")
-        scratch.drop(longer, lows)
-        if places.isEmpty():
+        rows = longer.where(F.col("length") == length)
+        if alive is not None:
+            rows = rows.join(alive, ["id", "tag"]).where(
+                f"exists(alive, q -> q between place and place + {length // 2})").select(*longer.columns)
+        rows = scratch.cut(rows, "rows")
+        hits = rows.join(scratch.cut(_lowest(rows), "lows"), ["head", "tail"])
+        state = scratch.cut(hits.groupBy("id", "tag").agg(
+            F.collect_set("place").alias("alive"), F.max(F.col("id") > F.col("low")).alias("again")), "alive")
+        done.append(state.where("again").select("id", "tag", F.lit(length).alias("level")))
+        if state.isEmpty():
             break
-    levels = found[0]
-    for more in found[1:]:
+        alive = state.select("id", "tag", "alive")
+    levels = done[0]
+    for more in done[1:]:
         levels = levels.unionByName(more)
-    return levels.groupBy("id", "tag").agg(F.max("level").alias("level"))
+    return scratch.cut(levels.groupBy("id", "tag").agg(F.max("level").alias("level")), "levels")
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text",
@@ -294,14 +289,9 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
     marked = scratch.cut(named.select("id", "tag", "print").join(firsts, "print").select("id", "tag", "rep").distinct(), "marked")
     alone = rows.select("id", "tag", "text").join(marked.where("id = rep"), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
     alone = scratch.cut(alone, "alone")
-    places = repeated_windows(alone, scratch, wanted)
-    none = F.expr("cast(array() as array<int>)")
-    cuts = places.where("size(places) > 0").select("id", "tag", "places")
-    if levels:
-        cuts = cuts.join(scratch.cut(longer_levels(alone, places, scratch, wanted), "levels"), ["id", "tag"], "left")
-    else:
-        cuts = cuts.withColumn("level", F.lit(0).cast("bigint"))
+    cuts = repeated_windows(alone, scratch, wanted, levels)
     scratch.drop(alone)
+    none = F.expr("cast(array() as array<int>)")
     edits = cuts.withColumn("whole", F.lit(False)).unionByName(marked.where("id > rep").select(
         "id", "tag", none.alias("places"), F.lit(0).cast("bigint").alias("level"), F.lit(True).alias("whole")))
     rows = rows.join(edits, ["id", "tag"], "left").select(
