@@ -42,8 +42,13 @@ def blank_to_null(text: Column) -> Column:
 
 
 def slug(text: Column, default: str, joiner: str = "_", width: int = 96) -> Column:
-    """Lower-case words joined by ``joiner``."""
-    joined = F.regexp_replace(F.trim(text), "[^a-zA-Z0-9]+", joiner)
+    """Lower-case words joined by ``joiner``.
+
+    Of a long text only the beginning that holds ``width + 1`` letters and digits is joined; what comes after cannot
+    show among the first ``width`` characters. That beginning has any length, as what lies between words is not counted.
+    """
+    start = F.regexp_extract(text, f"^[^a-zA-Z0-9]*+((?:[a-zA-Z0-9][^a-zA-Z0-9]*+){{0,{width + 1}}})", 1)
+    joined = F.regexp_replace(start, "[^a-zA-Z0-9]+", joiner)
     bare = F.lower(F.regexp_replace(joined, f"^{joiner}+|{joiner}+$", ""))
     cut = F.substring(bare, 1, width)
     return F.when(F.coalesce(cut, F.lit("")) == "", F.lit(default)).otherwise(cut)
