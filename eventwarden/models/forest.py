@@ -160,19 +160,29 @@ def raw_score(spark: SparkSession, forest: Forest, columns: Sequence[str] = K.FE
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         features, thresholds, paths = shared.value
-        trees, inner = np.arange(features.shape[0]), features.shape[1]
+        inner = features.shape[1]
         for batch in batches:
-            values = np.column_stack([s.to_numpy(dtype=float) for s in batch])
-            total = np.zeros(len(values))
-            # Small chunks keep the (rows, trees) tables in cache.
-            for start in range(0, len(values), 2048):
-                part = values[start:start + 2048]
-                line = np.arange(len(part))[:, None]
-                place = np.zeros((len(part), len(trees)), dtype=np.int64)
-                for _ in range(depth):
-                    right = part[line, features[trees, place]] > thresholds[trees, place]
-                    place = 2 * place + 1 + right
-                total[start:start + 2048] = paths[trees, place - inner].mean(axis=1)
+            values = np.vstack([s.to_numpy(dtype=float) for s in batch])
+            total = np.zeros(values.shape[1])
+            # A tree at a time over plain arrays that stay in cache; in a chunk, a feature's values lie one after another.
+            for start in range(0, len(total), 8192):
+                part = np.ascontiguousarray(values[:, start:start + 8192])
+                flat, line = part.reshape(-1), np.arange(part.shape[1])
+                begins = features.astype(np.int64) * len(line)
+                found = np.empty((len(features), len(line)))
+                for tree in range(len(features)):
+                    begin, threshold = begins[tree], thresholds[tree]
+                    place = (part[features[tree, 0]] > threshold[0]) + np.int64(1)
+                    for _ in range(depth - 1):
+                        spot = begin.take(place)
+                        spot += line
+                        right = flat.take(spot) > threshold.take(place)
+                        place += place
+                        place += 1
+                        place += right
+                    place -= inner
+                    found[tree] = paths[tree].take(place)
+                total[start:start + 8192] = np.ascontiguousarray(found.T).mean(axis=1)
             yield pd.Series(-np.exp2(-total / scale))
 
     return score(*[F.col(c).cast("double") for c in columns])
