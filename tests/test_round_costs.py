@@ -69,3 +69,25 @@ def test_forest_walk_is_exact_and_cheaper(spark):
     values = got[list("abcd")].to_numpy(dtype=float)
     assert np.array_equal(got["s"].to_numpy(), _walk(forest, values))
     assert _seconds(lambda: rows.write.format("noop").mode("overwrite").save()) < _seconds(lambda: _walk(forest, values))
+
+
+def test_training_tasks_hold_bounded_vectors(spark, monkeypatch):
+    from eventwarden.models import sequence
+
+    seen = {}
+
+    class Learner:
+        def __init__(self, **settings):
+            pass
+
+        def fit(self, ready):
+            held = ready.groupBy(F.spark_partition_id()).count().collect()
+            seen.update(most=max(r["count"] for r in held), rows=sum(r["count"] for r in held))
+
+    monkeypatch.setattr(sequence, "MultilayerPerceptronClassifier", Learner)
+    monkeypatch.setattr(sequence, "TASK_BYTES", 8 * 20 * 2 * 100, raising=False)
+    train = spark.range(0, 3000, 1, 2).select(
+        F.expr("array_repeat(array(float(id), float(1)), 1 + int(id % 20))").alias("window"), (F.col("id") % 2).alias("target"))
+    _, means, _ = sequence.fit_sequence(train, 2)
+    assert seen["rows"] == 3000 and seen["most"] <= 110
+    assert means == sequence.step_scale(train, 2)[0]
