@@ -99,17 +99,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def security_rows(spark: SparkSession, folder: str) -> DataFrame:
+def security_rows(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """The ``det`` rows of ``EVENTS_CTE``; ``ts`` becomes an instant."""
+    events = table(spark, folder, "events") if events is None else events
     text = ("WITH base AS (" + EVENT_COLUMNS_SQL.format(events="{events}") + "), sec AS ("
             + SECURITY_COLUMNS_SQL + ") " + DETAIL_COLUMNS_SQL)
-    rows = spark.sql(text, events=table(spark, folder, "events"))
+    rows = spark.sql(text, events=events)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def raw_items(spark: SparkSession, folder: str) -> DataFrame:
     """The events as the JSON items their sources would send: ``(event_no, source_type, body)``."""
-    rows = spread(security_rows(spark, folder), "event_id")
+    # Narrow rows are spread; the columns that follow from them are worked out by all tasks.
+    rows = security_rows(spark, folder, spread(table(spark, folder, "events"), "event_id"))
     stamp = iso_text(F.col("ts"))
     audit = F.struct(
         F.concat(F.lit("a-"), F.col("event_id").cast("string")).alias("auditID"),

@@ -66,14 +66,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows of one task after ``spread``; a larger table gets more tasks, not longer ones.
+SPREAD_ROWS = 250_000
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core some rows of a scan that has fewer splits than cores.
+    """Give every core some rows of a scan that has fewer splits than cores, and no task very many.
 
-    For work that is heavy per row. A table of many files passes unchanged; the
-    frame must be a scan or a written copy, not the result of a shuffle.
+    For work that is heavy per row. Splits follow the bytes of a file, so narrow rows come many to a
+    split, and a file of one block fills one split only. A table of many small splits passes unchanged;
+    the frame must be a scan or a written copy, not the result of a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    wanted = max(cores, -(-df.count() // SPREAD_ROWS))
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
 
 
 def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:

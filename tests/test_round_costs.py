@@ -91,3 +91,23 @@ def test_training_tasks_hold_bounded_vectors(spark, monkeypatch):
     _, means, _ = sequence.fit_sequence(train, 2)
     assert seen["rows"] == 3000 and seen["most"] <= 110
     assert means == sequence.step_scale(train, 2)[0]
+
+
+def test_spread_makes_more_tasks_of_more_rows(spark, small, monkeypatch):
+    from eventwarden import adapter, session
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 50, raising=False)
+    whole = adapter.table(spark, small, "events")
+    rows = session.spread(whole, "event_id")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == whole.count() and max(sizes) < 100
+
+    spread_columns = []
+
+    def keep(df, key):
+        spread_columns.append(set(df.columns))
+        return session.spread(df, key)
+
+    monkeypatch.setattr(adapter, "spread", keep)
+    assert adapter.raw_items(spark, small).count() == whole.count()
+    assert spread_columns == [set(whole.columns)]
