@@ -144,7 +144,8 @@ def fit_forest(matrix: DataFrame, key: str = "event_id", columns: Sequence[str]
 
 def load_forest(table: DataFrame) -> Forest:
     """Bring the model to the driver; its size is set by trees and depth alone."""
-    rows = table.orderBy("tree").toPandas()
+    # Sorted here: a distributed sort would first grow all trees once to see how they spread.
+    rows = table.toPandas().sort_values("tree", ignore_index=True)
     return Forest(
         np.array(rows["features"].tolist(), dtype=np.int32),
         np.array(rows["thresholds"].tolist(), dtype=float),
