@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eventwarden import constants as K
 from eventwarden.adapter import normalized, raw_items, scorer_events, security_rows, table
 from eventwarden.functions import rules as R
-from eventwarden.functions.hashing import hash_bucket
+from eventwarden.functions.hashing import hash_bucket, hash_bucket_once
 from eventwarden.functions.text import slug
 from eventwarden.functions.timestamps import iso_text
 from eventwarden.models.drift import auc, binary_report, psi, replace_decision
@@ -552,7 +552,8 @@ def alert_texts(spark, folder):
 @query
 def forest_scores(spark, folder):
     """Fit on the feature matrix and score every event of it."""
-    matrix = cut_lineage(feature_matrix(scorer_events(spark, folder)).select("event_id", *K.FEATURE_COLS))
+    rows = feature_matrix(scorer_events(spark, folder), bucket=hash_bucket_once)
+    matrix = cut_lineage(rows.select("event_id", *K.FEATURE_COLS))
     forest = load_forest(fit_forest(matrix))
     return spread(matrix, "event_id").select("event_id", raw_score(spark, forest).alias("raw_score"))
 

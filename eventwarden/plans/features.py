@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventwarden import constants as K
-from eventwarden.functions.hashing import hash_bucket_once
+from eventwarden.functions.hashing import hash_bucket
 from eventwarden.functions.text import contains_any, safe
 from eventwarden.functions.timestamps import epoch_us, is_off_hours
 from eventwarden.operators.ordered import DEFAULT_POLICY, SlicePolicy, Spread, span_of
@@ -85,12 +85,12 @@ def rolling_features(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY,
     return with_ip_history(by_user, events, policy, digits, span)
 
 
-def feature_matrix(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY) -> DataFrame:
+def feature_matrix(events: DataFrame, policy: SlicePolicy = DEFAULT_POLICY, bucket=hash_bucket) -> DataFrame:
     """Events with the 29 feature columns, in their fixed order, at the end."""
-    return feature_columns(rolling_features(events, policy))
+    return feature_columns(rolling_features(events, policy), bucket)
 
 
-def feature_columns(rows: DataFrame) -> DataFrame:
+def feature_columns(rows: DataFrame, bucket=hash_bucket) -> DataFrame:
     """Rows with the history of their user and address, and the 29 feature columns at the end."""
     hashed = {
         "feat_user_hash": "user", "feat_ip_hash": "source_ip",
@@ -113,7 +113,7 @@ def feature_columns(rows: DataFrame) -> DataFrame:
         "feat_hist_ip_unique_users": "ip_unique_users", "feat_is_new_ip": "is_new_ip",
         "feat_fail_burst_5min": "fail_burst_5min", "feat_is_rbac_resource": "is_rbac",
     }
-    features = {name: hash_bucket_once(F.col(c), K.HASH_BUCKETS[c]) for name, c in hashed.items()}
+    features = {name: bucket(F.col(c), K.HASH_BUCKETS[c]) for name, c in hashed.items()}
     features.update({name: F.col(c) for name, c in plain.items()})
     features["feat_sensitive_offhour"] = F.col("is_sensitive") * F.col("is_off_hours")
     absent = [c for c in K.FEATURE_COLS if c not in features]

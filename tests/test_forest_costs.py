@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventwarden.functions.hashing import hash_bucket
+from eventwarden.functions.hashing import hash_bucket, hash_bucket_once
 from eventwarden.models.forest import FOREST_SCHEMA, load_forest
 from eventwarden.operators import rolling
 from eventwarden.plans.features import HISTORY_INPUT, feature_columns, rolling_features
@@ -51,7 +51,7 @@ def test_repeated_values_are_hashed_once_a_batch(spark):
         "object_type": F.when(F.col("event_id") % 2 == 0, F.expr("cast(x'c328ff' as string)")).otherwise("pods"),
         "method": F.lit("get"), "event_type": F.lit("app")})
     flags = ("hour", "day_of_week", "is_off_hours", "is_high_risk", "is_rbac")
-    whole = feature_columns(rolling_features(odd.withColumns({c: F.lit(0) for c in flags})))
+    whole = feature_columns(rolling_features(odd.withColumns({c: F.lit(0) for c in flags})), hash_bucket_once)
     for name, column, buckets in (("user", "user", 10_000), ("namespace", "namespace", 5_000)):
         assert whole.where(~F.col(f"feat_{name}_hash").eqNullSafe(hash_bucket(F.col(column), buckets).cast("double"))).count() == 0
     plain = hash_bucket(F.col("object_type"), 5_000).cast("double")
@@ -70,7 +70,7 @@ def test_repeated_values_are_hashed_once_a_batch(spark):
         df.write.format("noop").mode("overwrite").save()
         return time.time() - begin
 
-    rows = feature_columns(wide).select(*hashes)
+    rows = feature_columns(wide, hash_bucket_once).select(*hashes)
     each = wide.select(*[hash_bucket(F.col(c), 10_000) for c in wide.columns[:6]])
     seconds(rows), seconds(each)
     assert seconds(rows) < 0.8 * seconds(each)
