@@ -13,7 +13,9 @@ can only repeat if both of its halves do. What repeats there is extended again a
   repeated window of the level below, of them the one with the smallest hash in every stretch of a quarter of its
   length. It ends when no window repeats.
 
-Exact copies are judged through the one with the smallest id, before any window is made.
+Exact copies are judged through the one with the smallest id, whose windows alone are compared.
+
+Texts are not copied, and are shuffled only to join those that ``listed_rows`` finds likely to have an entry.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from pyspark.sql import functions as F
 from eventwarden.llm.scratch import Scratch, in_parts
 from eventwarden.llm.words import byte_class, mixed, run_hashes, words_of
 
+#: Words of 64 bits in the filter of rows that may have an entry.
+FILTER_WORDS = 1 << 18
+
 
 def chosen(hashes: np.ndarray, count: int) -> np.ndarray:
     """Places of the smallest of every ``count`` consecutive hashes, the leftmost among equals."""
@@ -60,23 +65,21 @@ def _rows(found) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def window_choice(half: int, wanted: int):
-    """Arrow task over (id, text): the chosen half windows of every text, each once."""
+    """Arrow task over (id, tag, print, text): the chosen half windows of every text, each once, as ``keys``."""
     count = wanted - half + 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
             for found in words_of(batch.column("text")):
-                keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for row, words in _rows(found):
-                    if len(words) < wanted:
-                        continue
-                    runs = run_hashes(words, half)
-                    own = np.unique(runs[np.unique(chosen(runs, count))])
-                    keys.append(own.view(np.int64))
-                    owners.append(np.full(len(own), ids[found.rows.start + row], dtype=np.int64))
+                keys = []
+                for _, words in _rows(found):
+                    runs = run_hashes(words, half) if len(words) >= wanted else np.zeros(0, np.uint64)
+                    keys.append(np.unique(runs[np.unique(chosen(runs, count))]).view(np.int64))
+                limits = np.concatenate([[0], np.cumsum([len(own) for own in keys])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                part = batch.slice(found.rows.start, found.rows.stop - found.rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "id"])
+                    [*[part.column(c) for c in ("id", "tag", "print")], lists], ["id", "tag", "print", "keys"])
 
     return task
 
@@ -206,22 +209,40 @@ def _without(raw: bytes, edges: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, wanted: int, levels: bool = False) -> DataFrame:
+def listed_rows(rows: DataFrame, entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` with ``listed``: whether their (id, tag) may be among those of ``entries``; false is certain.
+
+    A Bloom filter of FILTER_WORDS words, three bits of one word for each entry. Its size is fixed: with very many
+    entries more rows are flagged than have one, never fewer.
+    """
+    word = F.pmod(F.xxhash64("id", "tag"), F.lit(FILTER_WORDS))
+    spread = F.xxhash64("tag", "id")
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(spread, 6 * k), F.lit(64)).cast("int"))
+            for k in range(3)]
+    mask = bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+    words = scratch.cut(entries.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits")), "filter")
+    probed = rows.withColumn("word", word).join(F.broadcast(words), "word", "left")
+    return probed.withColumn("listed", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("word", "bits")
+
+
+def repeated_windows(docs: DataFrame, chosen_keys: DataFrame, scratch: Scratch, wanted: int, levels: bool = False) -> DataFrame:
     """(id, tag, places, level): where windows of ``wanted`` words begin whose sequence a smaller id has too.
 
-    ``docs`` has (id, tag, text); a text that repeats whole should come once. The level is that of
-    ``longer_levels``, at least ``wanted``, and 0 without ``levels``.
+    ``docs`` has (id, tag, text), ``chosen_keys`` the (id, tag, keys) of ``window_choice`` of the texts to compare; a
+    text that repeats whole should come once there. The level is that of ``longer_levels``, at least ``wanted``, and
+    0 without ``levels``.
     """
     half = wanted // 2
-    first = docs.select("id", "text").mapInArrow(window_choice(half, wanted), "key bigint, id bigint")
-    first = scratch.cut(first, "level")
+    first = scratch.cut(chosen_keys.select("id", F.explode("keys").alias("key")), "level")
     seen = scratch.cut(first.groupBy("key").agg(
         F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "seen")
     keys = first.join(seen, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    found = docs.join(keys, "id").select("id", "tag", "text", "keys").mapInArrow(
+    keys = scratch.cut(keys.join(chosen_keys.select("id", "tag").distinct(), "id"), "keys")
+    scratch.drop(first)
+    texts = listed_rows(docs.select("id", "tag", "text"), keys, scratch).where("listed").drop("listed")
+    found = texts.join(keys, ["id", "tag"]).dropDuplicates(["id", "tag"]).mapInArrow(
         candidate_windows(half, wanted, levels), "head bigint, tail bigint, id bigint, tag bigint, place int, length int")
     found = scratch.cut(found, "level")
-    scratch.drop(first)
     base = found.where(F.col("length") == wanted).drop("length")
     # Written, so that the join below sees two plain tables and a very common passage can be split.
     lows = scratch.cut(_lowest(base), "lows")
@@ -284,17 +305,23 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text:
                        *[F.col(f"`{c}`").alias(f"own_{c}") for c in own]).withColumn("tag", F.xxhash64("text"))
     # Equal texts are found by a 128-bit digest; only the one with the smallest id goes on.
     named = rows.where("id is not null and length(text) > 0").select(
-        "id", "tag", "text", F.expr("unhex(md5(text))").alias("print"))
+        "id", "tag", F.expr("unhex(md5(text))").alias("print"), "text")
+    named = scratch.cut(named.mapInArrow(
+        window_choice(wanted // 2, wanted), "id bigint, tag bigint, print binary, keys array<bigint>"), "choice")
     firsts = scratch.cut(named.groupBy("print").agg(F.min("id").alias("rep")), "prints")
     marked = scratch.cut(named.select("id", "tag", "print").join(firsts, "print").select("id", "tag", "rep").distinct(), "marked")
-    alone = rows.select("id", "tag", "text").join(marked.where("id = rep"), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
+    alone = named.select("id", "tag", "keys").where("size(keys) > 0").join(marked.where("id = rep"), ["id", "tag"], "left_semi")
     alone = scratch.cut(alone, "alone")
-    cuts = repeated_windows(alone, scratch, wanted, levels)
+    scratch.drop(named)
+    cuts = repeated_windows(rows, alone, scratch, wanted, levels)
     scratch.drop(alone)
     none = F.expr("cast(array() as array<int>)")
     edits = cuts.withColumn("whole", F.lit(False)).unionByName(marked.where("id > rep").select(
         "id", "tag", none.alias("places"), F.lit(0).cast("bigint").alias("level"), F.lit(True).alias("whole")))
-    rows = rows.join(edits, ["id", "tag"], "left").select(
+    probed = listed_rows(rows, edits, scratch)
+    joined = probed.where("listed").join(edits, ["id", "tag"], "left").unionByName(
+        probed.where("not listed"), allowMissingColumns=True)
+    rows = joined.select(
         "id", "text", F.coalesce("places", none).alias("places"), F.coalesce("whole", F.lit(False)).alias("whole"),
         F.coalesce("level", F.lit(0)).cast("bigint").alias("level"), *[f"`own_{c}`" for c in own])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
