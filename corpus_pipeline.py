@@ -19,7 +19,8 @@ TOXIC = 0.5
 SIMILAR = 0.8
 #: Words from which a passage that repeats is removed.
 PASSAGE = 50
-#: Rows a task holds at a time: workers live on from stage to stage, and documents can be long.
+#: Rows a task holds at a time: workers live on from stage to stage, and documents can be long. Stages write what
+#: tasks over texts give them themselves, as Spark takes the size of a batch from the session that writes.
 BATCH_ROWS = 2000
 
 
@@ -29,8 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The lexicon is learned from the labelled rows among the documents; without labels nothing is toxic.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    lexicon = toxicity.learn(docs, labels, Scratch(spark, "toxicity", BATCH_ROWS))
-    return toxicity.clean(docs, lexicon, TOXIC)
+    scratch = Scratch(spark, "toxicity", BATCH_ROWS)
+    lexicon = toxicity.learn(docs, labels, scratch)
+    return scratch.cut(toxicity.clean(docs, lexicon, TOXIC), "clean")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +51,15 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     doc_id and text may have any names and pass unchanged but for n_chars, which need not be there.
     """
     named = [F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"of_{c}") for c in docs.columns]
-    cut = remove_repeats(docs.select(*named), Scratch(spark, "repeats", BATCH_ROWS), wanted=PASSAGE)
+    scratch = Scratch(spark, "repeats", BATCH_ROWS)
+    cut = remove_repeats(docs.select(*named), scratch, wanted=PASSAGE)
     touched = F.col("n_removed") > 0
     left = cut.where(~touched | (F.col("n_removed") < F.col("n_words")))
     kept = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         kept["n_chars"] = F.when(touched, F.length("kept_text").cast(kind)).otherwise(F.col("of_n_chars"))
-    return left.select(*[kept.get(c, F.col(f"`of_{c}`")).alias(c) for c in docs.columns])
+    return scratch.cut(left.select(*[kept.get(c, F.col(f"`of_{c}`")).alias(c) for c in docs.columns]), "left")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,13 +68,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows with a null id, and null, empty or very short texts, hold none. Rows that share an id go together.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contaminated(docs, items, Scratch(spark, "items", BATCH_ROWS), threshold=SIMILAR)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    scratch = Scratch(spark, "items", BATCH_ROWS)
+    found = contaminated(docs, items, scratch, threshold=SIMILAR)
+    gone = scratch.cut(found.select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids) of every row; null and empty texts have no ids."""
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    scratch = Scratch(spark, "bpe", BATCH_ROWS)
+    return scratch.cut(round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True), "ids")
 
 
 STAGES = [
@@ -95,5 +101,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline", BATCH_ROWS)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if hasattr(docs, "_written_to") else scratch.cut(docs, name)
     return docs

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventwarden.llm.words import release
+
 #: Fixed value: the piece pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes up to which a piece is short; pieces a task remembers before it starts over.
@@ -271,8 +273,7 @@ def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text
                     columns.append(pa.array(found, pa.list_(pa.int32())))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
-        # The worker lives on: what Arrow holds in reserve goes back before the next task.
-        pa.default_memory_pool().release_unused()
+        release()
 
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if with_ids else "")

@@ -13,8 +13,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21
-PIECE = 1 << 19
+#: Kept small: arrays of a slice are a multiple of it, and a worker keeps room for the largest it has had.
+SLICE = 1 << 20
+PIECE = 1 << 18
 
 #: Bytes that end a word: 0x20 and 0x09 to 0x0D.
 BLANKS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
@@ -57,7 +58,7 @@ def constants(size: int) -> Constants:
     known = getattr(store, "tables", None)
     if known is not None and len(known.powers) > size:
         return known
-    length = 1 << max(20, int(size + 1).bit_length())
+    length = 1 << max(PIECE.bit_length(), int(size + 1).bit_length())
     rng = np.random.default_rng(20240501)
     letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     base = 0x9E3779B97F4A7C15
@@ -80,6 +81,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give back what Arrow holds in reserve: a worker lives on, and its next task may be of another kind."""
+    pa.default_memory_pool().release_unused()
+
+
 class Words(NamedTuple):
     """Words of consecutive rows. ``first[r]:first[r + 1]`` are the words of row r."""
 
@@ -136,6 +142,7 @@ def words_of(column: pa.Array, lower: bool = False, hashed: bool = True,
         ends = np.flatnonzero(word & (~after | edge[1:])) + 1
         first = np.searchsorted(starts, cuts)
         yield Words(rows, part, starts, ends, first, word_hashes(part, starts, ends) if hashed else None)
+    release()
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
