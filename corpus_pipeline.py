@@ -20,7 +20,8 @@ SIMILAR = 0.8
 #: Words from which a passage that repeats is removed.
 PASSAGE = 50
 #: Rows a task holds at a time: workers live on from stage to stage, and documents can be long. Stages write what
-#: tasks over texts give them themselves, as Spark takes the size of a batch from the session that writes.
+#: tasks over texts give them themselves, as Spark takes the size of a batch from the session that writes; the first does
+#: not, as its copy of nearly all texts would lie on disk through all others.
 BATCH_ROWS = 2000
 
 
@@ -30,9 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The lexicon is learned from the labelled rows among the documents; without labels nothing is toxic.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scratch = Scratch(spark, "toxicity", BATCH_ROWS)
-    lexicon = toxicity.learn(docs, labels, scratch)
-    return scratch.cut(toxicity.clean(docs, lexicon, TOXIC), "clean")
+    lexicon = toxicity.learn(docs, labels, Scratch(spark, "toxicity", BATCH_ROWS))
+    return toxicity.clean(docs, lexicon, TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
