@@ -13,9 +13,13 @@ number of codewords and of rotations are those of the least estimated work. A le
 it has numbers has one filter, as a rotation would be larger than the vectors, and no pair is missed. Vectors
 of one number are equal when their signs are.
 
-Equal vectors are one class with a weight. A bucket is compared block by block, as matrix products;
+Equal vectors are one class with a weight. A bucket is compared tile by tile, as matrix products in single
+precision, and what they leave open in double;
 a pair is counted in the first filter its vectors share, so nothing is counted twice and no pair becomes
 a row: a task gives every vector its number of links and the smallest vector of its part.
+
+Buckets are filled in rounds. A vector is sent once for each of its filters, many times its own size in all, but
+only the rows of one round lie on disk at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -33,8 +37,14 @@ from pyspark.sql import functions as F
 
 from eventwarden.llm.components import components
 from eventwarden.llm.scratch import Scratch
-
-BLOCK_ROWS = 1024
+from eventwarden.session import shuffles_end
+
+#: Vectors of a bucket in one block; blocks of a larger bucket are compared in tasks of their own.
+BLOCK_ROWS = 16_384
+#: Vectors on a side of one matrix product.
+TILE = 1024
+#: Bytes of bucket rows in a round, before compression: these, or twice the vectors where that is more; and those of a task.
+ROUND_BYTES, TASK_BYTES = 128_000_000, 64_000_000
 #: Codewords of a block at most; more directions take more blocks.
 WORDS = 2048
 #: Probability that a pair at the wanted cosine shares no filter.
@@ -73,10 +83,26 @@ def decoded(unit: np.ndarray, caps: Caps, turn: int, step: int = 256) -> tuple[n
     if caps.codewords == 1:
         return np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64)
     code = code_for(unit.shape[1], caps.blocks, caps.codewords, turn)
-    found = [_decoded(block_products(unit[low:low + step], *code), caps, low) for low in range(0, len(unit), step)]
+    if caps.blocks == 1:
+        found = [_reached(unit[low:low + step] @ code[0], code[1][0], caps.limit - 1e-9, low) for low in range(0, len(unit), step)]
+    else:
+        found = [_decoded(block_products(unit[low:low + step], *code), caps, low) for low in range(0, len(unit), step)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def rounding(dimension: int) -> float:
+    """What a product of two vectors of length one can be off in single precision, at most."""
+    return (dimension + 16) * 1.2e-7
+
+
+def _reached(turned: np.ndarray, words: np.ndarray, limit: float, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions of one block: sought in single precision, decided in double."""
+    products = turned.astype(np.float32) @ words.astype(np.float32).T
+    at, word = np.nonzero(products >= np.float32(limit - rounding(words.shape[1])))
+    sure = np.einsum("ij,ij->i", turned[at], words[word]) >= limit
+    return at[sure] + low, word[sure]
+
+
 def _decoded(products: list[np.ndarray], caps: Caps, low: int) -> tuple[np.ndarray, np.ndarray]:
     tops = np.stack([p.max(axis=1) for p in products])
     # Rounding must not lose what just reaches the limit.
@@ -135,76 +161,86 @@ def caps_for(dimension: int, size: int, cosine: float, missed: float = MISSED) -
     single = Caps(1, 1, 1, -math.inf)
     if size <= dimension or dimension == 1:
         return single
-    blocks = 1
-    while blocks < max(1, dimension // 2) and (64 * size) ** (1 / blocks) > WORDS:
-        blocks += 1
-    # Microseconds for each vector: listing, entries, copies into shared buckets, comparisons.
-    compare = 2e-4 * dimension
+    # Microseconds for each vector: a copy in a bucket, a comparison, a bucket of several.
+    copy, compare, bucket = 5 + 0.08 * dimension, 4e-5 * dimension + 1e-3, 100
     best, least = single, math.inf
     sample = np.random.default_rng(dimension).standard_normal((64, dimension))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    codewords = min(WORDS, math.ceil((64 * size) ** (1 / blocks)))
-    last = math.inf
-    while codewords > 1:
-        limits = shared_limits(dimension, blocks, codewords, cosine)
-        cheapest = math.inf
-        for turns in (4, 8, 16):
-            # Turns are independent: a pair is missed when it is missed in all.
-            limit = float(limits[int(len(limits) * missed ** (1 / turns))])
-            caps = Caps(blocks, codewords, turns, limit)
-            entries = len(decoded(sample, caps, 0)[0]) / len(sample)
-            others = size * entries / codewords ** blocks
-            copies = max(1 - math.exp(-others), others / BLOCK_ROWS)
-            cost = turns * (codewords * (1.2e-4 * dimension + 0.006 * blocks) + entries * (3 + 60 * copies + compare * others))
-            cheapest = min(cheapest, cost)
-            if cost < least:
-                best, least = caps, cost
-        if cheapest > last:
+    for blocks in range(1, max(1, dimension // 2) + 1):
+        codewords = min(WORDS, math.ceil((64 * size) ** (1 / blocks)))
+        before, last = least, math.inf
+        while codewords > 1:
+            limits = shared_limits(dimension, blocks, codewords, cosine)
+            listing = codewords * (5e-5 * dimension + 1e-3 if blocks == 1 else 1.2e-4 * dimension + 0.006 * blocks)
+            cheapest = math.inf
+            for turns in (4, 8, 16):
+                # Turns are independent: a pair is missed when it is missed in all.
+                limit = float(limits[int(len(limits) * missed ** (1 / turns))])
+                caps = Caps(blocks, codewords, turns, limit)
+                entries = len(decoded(sample, caps, 0)[0]) / len(sample)
+                others = size * entries / codewords ** blocks
+                copies = max(1.0, others / BLOCK_ROWS) * copy + bucket * (1 - math.exp(-others)) / (1 + others)
+                cost = turns * (listing + entries * (3 + copies + compare * others))
+                cheapest = min(cheapest, cost)
+                if cost < least:
+                    best, least = caps, cost
+            if cheapest > last:
+                break
+            last = cheapest
+            codewords = int(codewords / (4 if blocks == 1 else 16) ** (1 / blocks))
+        if least == before:
             break
-        last = cheapest
-        codewords = int(codewords / 16 ** (1 / blocks))
     return best
 
 
+def vectors_by_size(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of every length in a batch; null and empty vectors and those with no direction are left out."""
+    lists = batch.column("vector")
+    limits = lists.offsets.to_numpy()
+    values = lists.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(limits), 0)
+    for dimension in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == dimension)
+        matrix = values[limits[rows][:, None] + np.arange(dimension)]
+        with np.errstate(all="ignore"):
+            scale = np.abs(matrix).max(axis=1)
+        usable = np.isfinite(scale) & (scale > 0)
+        if usable.any():
+            yield rows[usable], matrix[usable]
+
+
+def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow task over (id, vector): a digest of every usable vector."""
+    for batch in batches:
+        found: list[bytes | None] = [None] * len(batch)
+        for rows, matrix in vectors_by_size(batch):
+            # All vectors of one number and sign have cosine 1: they are one class.
+            for r, line in zip(rows, (units(matrix) if matrix.shape[1] == 1 else matrix) + 0.0, strict=True):
+                found[r] = hashlib.md5(line.tobytes()).digest()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "print"])
+
+
 def filter_lists(plans: dict[int, Caps]):
-    """Arrow task over (id, vector): a digest, and the sorted filters of every usable vector."""
+    """Arrow task over (id, weight, vector), all usable: the sorted filters of every vector."""
     number = {dimension: n for n, dimension in enumerate(sorted(plans))}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("vector")
-            ids = batch.column("id")
-            limits = lists.offsets.to_numpy()
-            raw = lists.values
-            values = raw.cast(pa.float64()).to_numpy(zero_copy_only=False)
-            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(limits), 0)
-            prints: list[bytes | None] = [None] * len(batch)
             filters: list[np.ndarray | None] = [None] * len(batch)
-            for dimension in np.unique(sizes[sizes > 0]):
-                rows = np.flatnonzero(sizes == dimension)
-                matrix = values[limits[rows][:, None] + np.arange(dimension)]
-                with np.errstate(all="ignore"):
-                    scale = np.abs(matrix).max(axis=1)
-                usable = np.isfinite(scale) & (scale > 0)
-                rows, matrix = rows[usable], matrix[usable]
-                if not len(rows):
-                    continue
+            for rows, matrix in vectors_by_size(batch):
+                dimension = matrix.shape[1]
                 unit = units(matrix)
-                caps = plans[int(dimension)]
+                caps = plans[dimension]
                 found = [decoded(unit, caps, t) for t in range(caps.turns)]
                 places = np.concatenate([r for r, _ in found])
                 names = np.concatenate([f + caps.codewords ** caps.blocks * t for t, (_, f) in enumerate(found)])
                 # Vectors of different dimension never meet.
-                names = names * len(plans) + number[int(dimension)]
+                names = names * len(plans) + number[dimension]
                 order = np.lexsort((names, places))
                 own = np.split(names[order], np.searchsorted(places[order], np.arange(1, len(rows))))
-                # All vectors of one number and sign have cosine 1: they are one class.
-                for r, line, some in zip(rows, (unit if dimension == 1 else matrix) + 0.0, own, strict=True):
-                    prints[r] = hashlib.md5(line.tobytes()).digest()
+                for r, some in zip(rows, own, strict=True):
                     filters[r] = some
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(prints, pa.binary()), pa.array(filters, pa.list_(pa.int64())), lists],
-                ["id", "print", "filters", "vector"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(filters, pa.list_(pa.int64()))], [*batch.schema.names, "filters"])
 
     return task
 
@@ -216,35 +252,81 @@ def units(matrix: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(cosine: float):
-    """Arrow task over bucket rows in order of (filter, x, y): links and smallest linked part of each row."""
+    """Arrow task over bucket rows in order of (filter, x, y): links and smallest linked part of each row.
+
+    Rows with no links only tie parts of a bucket together.
+    """
 
-    def one(name: int, ids, sides, weights, unit, known, ends) -> tuple[np.ndarray, np.ndarray]:
-        near = unit @ unit.T >= cosine
-        np.fill_diagonal(near, False)
+    def met_before(name: int, known: np.ndarray, ends: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Which rows ``one`` share a filter before ``name`` with which rows ``two``."""
+        sides = []
+        for rows in (one, two):
+            counts = ends[rows + 1] - ends[rows]
+            places = np.repeat(ends[rows] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            at, held = np.repeat(np.arange(len(rows)), counts), known[places]
+            sides.append((at[held < name], held[held < name]))
+        both = np.intersect1d(sides[0][1], sides[1][1])
+        shared = np.zeros((len(one), len(two)), dtype=bool)
+        for low in range(0, len(both), TILE):
+            some = both[low:low + TILE]
+            has = []
+            for rows, (at, held) in zip((one, two), sides, strict=True):
+                column = np.minimum(np.searchsorted(some, held), len(some) - 1)
+                use = some[column] == held
+                table = np.zeros((len(rows), len(some)), dtype=np.float32)
+                table[at[use], column[use]] = 1
+                has.append(table)
+            shared |= has[0] @ has[1].T > 0
+        return shared
+
+    def one(name: int, ids, sides, weights, unit, known, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, links, smaller id of its part) of what is linked."""
+        single, slack = unit.astype(np.float32), rounding(unit.shape[1])
+        links, low, tied = np.zeros(len(ids), np.int64), ids.copy(), []
         # Between two blocks, only pairs across them; each block has a task of its own.
-        if sides.min() != sides.max():
-            near &= sides[:, None] != sides[None, :]
-        near &= ids[:, None] != ids[None, :]
-        if near.any():
-            held = known[ends[0]:ends[-1]]
-            at = np.repeat(np.arange(len(ids)), np.diff(ends))
-            use = (held < name) & near.any(axis=1)[at]
-            _, column, often = np.unique(held[use], return_inverse=True, return_counts=True)
-            at = at[use][often[column] > 1]
-            _, column = np.unique(column[often[column] > 1], return_inverse=True)
-            for low in range(0, column.max(initial=-1) + 1, BLOCK_ROWS):
-                part = (column >= low) & (column < low + BLOCK_ROWS)
-                has = np.zeros((len(ids), BLOCK_ROWS), dtype=np.float32)
-                has[at[part], column[part] - low] = 1
-                near &= ~((has @ has.T) > 0)
-        links = near @ weights
-        low = ids.copy()
-        while True:
-            reach = np.where(near, low[None, :], np.iinfo(np.int64).max).min(axis=1)
-            then = np.minimum(low, reach)
-            if (then == low).all():
-                return links, low
-            low = then
+        halves = [np.flatnonzero(sides == side) for side in np.unique(sides)]
+        tiles = [[half[k:k + TILE] for k in range(0, len(half), TILE)] for half in halves]
+        if len(halves) > 1:
+            meetings = ((a, b) for a in tiles[0] for b in tiles[1])
+        else:
+            meetings = ((a, b) for k, a in enumerate(tiles[0]) for b in tiles[0][k:])
+        for a, b in meetings:
+            same = a is b
+            products = single[a] @ single[b].T
+            near = products >= np.float32(cosine - slack)
+            if same:
+                np.fill_diagonal(near, False)
+            if not near.any():
+                continue
+            at, to = np.nonzero(near & (products < np.float32(cosine + slack)))
+            for k in range(0, len(at), BLOCK_ROWS):
+                i, j = at[k:k + BLOCK_ROWS], to[k:k + BLOCK_ROWS]
+                near[i, j] = np.einsum("ij,ij->i", unit[a[i]], unit[b[j]]) >= cosine
+            near &= ids[a][:, None] != ids[b][None, :]
+            rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(rows):
+                continue
+            a, b, near = a[rows], b[columns], near[np.ix_(rows, columns)]
+            near &= ~met_before(name, known, ends, a, b)
+            links[a] += near @ weights[b]
+            # A tile against itself holds every pair both ways.
+            if not same:
+                links[b] += weights[a] @ near
+            settled = False
+            while not settled:
+                settled = True
+                for to, of, linked in ((a, b, near), (b, a, near.T)):
+                    was = low[to]
+                    now = np.minimum(was, np.where(linked, low[of][None, :], np.iinfo(np.int64).max).min(axis=1))
+                    lower = now < was
+                    settled &= not lower.any()
+                    # A row's own step down shows in its last one; a step of what it had joined before does not.
+                    tied.append(np.stack([was, now])[:, lower & (was != ids[to])])
+                    low[to] = now
+        some = links > 0
+        ties = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *tied], axis=1), axis=1)
+        return (np.concatenate([ids[some], ties[0]]), np.concatenate([links[some], np.zeros(ties.shape[1], np.int64)]),
+                np.concatenate([low[some], ties[1]]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -274,11 +356,9 @@ def bucket_links(cosine: float):
                 continue
             dimension = limits[a + 1] - limits[a]
             unit = units(values[limits[a]:limits[b]].reshape(b - a, dimension))
-            links, part = one(names[a], ids[a:b], sides[a:b], weights[a:b], unit, known, ends[a:b + 1])
-            some = links > 0
-            who.append(ids[a:b][some])
-            count.append(links[some])
-            low.append(part[some])
+            found = one(names[a], ids[a:b], sides[a:b], weights[a:b], unit, known, ends[a:b + 1])
+            for kept, part in zip((who, count, low), found, strict=True):
+                kept.append(part)
         empty = [np.zeros(0, np.int64)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(empty + x).astype(np.int64)) for x in (who, count, low)], ["id", "links", "low"])
@@ -293,38 +373,74 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, id: str = "vec_id", vecto
     Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing, and so do rows
     with a null id. Vectors of different length are never compared. Rows that share an id are one node.
     """
-    rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    with shuffles_end(vectors.sparkSession):
+        nodes = _linked(vectors, scratch, id, vector, cosine, missed)
+    return vectors.select(F.col(id).cast("bigint").alias("id")).join(nodes, "id", "left").select(
+        F.col("id").alias(id), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("component", "id").alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
+
+
+def _linked(vectors: DataFrame, scratch: Scratch, id: str, vector: str, cosine: float, missed: float) -> DataFrame:
+    """(id, links, component) of every id with a usable vector; all work is done and written."""
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    # Single precision is kept as it comes: what is sent for a vector is mostly the vector.
+    kind = kind if kind == "float" else "double"
+    rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("vector"))
     # A null component becomes NaN, which no usable vector holds.
-    rows = rows.withColumn("vector", F.expr("transform(vector, v -> coalesce(v, double('NaN')))"))
-    sizes = rows.where("id is not null and size(vector) > 0").groupBy(F.size("vector").alias("dimension")).count().collect()
+    rows = rows.withColumn("vector", F.expr(f"transform(vector, v -> coalesce(v, {kind}('NaN')))")).where("id is not null")
+    sizes = rows.where("size(vector) > 0").groupBy(F.size("vector").alias("dimension")).count().collect()
     plans = {r["dimension"]: caps_for(r["dimension"], r["count"], cosine, missed) for r in sizes}
-    named = scratch.cut(rows.where("id is not null").mapInArrow(
-        filter_lists(plans), "id bigint, print binary, filters array<bigint>, vector array<double>"), "filters")
-    usable = named.where("print is not null")
+    marked = rows.mapInArrow(prints, f"id bigint, vector array<{kind}>, print binary").where("print is not null")
     # Aggregates are written before they are joined, so that a print or filter of very many rows can be split.
-    classes = scratch.cut(usable.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
-    members = scratch.cut(usable.select("id", "print").join(classes, "print").select("id", "rep", "weight"), "members")
-    reps = scratch.cut(
-        usable.join(classes, "print").where("id = rep").dropDuplicates(["print"])
-        .select("id", "filters", "weight", "vector"), "reps")
-
-    entries = reps.select("id", F.explode("filters").alias("filter"))
-    busy = scratch.cut(entries.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1"), "busy")
-    inside = entries.join(busy.select("filter", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")), "filter")
-    inside = inside.withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
-    spread = inside.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "id", "filter", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
-    tasks = spread.join(reps, "id").repartition("filter", "x", "y").sortWithinPartitions("filter", "x", "y", "id")
-    found = scratch.cut(tasks.select("filter", "x", "y", "block", "id", "weight", "vector", "filters").mapInArrow(
-        bucket_links(cosine), "id bigint, links bigint, low bigint"), "found")
+    named = scratch.cut(marked.select("id", "print"), "prints")
+    classes = scratch.cut(named.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
+    members = scratch.cut(named.join(classes, "print").select("id", "rep", "weight"), "members")
+    scratch.drop(named)
+    firsts = marked.join(classes, "print").where("id = rep").dropDuplicates(["print", "id"]).select("id", "weight", "vector")
+    reps = scratch.cut(firsts.mapInArrow(
+        filter_lists(plans), f"id bigint, weight bigint, vector array<{kind}>, filters array<bigint>"), "reps")
+    scratch.drop(classes)
+
+    found = _compared(reps, scratch, kind, cosine)
+    scratch.drop(reps)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("low").alias("a"), F.col("id").alias("b")), scratch)
     placed = links.join(parts.withColumnRenamed("node", "id"), "id", "full").withColumnRenamed("id", "rep")
     placed = scratch.cut(placed, "placed")
     nodes = members.join(placed, "rep", "left").select(
         "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    nodes = nodes.distinct().groupBy("id").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
-    return vectors.select(F.col(id).cast("bigint").alias("id")).join(nodes, "id", "left").select(
-        F.col("id").alias(id), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
+    nodes = scratch.cut(nodes.distinct().groupBy("id").agg(F.sum("links").alias("links"), F.min("component").alias("component")), "nodes")
+    scratch.drop(members, placed)
+    return nodes
+
+
+def _compared(reps: DataFrame, scratch: Scratch, kind: str, cosine: float) -> DataFrame:
+    """(id, links, low) of all buckets, a round of them at a time: rows of the largest round lie on disk, not all."""
+    entries = reps.select("*", F.explode("filters").alias("filter"))
+    counts = entries.groupBy("filter").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
+    large = scratch.cut(counts.where("blocks > 1"), "large")
+    number = {"float": 4, "double": 8}[kind]
+    count, own, listed = reps.agg(F.count("*"), F.sum(F.size("vector")), F.sum(F.size("filters"))).first()
+    if not count:
+        return scratch.cut(reps.select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("low")), "found")
+    copies = large.agg(F.sum(F.col("n") * (F.col("blocks") - 1))).first()[0]
+    sent = listed + (copies or 0)
+    row = 64 + (number * own + 8 * listed) / count
+    rounds = max(1, math.ceil(sent * row / max(ROUND_BYTES, 2 * number * own)))
+    if copies:
+        entries = entries.join(F.broadcast(large.select("filter", "blocks")), "filter", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        entries = entries.withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
+        entries = entries.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns(
+            {"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    else:
+        entries = entries.withColumns({c: F.lit(0).cast("bigint") for c in ("block", "x", "y")})
+    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(sent * row / rounds / TASK_BYTES))
+    found = []
+    for turn in range(rounds):
+        rows = entries.where(F.pmod(F.xxhash64("filter", "x", "y"), F.lit(rounds)) == turn)
+        rows = rows.repartition(parts, "filter", "x", "y").sortWithinPartitions("filter", "x", "y", "id")
+        found.append(scratch.cut(rows.select("filter", "x", "y", "block", "id", "weight", "vector", "filters").mapInArrow(
+            bucket_links(cosine), "id bigint, links bigint, low bigint"), "found"))
+    scratch.drop(large)
+    return reduce(DataFrame.unionByName, found)

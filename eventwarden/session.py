@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,6 +99,24 @@ def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
     return back
 
 
+#: Lets a job remove the files of its shuffles when it has ended; else they stay until the driver collects garbage.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside leave no shuffle files; for jobs that end in a written copy."""
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_END)
+        else:
+            spark.conf.set(SHUFFLES_END, before)
+
+
 def drop_copies(*frames: DataFrame) -> None:
     """Delete copies of ``cut_lineage`` that nothing reads any more."""
     for df in frames:
