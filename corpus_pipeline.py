@@ -32,12 +32,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.learn(docs, labels, Scratch(spark, "toxicity", BATCH_ROWS))
-    return toxicity.clean(docs, lexicon, TOXIC)
+    clean = toxicity.clean(docs, lexicon, TOXIC)
+    clean._unwritten = True
+    return clean
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id; null ids stay."""
-    judged = near_duplicates(docs.select("doc_id", "text"), Scratch(spark, "near", BATCH_ROWS), threshold=SIMILAR)
+    scratch = Scratch(spark, "near", BATCH_ROWS)
+    # Handed on as it is, the first stage would run again for every read of its documents.
+    docs = scratch.cut(docs, "clean") if hasattr(docs, "_unwritten") else docs
+    judged = near_duplicates(docs.select("doc_id", "text"), scratch, threshold=SIMILAR)
     gone = judged.where("not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     # Equal rows under one id are one node; one of them stays.
